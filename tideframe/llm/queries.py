@@ -3,20 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideframe.llm import repair
+from tideframe.llm import langid, lines, mixing, packing, repair, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    marked = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.predict(marked, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(_documents(spark, sf_dir))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(repair.write_shards(_documents(spark, sf_dir)))
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_sharding": op5_sharding,
+    "op6_mixing": op6_mixing,
     "op8_token_files": op8_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.ORACLE,
+    "op5_sharding": sharding.oracle(),
+}
