@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import langid, lines, mixing, packing, repair, sharding
+from tideframe.llm import fingerprint, langid, lines, mixing, packing, repair, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(repair.write_shards(_documents(spark, sf_dir)))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_token_files": op8_token_files,
 }
 
