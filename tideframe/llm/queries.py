@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import fingerprint, langid, lines, mixing, packing, repair, sharding
+from tideframe.llm import fingerprint, jaccard, langid, lines, mixing, packing, repair, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(repair.write_shards(_documents(spark, sf_dir)))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_files": op8_token_files,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
