@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.functions import scalars as S
+from tideframe.operators import candles as C
 from tideframe.operators import quality as Q
-from tideframe.plans.registry import query
-from tideframe.sources import dims
+from tideframe.plans.registry import query, r6
+from tideframe.sources import dims, payload
 
 _CELL = "es // 3600 * 3600"
 
@@ -170,3 +171,36 @@ def number_text(state: DataFrame) -> DataFrame:
     """Numbers as texts of 12 digits, as payloads carry them, and read back."""
     text = S.number_text(F.col("btc_price"))
     return state.select("seq", F.col("btc_price").alias("value"), text.cast("double").alias("read_back"))
+
+
+_LAST = "WITH b AS (SELECT symbol, es // 3600 * 3600 AS es, arg_min(price, (ts, seq)) AS o, max(price) AS h, min(price) AS l, arg_max(price, (ts, seq)) AS c FROM {ticks} GROUP BY symbol, es // 3600), k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY es DESC) <= 500)"
+
+
+def _window(ticks: DataFrame) -> DataFrame:
+    return C.last_n(C.candles(ticks, ["symbol"], "price", 3600), ["symbol"], 500, ["bucket"]).withColumnRenamed("bucket", "es")
+
+
+@query("payload_candles", "ticks", sql=f"{_LAST} SELECT symbol AS name, es, round(o, 6) AS open, round(h, 6) AS high, round(l, 6) AS low, round(c, 6) AS close FROM k")
+def payload_candles(ticks: DataFrame) -> DataFrame:
+    """The last 500 candles of each symbol written as coded payloads and read back."""
+    rows, _ = payload.ingest(payload.export(_window(ticks), "symbol", "coded"), "coded")
+    return rows.select("name", "es", *r6("open", "high", "low", "close"))
+
+
+for _envelope in ("windowed", "points"):
+
+    @query(f"payload_{_envelope}", "ticks", sql=f"{_LAST} SELECT symbol AS name, es, round(c, 6) AS value FROM k")
+    def _payload(ticks: DataFrame, envelope: str = _envelope) -> DataFrame:
+        series = _window(ticks).select("symbol", "es", F.col("close").alias("value"))
+        rows, _ = payload.ingest(payload.export(series, "symbol", envelope), envelope)
+        return rows.select("name", "es", *r6("value"))
+
+
+@query("payload_rejects", "ticks", sql="SELECT CASE WHEN seq % 3 = 0 THEN 'no_records' ELSE 'unreadable_time' END AS reason, count(*) AS n FROM {ticks} WHERE seq % 3 <> 2 GROUP BY 1")
+def payload_rejects(ticks: DataFrame) -> DataFrame:
+    """Of a payload for each tick a third is an error and a third has no readable date."""
+    error = F.lit('{"status": {"code": 400, "message": "bad"}, "result": null}')
+    record = F.concat(F.lit('{"status": {"code": 200, "message": "ok"}, "result": {"window": "day", "data": [{"date": "'), F.when(F.col("seq") % 3 == 2, S.iso(F.col("es"))).otherwise("soon"), F.lit('", "value": 1.5}]}}'))
+    bodies = ticks.select(F.col("seq").cast("string").alias("name"), F.when(F.col("seq") % 3 == 0, error).otherwise(record).alias("body"))
+    _, rejects = payload.ingest(bodies, "windowed")
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,76 @@
-"""Queries."""
+"""Queries that run a stream over all event files that are there, and read its sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideframe.plans.registry import query, r6
+from tideframe.streaming import live
+
+_HOUR = """SELECT symbol, es // 3600 * 3600 AS bucket, round(arg_min(price, (es, seq)), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low,
+    round(arg_max(price, (es, seq)), 6) AS close, round(sum(price * size), 6) AS volume FROM {ticks} GROUP BY ALL"""
+_OHLC = ("open", "high", "low", "close", "volume")
+
+
+def _ticks(spark: SparkSession, sf_dir: str, view: str = "ticks") -> DataFrame:
+    return live.tick_stream(spark, f"{sf_dir}/events.parque[t]", view)
+
+
+@query("stream_live_candles", sql=_HOUR)
+def live_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live and closed buckets, by the upsert sink."""
+    bars = live.live_candles(_ticks(spark, sf_dir), ["symbol"], "price", "1 hour", "10 minutes", F.col("price") * F.col("size"))
+    return live.run_upserted(bars, "live-candles", ["symbol", "bucket"]).select("symbol", "bucket", *r6(*_OHLC))
+
+
+@query("stream_closed_candles", sql=f"WITH b AS ({_HOUR}) SELECT * FROM b WHERE bucket + 3600 <= (SELECT max(es) - 600 FROM {{ticks}})")
+def closed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed buckets only: those whose end the watermark has passed."""
+    bars = live.live_candles(_ticks(spark, sf_dir), ["symbol"], "price", "1 hour", "10 minutes", F.col("price") * F.col("size"))
+    return live.run_appended(bars, "closed-candles").select("symbol", "bucket", *r6(*_OHLC))
+
+
+@query("stream_retained_candles", sql=f"WITH b AS ({_HOUR}) SELECT symbol, bucket, close FROM b QUALIFY dense_rank() OVER (PARTITION BY symbol ORDER BY bucket DESC) <= 500")
+def retained_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 500 buckets of each key."""
+    bars = live.live_candles(_ticks(spark, sf_dir), ["symbol"], "price", "1 hour", "10 minutes", F.col("price") * F.col("size"))
+    return live.run_upserted(bars, "retained", ["symbol", "bucket"], keep_last=500).select("symbol", "bucket", *r6("close"))
+
+
+@query(
+    "stream_footprint",
+    sql="""SELECT symbol, es // 14400 * 14400 AS bucket, floor(price / 5.0) * 5.0 AS price_start, sum(CASE side WHEN 'BUY' THEN size ELSE 0 END)::BIGINT AS buy_base,
+    sum(CASE side WHEN 'SELL' THEN size ELSE 0 END)::BIGINT AS sell_base FROM {trades} GROUP BY ALL""",
+)
+def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = live.live_footprint(_ticks(spark, sf_dir, "trades"), ["symbol"], "4 hours", "10 minutes", 5.0)
+    return live.run_upserted(cells, "footprint", ["symbol", "bucket", "price_start"])
+
+
+@query("stream_cvd", sql="SELECT symbol, sum(CASE side WHEN 'BUY' THEN size WHEN 'SELL' THEN -size ELSE 0 END)::DOUBLE AS cvd, max(es) AS last_es FROM {ticks} GROUP BY 1")
+def cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.run_upserted(live.live_cvd(_ticks(spark, sf_dir), ["symbol"]), "live-cvd", ["symbol"])
+
+
+@query("stream_quality", sql="SELECT symbol, exchange, count(*) AS rows, 0::BIGINT AS late, max(es) AS last_es FROM {ticks} GROUP BY ALL")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = live.live_quality(_ticks(spark, sf_dir), ["symbol", "exchange"])
+    return live.run_upserted(out, "live-quality", ["symbol", "exchange"])
+
+
+@query("stream_deduplicated", sql="SELECT seq, symbol, round(price, 6) AS price FROM {ticks}")
+def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick is sent twice; each comes out once."""
+    once = _ticks(spark, sf_dir)
+    twice = once.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("send"))
+    return live.run_appended(live.deduplicated(twice, "1 hour"), "deduplicated").select("seq", "symbol", *r6("price"))
+
+
+@query(
+    "stream_trade_depth",
+    sql="""SELECT t.seq, count(*) AS nearby FROM {trades} t JOIN {quotes} q ON t.symbol = q.symbol AND abs(t.es - q.es) <= 600 GROUP BY 1""",
+)
+def trade_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = live.concurrent(_ticks(spark, sf_dir, "trades"), _ticks(spark, sf_dir, "quotes"), "1 hour", "10 minutes")
+    return live.run_appended(met, "trade-depth").groupBy("seq").agg(F.count(F.lit(1)).alias("nearby"))
