@@ -100,7 +100,10 @@ def parsed_list(text: Column) -> Column:
 
 
 def number_text(v: Column) -> Column:
-    """A double in 12 significant digits, no trailing zeros, exponent form from 1e12 on and below 1e-4."""
+    """A double in 12 significant digits, no trailing zeros, exponent form from 1e12 on and below 1e-4.
+
+    A value exactly half-way between two such numbers rounds away from zero.
+    """
     mantissa = F.format_string("%.11e", v)
     digits = F.regexp_replace(F.split_part(mantissa, F.lit("e"), F.lit(1)), r"\.?0+$", "")
     power = F.split_part(mantissa, F.lit("e"), F.lit(2)).cast("int")
