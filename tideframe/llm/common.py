@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: Records of one Arrow batch sent to Python; texts are long, so batches are kept short.
 BATCH_ROWS = 512
+#: Cut points of an id order are literals of the plan, so their number is bounded; larger blocks spill.
+MOST_BLOCKS = 8192
+#: Blocks of a hash order: 2 to this power. A group that holds a third of all rows is ranked in as many tasks.
+HASH_BLOCK_BITS = 10
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -45,6 +49,7 @@ def partitions(spark: SparkSession) -> int:
 
 def id_bounds(df: DataFrame, key: str, blocks: int) -> list[int]:
     """Ascending cut points that split ``key`` into about equal blocks; only the key column is read."""
+    blocks = min(blocks, MOST_BLOCKS)
     if blocks < 2:
         return []
     probs = [i / blocks for i in range(1, blocks)]
@@ -60,6 +65,11 @@ def block_of(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda b: b <= key)), F.lit(0))
 
 
+def hash_block(key: Column) -> Column:
+    """The block of a row in the order of a 64-bit hash: its leading bits, ascending with the signed hash."""
+    return F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(2**63))), 64 - HASH_BLOCK_BITS).cast("int")
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], block: Column, name: str = "rank") -> DataFrame:
     """1-based rank of each row inside its group, without sending a group to one task.
 

@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import keep, prepare, ranked
+from tideframe.llm.common import hash_block, keep, prepare, ranked
 from tideframe.llm.tokens import END_ID, encoder, tokenizer_path
 
 LENGTH = 4096
 GRAIN = 8
-RANK_BLOCKS = 64
 PIECES = "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -156,8 +155,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFra
     capacity = length // grain
     pieces = pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
     order = [F.xxhash64("doc_id", "copy", "start"), F.col("doc_id"), F.col("copy"), F.col("start")]
-    block = F.shiftrightunsigned(F.xxhash64("doc_id", "copy", "start").bitwiseXOR(F.lit(-(2**63))), 58).cast("int")
-    placed = ranked(pieces, ["size"], order, block, "rank").withColumn("rank", F.col("rank") - 1)
+    placed = ranked(pieces, ["size"], order, hash_block(order[0]), "rank").withColumn("rank", F.col("rank") - 1)
     histogram = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = cutting_stock(histogram, capacity)
     # A row for each (pattern, size): pieces of ranks [first, first + times * each) go to its bins.
