@@ -40,6 +40,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    # The shuffle files of this step are garbage now; they go when the driver collects its own.
+    spark._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

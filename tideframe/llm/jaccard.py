@@ -39,7 +39,10 @@ THRESHOLD = 80
 FREQUENT_SHARE = 0.001
 FREQUENT_MOST = 200_000
 BUCKET_ROWS = 4096
+#: Pairs that a task remembers, so as not to name them again; Spark makes them distinct in the end.
+SEEN_PAIRS = 300_000
 _SKETCH_WORDS = 8
+_LOW = (1 << 64) - 1
 
 
 def frequent_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
@@ -91,14 +94,20 @@ def index_keys(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, thres
     return np.concatenate([rare, pairs])
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parity of the set's counts in 512 cells."""
-    cells = np.bincount((hashes & np.uint64(64 * _SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * _SKETCH_WORDS)
-    return np.packbits(cells & 1).tobytes()
+def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Parity of the set's counts in 512 cells, and in as many (a power of two) as it has members.
+
+    Cells are the hash's low bits, so a wide sketch folds into a narrower one by exclusive or.
+    """
+    narrow = 64 * _SKETCH_WORDS
+    cells = max(narrow, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    wide = np.packbits(odd)
+    return np.bitwise_xor.reduce(wide.reshape(-1, narrow // 8), axis=0).tobytes(), wide.tobytes()
 
 
 def signed(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n, set_hi, set_lo (the set's hash), keys, sketch of each row; kept."""
+    """doc_id, n, set_hi, set_lo (the set's hash), keys, sketch, wide of each row; kept."""
     often = frequent_shingles(docs, size)
     order = np.argsort(often)
     frequent, rank = often[order], np.arange(len(often))[order]
@@ -115,17 +124,17 @@ def signed(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> Dat
                 his.append(hi)
                 los.append(lo)
                 keys.append(index_keys(hashes, frequent, rank, threshold).view(np.int64) if len(hashes) else np.empty(0, np.int64))
-                sketches.append(sketch(hashes))
+                sketches.append(sketch(hashes) if len(hashes) else (b"", b""))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), lists, pa.array(sketches, pa.binary())],
-                names=["doc_id", "n", "set_hi", "set_lo", "keys", "sketch"],
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), lists, *(pa.array([x[i] for x in sketches], pa.binary()) for i in range(2))],
+                names=["doc_id", "n", "set_hi", "set_lo", "keys", "sketch", "wide"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return keep(rows.mapInArrow(sign, "doc_id long, n long, set_hi long, set_lo long, keys array<long>, sketch binary"), "signed")
+    return keep(rows.mapInArrow(sign, "doc_id long, n long, set_hi long, set_lo long, keys array<long>, sketch binary, wide binary"), "signed")
 
 
 class _Bucket:
@@ -140,7 +149,7 @@ class _Bucket:
         differ = np.maximum(differ, np.abs(self.n - self.n[i]))
         return differ / ((self.n + self.n[i]) * self.unit)
 
-    def forest(self) -> list[tuple[int, int]]:
+    def forest(self) -> np.ndarray:
         """Edges of a least spanning forest over the pairs that may link (Prim)."""
         m = len(self.n)
         near, parent, out = np.full(m, np.inf), np.full(m, -1), np.ones(m, bool)
@@ -156,39 +165,43 @@ class _Bucket:
                 at = int(np.argmin(np.where(out, near, np.inf)))
                 if not out[at]:
                     at = int(np.argmax(out))
-        return edges
+        return np.array(edges, np.int64).reshape(-1, 2)
 
-    def across(self, component: np.ndarray) -> list[tuple[int, int]]:
+    def across(self, component: np.ndarray) -> np.ndarray:
         """All pairs across components that may link."""
         labels, sizes = np.unique(component, return_counts=True)
         main = labels[np.argmax(sizes)]
         edges = []
         for i in np.flatnonzero(component != main):
             hit = np.flatnonzero((self.far(i) <= 1 + 1e-9) & (component != component[i]))
-            edges += [(int(i), int(j)) for j in hit]
-        return edges
+            edges.append(np.stack([np.full(len(hit), i), hit], 1))
+        return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
 
 
 def _pairs(placed: DataFrame, labelled: bool, threshold: int) -> DataFrame:
     """Distinct pairs (a < b) to verify, from rows (key, chunk, rep, n, sketch[, component])."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
 
-        def group(part: pa.Table) -> list[tuple[int, int]]:
+        def group(part: pa.Table) -> list[int]:
+            """New pairs of a chunk, each as one number: a, then b as 64 unsigned bits."""
             rep = part.column("rep").to_numpy()
             words = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
             bucket = _Bucket(part.column("n").to_numpy(), words, threshold)
             edges = bucket.across(part.column("component").to_numpy()) if labelled else bucket.forest()
-            ids = rep.tolist()
-            found = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in edges if ids[i] != ids[j]} - seen
-            if len(seen) > 1_000_000:
+            ends = np.sort(rep[edges], axis=1)
+            ends = np.unique(ends[ends[:, 0] < ends[:, 1]], axis=0)
+            new = [p for a, b in ends.tolist() if (p := a << 64 | b & _LOW) not in seen]
+            if len(seen) > SEEN_PAIRS:
                 seen.clear()
-            seen.update(found)
-            return list(found)
+            seen.update(new)
+            return new
 
-        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+        def out(edges: list[int]) -> pa.RecordBatch:
+            a = [p >> 64 for p in edges]
+            b = np.array([p & _LOW for p in edges], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b)], names=["a", "b"])
 
         rest = None
         for batch in batches:
@@ -198,7 +211,7 @@ def _pairs(placed: DataFrame, labelled: bool, threshold: int) -> DataFrame:
             key, chunk = table.column("key").to_numpy(), table.column("chunk").to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
             cuts = [0, *cuts.tolist()]
-            edges: list[tuple[int, int]] = []
+            edges: list[int] = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # the last group may go on
                 if hi - lo > 1:
                     edges += group(table.slice(lo, hi - lo))
@@ -207,7 +220,8 @@ def _pairs(placed: DataFrame, labelled: bool, threshold: int) -> DataFrame:
         if rest is not None and rest.num_rows > 1:
             yield out(group(rest))
 
-    parts = placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    # buckets of one family share their first member as a rule: together they name each pair once
+    parts = placed.repartition("lo", "chunk").sortWithinPartitions("lo", "key", "chunk")
     return parts.mapInArrow(pair, "a long, b long").distinct()
 
 
@@ -239,17 +253,23 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataF
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     index = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    buckets = keep(index.join(sizes.where("lo < hi").select("key", "size", "lo"), "key"), "buckets")
-    members = buckets.select("rep").distinct()
-    sets = _sets(docs, members, size)
-    known = keep(filled.select(F.col("doc_id").alias("rep"), "n", "sketch").join(members, "rep", "left_semi").dropDuplicates(["rep"]), "sketches")
+    sizes = keep(sizes.where("lo < hi"), "bucket-sizes")
+    known = filled.select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep"])
+    wide = filled.select(F.col("doc_id").alias("rep"), "n", "wide").dropDuplicates(["rep"])
+
+    # Keys of two documents are most of all: they are pairs as they stand.
+    twos = sizes.where("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    buckets = keep(index.join(sizes.where("size > 2").select("key", "size", "lo"), "key"), "buckets")
 
     # First pass: a chunk of a large bucket also gets the bucket's first member, so chunks hang together.
     chunks = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
     home = F.array(F.pmod(F.xxhash64("rep"), chunks).cast("int"))
     at = F.when((F.col("rep") == F.col("lo")) & (chunks > 1), F.sequence(F.lit(0), chunks - 1)).otherwise(home)
-    placed = buckets.select("key", "rep", F.explode(at).alias("chunk")).join(known, "rep").select("key", "chunk", "rep", "n", "sketch")
-    first = keep(_verified(keep(_pairs(placed, False, threshold), "pairs"), sets, threshold), "links")
+    placed = buckets.select("key", "lo", "rep", F.explode(at).alias("chunk")).join(known, "rep").select("key", "chunk", "lo", "rep", "n", "sketch")
+    found = keep(_pairs(placed, False, threshold).union(twos).distinct(), "pairs")
+    pairs = keep(_possible(found, wide, threshold), "pairs")
+    sets = _sets(docs, _nodes(pairs), size)
+    first = keep(_verified(pairs, sets, threshold), "links")
     merged = keep(components(first), "components")
 
     # Second pass: buckets that hold several components. Rows outside the bucket's largest component
@@ -260,15 +280,19 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataF
     mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"))
     mixed = mixed.where(F.col("most") < F.col("all"))
     n_all, n_minor = F.ceil(F.col("all") / BUCKET_ROWS).cast("int"), F.ceil((F.col("all") - F.col("most")) / BUCKET_ROWS).cast("int")
-    open_ = labelled.select("key", "rep", "component").join(mixed, "key").withColumn("n_all", n_all).withColumn("n_minor", n_minor)
+    open_ = labelled.select("key", "lo", "rep", "component").join(mixed, "key").withColumn("n_all", n_all).withColumn("n_minor", n_minor)
     column = F.pmod(F.xxhash64("rep"), F.col("n_all")).cast("int")
     row = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_minor")).cast("int")
     as_any = F.transform(F.sequence(F.lit(0), F.col("n_minor") - 1), lambda i: i * F.col("n_all") + column)
     as_minor = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda j: row * F.col("n_all") + j)
     to = F.when(F.col("component") == F.col("main"), as_any).otherwise(F.array_distinct(F.concat(as_any, as_minor)))
-    spread = open_.select("key", "rep", "component", F.explode(to).alias("chunk")).join(known, "rep")
-    spread = spread.select("key", "chunk", "rep", "n", "sketch", "component")
-    second = keep(_verified(keep(_pairs(spread, True, threshold), "pairs"), sets, threshold), "links")
+    spread = open_.select("key", "lo", "rep", "component", F.explode(to).alias("chunk")).join(known, "rep")
+    spread = spread.select("key", "chunk", "lo", "rep", "n", "sketch", "component")
+    pairs = keep(_possible(_pairs(spread, True, threshold).join(found, ["a", "b"], "left_anti"), wide, threshold), "pairs")
+    more = _nodes(pairs).join(sets.select("rep"), "rep", "left_anti")
+    if not more.isEmpty():
+        sets = sets.union(_sets(docs, more, size))
+    second = keep(_verified(pairs, sets, threshold), "links")
     if not second.isEmpty():
         merged = keep(components(first.union(second)), "components")
 
@@ -280,7 +304,7 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataF
 
 
 def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """rep, hashes (packed) of the documents in buckets."""
+    """rep, hashes (packed) of some documents; rows of one doc_id stay apart."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,4 +312,27 @@ def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["rep", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep", "left_semi")
-    return keep(texts.mapInArrow(pack, "rep long, hashes binary").dropDuplicates(["rep"]), "sets")
+    return keep(texts.mapInArrow(pack, "rep long, hashes binary"), "sets")
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def _possible(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that their sizes and wide sketches don't rule out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                cells = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, cells), axis=0) for v in (x, y))
+                differ = max(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)), abs(n - m))
+                fits.append(differ * (100 + threshold) <= (n + m) * (100 - threshold))
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    one = known.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("x"))
+    two = known.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(check, "a long, b long")
