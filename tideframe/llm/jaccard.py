@@ -43,6 +43,7 @@ BUCKET_ROWS = 4096
 SEEN_PAIRS = 300_000
 _SKETCH_WORDS = 8
 _LOW = (1 << 64) - 1
+_SMALL = 32
 
 
 def frequent_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
@@ -149,9 +150,19 @@ class _Bucket:
         differ = np.maximum(differ, np.abs(self.n - self.n[i]))
         return differ / ((self.n + self.n[i]) * self.unit)
 
+    def hopeless(self) -> bool:
+        """Whether a small bucket has no pair that may link: that is so of most buckets."""
+        if len(self.n) > _SMALL:
+            return False
+        differ = np.bitwise_count(self.sketches[:, None] ^ self.sketches).sum(axis=2, dtype=np.int64)
+        most = (self.n[:, None] + self.n) * self.unit + 1e-6
+        return int((differ <= most).sum()) == len(self.n)  # each with itself
+
     def forest(self) -> np.ndarray:
         """Edges of a least spanning forest over the pairs that may link (Prim)."""
         m = len(self.n)
+        if self.hopeless():
+            return np.empty((0, 2), np.int64)
         near, parent, out = np.full(m, np.inf), np.full(m, -1), np.ones(m, bool)
         edges, at = [], 0
         for _ in range(m):
@@ -169,6 +180,8 @@ class _Bucket:
 
     def across(self, component: np.ndarray) -> np.ndarray:
         """All pairs across components that may link."""
+        if self.hopeless():
+            return np.empty((0, 2), np.int64)
         labels, sizes = np.unique(component, return_counts=True)
         main = labels[np.argmax(sizes)]
         edges = []
@@ -184,41 +197,47 @@ def _pairs(placed: DataFrame, labelled: bool, threshold: int) -> DataFrame:
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
 
-        def group(part: pa.Table) -> list[int]:
+        def group(rep: np.ndarray, n: np.ndarray, sketches: np.ndarray, component: np.ndarray | None) -> list[int]:
             """New pairs of a chunk, each as one number: a, then b as 64 unsigned bits."""
-            rep = part.column("rep").to_numpy()
-            words = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
-            bucket = _Bucket(part.column("n").to_numpy(), words, threshold)
-            edges = bucket.across(part.column("component").to_numpy()) if labelled else bucket.forest()
-            ends = np.sort(rep[edges], axis=1)
-            ends = np.unique(ends[ends[:, 0] < ends[:, 1]], axis=0)
-            new = [p for a, b in ends.tolist() if (p := a << 64 | b & _LOW) not in seen]
+            bucket = _Bucket(n, sketches, threshold)
+            edges = bucket.forest() if component is None else bucket.across(component)
+            if not len(edges):
+                return []
+            ends = rep[edges]
+            if len(ends) > 10_000:
+                ends = np.unique(np.sort(ends, axis=1), axis=0)
+            new = {p for a, b in ends.tolist() if a != b and (p := min(a, b) << 64 | max(a, b) & _LOW) not in seen}
             if len(seen) > SEEN_PAIRS:
                 seen.clear()
             seen.update(new)
-            return new
+            return list(new)
 
         def out(edges: list[int]) -> pa.RecordBatch:
             a = [p >> 64 for p in edges]
             b = np.array([p & _LOW for p in edges], np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b)], names=["a", "b"])
 
+        def groups(table: pa.Table, ended: bool) -> tuple[list[int], pa.Table]:
+            """Pairs of the groups that are whole in the table, and the rows of the last, which may go on."""
+            table = table.combine_chunks()
+            key, chunk, rep, n = (table.column(c).to_numpy() for c in ("key", "chunk", "rep", "n"))
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(rep), _SKETCH_WORDS)
+            component = table.column("component").to_numpy() if labelled else None
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
+            cuts += [len(rep)] if ended else []
+            edges: list[int] = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 1:
+                    edges += group(rep[lo:hi], n[lo:hi], sketches[lo:hi], component[lo:hi] if labelled else None)
+            return edges, table.slice(cuts[-1])
+
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            key, chunk = table.column("key").to_numpy(), table.column("chunk").to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            cuts = [0, *cuts.tolist()]
-            edges: list[int] = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # the last group may go on
-                if hi - lo > 1:
-                    edges += group(table.slice(lo, hi - lo))
-            rest = table.slice(cuts[-1])
+            edges, rest = groups(table if rest is None else pa.concat_tables([rest, table]), False)
             yield out(edges)
-        if rest is not None and rest.num_rows > 1:
-            yield out(group(rest))
+        if rest is not None:
+            yield out(groups(rest, True)[0])
 
     # buckets of one family share their first member as a rule: together they name each pair once
     parts = placed.repartition("lo", "chunk").sortWithinPartitions("lo", "key", "chunk")
