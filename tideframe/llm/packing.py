@@ -55,7 +55,7 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, Counter]:
     return float(best[capacity]), pattern
 
 
-def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 1e-3, most_rounds: int = 5000) -> list[tuple[Counter, int]]:
+def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 2e-3, most_rounds: int = 5000) -> list[tuple[Counter, int]]:
     """Patterns (size -> how often) and how many bins use each; every size's demand is met exactly.
 
     Revised simplex on the covering programme: rows are the sizes in demand, the first basis has one
@@ -97,8 +97,8 @@ def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 1e-3
         used[out] = theta
         patterns[out] = pattern
         inverse[out] /= change[out]
-        others = np.arange(len(sizes)) != out
-        inverse[others] -= np.outer(change[others], inverse[out])
+        change[out] = 0
+        inverse -= np.outer(change, inverse[out])
     left = {s: demand[s] for s in sizes}
     plan: list[tuple[Counter, int]] = []
     for p, x in sorted(zip(patterns, used, strict=True), key=lambda t: -t[1]):
