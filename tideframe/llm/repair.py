@@ -15,6 +15,7 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ from tideframe.llm.tokens import END_ID, encoder, tokenizer_path
 
 MAGIC = b"RPR1"
 SHARD_TOKENS = 2_000_000
-ROUNDS = 4
-RULES_A_ROUND = 3_000
+ROUNDS = 3
+RULES_A_ROUND = 4_000
 LEAST_COUNT = 16
 ROWS_A_BLOCK = 2_000
 SHARD_SCHEMA = "block int, seq int, doc_ids array<long>, n_tokens long, payload binary"
@@ -64,17 +65,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
             break
         best = often[np.lexsort((ordered[starts[often]], -counts[often]))[:free]]
         pairs = ordered[starts[best]]  # most frequent first
-        place = np.argsort(pairs)
-        known = pairs[place]
-        width = int(max(left.max(), right.max())) + 1
         low, high = (np.uint64(0xFFFFFFFF), np.uint64(32)) if wide else (np.uint32(0xFFFF), np.uint32(16))
-        is_left, is_right = np.zeros(width, bool), np.zeros(width, bool)
-        is_left[(pairs >> high).astype(np.int64)] = True
-        is_right[(pairs & low).astype(np.int64)] = True
-        at = np.flatnonzero(is_left[left] & is_right[right] & inside)
-        slot = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-        hit = known[slot] == keys[at]
-        at, rank = at[hit], place[slot[hit]]
+        lefts, row = np.unique(pairs >> high, return_inverse=True)
+        rights, column = np.unique(pairs & low, return_inverse=True)
+        width = int(max(left.max(), right.max(), lefts[-1], rights[-1])) + 1
+        row_of, column_of = np.zeros(width, np.int32), np.zeros(width, np.int32)
+        row_of[lefts.astype(np.int64)] = np.arange(1, len(lefts) + 1)
+        column_of[rights.astype(np.int64)] = np.arange(1, len(rights) + 1)
+        table = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int16)
+        table[(row + 1) * (len(rights) + 1) + column + 1] = np.arange(len(pairs))
+        rank = table[row_of[left] * np.int32(len(rights) + 1) + column_of[right]]
+        at = np.flatnonzero((rank >= 0) & inside)
+        rank = rank[at].astype(np.int64)
         # of overlapping pairs the more frequent goes first; of equal ones the left
         before = np.concatenate([[False], at[1:] == at[:-1] + 1])
         after = np.append(before[1:], False)
@@ -127,17 +129,30 @@ class Shard:
     def _symbols(self, doc: int) -> np.ndarray:
         return self.symbols[self.ends[doc - 1] if doc else 0 : self.ends[doc]].astype(np.uint32)
 
+    @functools.cached_property
+    def _rule_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Expansions of all rules in a row, and where each begins; rules name only earlier ones."""
+        begin = np.cumsum(self.lengths.astype(np.int64)) - self.lengths
+        out, done = np.empty(int(self.lengths.sum()), np.uint32), []
+        for a, b in self.rules.tolist():
+            done.append((done[a - self.first] if a >= self.first else [a]) + (done[b - self.first] if b >= self.first else [b]))
+        for at, ids in zip(begin.tolist(), done, strict=True):
+            out[at : at + len(ids)] = ids
+        return out, begin
+
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(inner := np.flatnonzero(symbols >= self.first)):
-            size = np.ones(len(symbols), np.int64)
-            size[inner] = 2
-            start = np.cumsum(size) - size
-            out = np.empty(int(size.sum()), np.uint32)
-            out[start] = symbols
-            pair = self.rules[symbols[inner] - self.first]
-            out[start[inner]], out[start[inner] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+        ids, begin = self._rule_ids
+        symbols = symbols.astype(np.int64)
+        inner = np.flatnonzero(symbols >= self.first)
+        rule = symbols[inner] - self.first
+        size = np.ones(len(symbols), np.int64)
+        size[inner] = self.lengths[rule]
+        start = np.cumsum(size) - size
+        out = np.repeat(symbols.astype(np.uint32), size)
+        length = size[inner]
+        within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        out[np.repeat(start[inner], length) + within] = ids[np.repeat(begin[rule], length) + within]
+        return out
 
     def document(self, doc: int) -> np.ndarray:
         """All ids of one document."""

@@ -33,21 +33,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _pack(self, tokens: list) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in tokens])
+
     def _word(self, word: str) -> bytes:
         """Plain ASCII words go straight to the library's BPE model, all others through its whole chain."""
         if word.isascii():
             low = word.lower()
             if low.isalpha():
-                return np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
+                return self._pack(self.model.tokenize(low))
             if low[-1] in _PUNCTUATION and low[:-1].isalpha():
-                parts = self.model.tokenize(low[:-1]) + self.model.tokenize(low[-1])
-                return np.array([t.id for t in parts], "<u4").tobytes()
+                return self._pack(self.model.tokenize(low[:-1])) + self._pack(self.model.tokenize(low[-1]))
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _missing(self, word: str) -> bytes:
+        found = self.new.get(word)
+        if found is not None:
+            return found
         found = self.old.get(word)
         if found is None:
             found = self._word(word)
@@ -62,14 +69,11 @@ class Encoder:
             return b""
         if any(c in text for c in _NOT_SPACE):  # str.split() parts words here, the tokenizer doesn't
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        get, missing = self.new.get, self._missing
-        out = []
-        for word in text.split():
-            found = get(word)
-            if found is None:
-                found = missing(word)
-                get = self.new.get
-            out.append(found)
+        words = text.split()
+        out = list(map(self.new.get, words))
+        if None in out:
+            missing = self._missing
+            out = [missing(word) if found is None else found for word, found in zip(words, out, strict=True)]
         return b"".join(out)
 
 
