@@ -163,6 +163,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
     found = kept_table(found, "runs")
     seen = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("hi").alias("least"), F.max("hi").alias("most"))
     seen = seen.where("k > 1").select("anchor", (F.col("least") < F.col("most")).alias("mixed"))
+    # A table of its own, so that the join below reads plain rows and a hot anchor's can be split.
+    seen = kept_table(seen, "repeated-anchors")
     again = kept_table(found.join(seen, "anchor"), "repeated-runs")
 
     place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie", "a")
