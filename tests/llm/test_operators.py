@@ -197,6 +197,23 @@ def test_subset_sum(rng):
         assert abs((take * lengths).sum() - budget) == min(abs(x - budget) for x in reach)
 
 
+@pytest.mark.parametrize("n", [1000, 2500, 8000, 20_000])
+def test_subset_sum_of_many_lengths(rng, n):
+    lengths, counts = np.unique((rng.pareto(1.1, n) * 40 + 1).clip(1, 60_000).astype(int), return_counts=True)
+    total = int((lengths * counts).sum())
+    for share in (0.1, 0.5, 0.8, 0.95):
+        for repeats in (0, 2):
+            take = mixing.fill(lengths, counts, round(share * total), repeats)
+            assert (take <= counts).all() and (take >= 0).all()
+            assert (take * lengths).sum() == round(share * total)
+
+
+def test_subset_sum_of_long_documents():
+    lengths, counts = np.array([3, 2_000_000, 3_000_000]), np.array([1, 1, 1])
+    assert mixing.fill(lengths, counts, 2_000_004).tolist() == [1, 1, 0]
+    assert mixing.fill(lengths, counts, 2_900_000).tolist() == [0, 0, 1]
+
+
 def test_sharding_splits_only_what_is_too_large(docs, corpus):
     got = sharding.shard(docs, 1000).collect()
     assert len(got) == len(corpus)

@@ -3,9 +3,10 @@
 Each source's budget is its share of all words by weight; a budget never exceeds ``most`` times the
 source, the excess is dealt again by weight. A document is taken ``budget // source`` times whole,
 and the rest of the budget is a subset-sum problem over the source's documents: they are counted by
-exact length, a proportional part of each count is taken first, and a bounded-knapsack dynamic
-programme over what is left of the counts fills the remaining budget; documents are taken again (up
-to ``most`` times) only where single ones don't come near. Which documents of a length are taken is
+exact length, a proportional part of the counts is taken first (fractions are dealt on along the
+lengths, so that about the longest document's words are left), and a bounded-knapsack dynamic
+programme over all that is left of the counts fills the remaining budget; documents are taken again (up
+to ``most`` times) only where single ones miss the nearest sum. Which documents of a length are taken is
 decided by rank under a seeded hash.
 
 The programme runs in one task for each source, on its histogram of lengths (not its documents).
@@ -28,10 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 42
-#: Largest rest that the dynamic programme fills; a proportional part of the counts is taken before.
+#: The rest is widened up to so many words while the dynamic programme misses the nearest sum.
 WINDOW = 1 << 20
-#: Items after which the programme stops looking for an exact fill; far fewer are needed as a rule.
-MOST_ITEMS = 600
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -53,56 +52,95 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return found
 
 
+def proportional(lengths: np.ndarray, counts: np.ndarray, words: int) -> np.ndarray:
+    """The same share of the documents of every length, about ``words`` words in all and never more.
+
+    What a length's share leaves below a whole document goes on to the next shorter length, so that
+    lengths of one document take part; the words missed in the end are fewer than the longest has.
+    """
+    total = int((lengths * counts).sum())
+    take, left = np.zeros(len(lengths), object), 0  # left: in 1 / total words
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n, c = int(lengths[i]), int(counts[i])
+        left += c * n * words
+        take[i] = min(c, left // (n * total))
+        left -= take[i] * n * total
+    return take
+
+
+def nearest(lengths: np.ndarray, free: list[tuple[int, int]], rest: int, goals: list[int]) -> dict[int, int]:
+    """How many documents of each length index make the sum nearest to ``rest``, of ``free`` (index, count).
+
+    Bounded knapsack by binary splitting of counts over a bitset of reachable sums (an integer). Each
+    sum keeps the item that reached it first, from which the choice is read back; the items end only
+    when one of ``goals`` (sums that can't be bettered) is reached.
+    """
+    top = max(rest, min(2 * rest, rest + max((int(lengths[i]) for i, _ in free), default=0)))  # above rest sums may be nearer
+    reach, mask = 1, (1 << (top + 1)) - 1
+    first, items = np.zeros(top + 1, np.int32), []
+    for i, count in free:
+        if any(reach >> g & 1 for g in goals):
+            break
+        n, size = int(lengths[i]), 1
+        count = min(count, top // n)
+        while count > 0:
+            k = min(size, count)
+            if new := (reach << k * n) & mask & ~reach:
+                raw = np.frombuffer(new.to_bytes((top >> 3) + 1, "little"), np.uint8)
+                some = np.flatnonzero(raw)
+                byte, bit = np.nonzero(np.unpackbits(raw[some, None], axis=1, bitorder="little"))
+                first[some[byte] * 8 + bit] = len(items)
+                items.append((i, k))
+                reach |= new
+            count -= k
+            size *= 2
+    at = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    if above := reach >> (rest + 1):
+        least = rest + (above & -above).bit_length()
+        at = least if least - rest < rest - at else at
+    found: dict[int, int] = {}
+    while at > 0:
+        i, k = items[first[at]]
+        found[i] = found.get(i, 0) + k
+        at -= k * int(lengths[i])
+    return found
+
+
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, repeats: int = 0) -> np.ndarray:
     """How often to take documents of each length so that their words come nearest to ``budget``.
 
-    Each document once, and up to ``repeats`` times more where that is needed to come near. Bounded
-    knapsack by binary splitting of counts over a bitset of reachable sums (an integer), with one kept
-    state per item so that the choice is read back from the end.
+    Each document once, and up to ``repeats`` times more where single ones miss the nearest sum. A
+    proportional part leaves a rest of about the longest document to the knapsack; where the nearest
+    sum is missed, the rest is widened, up to ``WINDOW`` or the whole budget.
     """
-    order = np.argsort(-lengths, kind="stable")
-    lengths, counts = lengths[order].astype(object), counts[order].astype(object)
-    total = int((lengths * counts).sum())
-    take = np.zeros(len(lengths), object)
-    if total and budget > 0:
-        even = max(0, budget - int(lengths[0]))  # room is left for one of the longest
-        take[:] = [min(int(c), int(c) * even // total) for c in counts]
-        rest = budget - int((take * lengths).sum())
-        for i in range(len(lengths)):  # longest first, as long as the rest is above the window
-            if rest <= WINDOW:
-                break
-            k = min(counts[i] - take[i], (rest - WINDOW // 2) // lengths[i])
-            if k > 0:
+    if not len(lengths) or budget <= 0:
+        return np.zeros(len(lengths), np.int64)
+    lengths, counts = lengths.astype(object), counts.astype(object)
+    short_first = np.argsort(lengths.astype(np.int64), kind="stable").tolist()  # short documents fill gaps best
+    longest, total, step = int(max(lengths)), int((lengths * counts).sum()), int(np.gcd.reduce(lengths.astype(np.int64)))
+    best, missed = np.zeros(len(lengths), object), budget
+    most = total * (1 + repeats)
+    least = max(min(budget % step, step - budget % step), budget - most)  # no sum is nearer
+    for again in [0, repeats] if repeats else [0]:
+        room = longest
+        while True:
+            take = proportional(lengths, counts, min(total, max(0, budget - room)))
+            rest = budget - int((take * lengths).sum())
+            free = [(i, int(counts[i] - take[i])) for i in short_first] + [(i, int(counts[i]) * again) for i in short_first]
+            goals = [g for g in (rest - least, rest + least) if 0 <= g <= 2 * rest]
+            found = nearest(lengths, free, rest, goals)
+            for i, k in found.items():
                 take[i] += k
-                rest -= k * lengths[i]
-        if 0 < rest <= WINDOW:
-            top = rest + min(int(lengths[0]), WINDOW)  # sums above the rest may be nearer than those below
-            items: list[tuple[int, int]] = []
-            states, reach, mask = [], 1, (1 << (top + 1)) - 1
-            short_first = list(reversed(range(len(lengths))))  # short documents fill gaps best
-            rounds = [(i, int(counts[i] - take[i])) for i in short_first] + [(i, int(counts[i]) * repeats) for i in short_first]
-            for i, free in rounds:
-                free, size = min(free, top // int(lengths[i])), 1
-                while free > 0:
-                    k = min(size, free)
-                    states.append(reach)
-                    items.append((i, k))
-                    reach |= (reach << int(k * lengths[i])) & mask
-                    free -= k
-                    size *= 2
-                if reach >> rest & 1 or len(states) >= MOST_ITEMS:
-                    break
-            at = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-            if above := reach >> (rest + 1):
-                first = rest + (above & -above).bit_length()
-                at = first if first - rest < rest - at else at
-            for (i, k), before in zip(reversed(items), reversed(states), strict=True):
-                if not before >> at & 1:
-                    take[i] += k
-                    at -= int(k * lengths[i])
-    out = np.zeros(len(lengths), np.int64)
-    out[order] = take.astype(np.int64)
-    return out
+            miss = abs(budget - int((take * lengths).sum()))
+            if miss < missed:
+                best, missed = take, miss
+            wide = min(budget, max(WINDOW, longest))
+            if missed <= least or room >= wide:
+                break
+            room = min(8 * room, wide)
+        if missed <= least:
+            break
+    return best.astype(np.int64)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
