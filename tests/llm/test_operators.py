@@ -302,6 +302,19 @@ def test_shingles(corpus):
     assert len({int(shingles.word_hashes(x.encode())[0]) for x in (long, long + "a", "b" + long[1:], long[:5000] + "b" + long[5001:])}) == 4
 
 
+@pytest.mark.parametrize("stretch", ["x" * 5000, " " * 5000, "日" * 3000])
+def test_long_stretches_leave_other_words_alone(spark, stretch):
+    words = [f"w{i}" for i in range(300)]
+    plain = " ".join(words)
+    for text in (f"{stretch} {plain}", f"{plain} {stretch}", " ".join([*words[:100], stretch, *words[100:]])):
+        shared = set(shingles.word_hashes(plain.encode()).tolist())
+        assert shared <= set(shingles.word_hashes(text.encode()).tolist())
+        both = len(shingle_set(plain) & shingle_set(text))
+        assert len(np.intersect1d(shingles.shingle_hashes(plain), shingles.shingle_hashes(text))) == both >= 292
+    got = jaccard.join(table(spark, [(1, plain, None, None), (2, " ".join([*words[:100], stretch, *words[100:]]), None, None)])).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
 def test_jaccard_join(docs, corpus):
     sets = {}
     for i, t, _, _ in corpus:

@@ -53,7 +53,9 @@ def word_hashes(data: bytes) -> np.ndarray:
     if place.max() < _REACH:
         terms = terms * _POWER[place]
     else:  # a very long word, or very much white space: later stretches are weighed by their number too
-        terms = terms * _POWER[place % _REACH] * mix((place // _REACH).astype(np.uint64) + np.uint64(1))
+        terms = terms * _POWER[place % _REACH]
+        late = np.flatnonzero(place >= _REACH)  # the first stretch is not, so that words hash alike in all texts
+        terms[late] *= mix((place[late] // _REACH).astype(np.uint64) + np.uint64(1))
     return mix(np.add.reduceat(terms, begins))
 
 
