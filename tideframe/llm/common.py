@@ -8,17 +8,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Records of one Arrow batch sent to Python; texts are long, so batches are kept short.
-BATCH_ROWS = 512
-#: Cut points of an id order are literals of the plan, so their number is bounded; larger blocks spill.
-MOST_BLOCKS = 8192
+#: Bounds of one Arrow batch sent to Python: whole texts travel, so its bytes are bounded beside its rows.
+BATCH_ROWS = 4096
+BATCH_BYTES = 4 << 20
 #: Blocks of a hash order: 2 to this power. A group that holds a third of all rows is ranked in as many tasks.
 HASH_BLOCK_BITS = 10
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the size of Arrow batches: whole texts travel to the Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bound the size of Arrow batches, unless the session has a smaller bound: whole texts travel to the workers.
+
+    Spark reads these settings when a plan runs, which may be long after the operator returned, so they
+    stay set in the session.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")
+        if not (now.isdecimal() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
     return spark
 
 

@@ -1,7 +1,8 @@
 """Token-id files under Re-Pair grammar compression.
 
-Texts are encoded and cut into shards in ascending id order. In each shard, rounds replace the most
-frequent pairs of adjacent symbols by new nonterminals; no pair spans two documents. A shard stores
+Texts are encoded and cut into shards in ascending id order. In each shard, rounds replace the frequent
+pairs of adjacent symbols by new nonterminals, until no pair is frequent; no pair spans two documents.
+A shard stores
 its rules, the expansion length of each rule, where each document's symbols begin, and the symbols,
 so one document, or a range of its ids, is decoded without the rest of the shard.
 
@@ -9,7 +10,7 @@ Shards are rows of a Parquet table (binary payloads), so Spark's commit protocol
 that is lost and run again leaves no half-written file.
 
 Cases: null and empty texts give the end id alone; repeated doc_ids are separate documents, in the
-order of their texts; null doc_ids come first; an empty table gives an empty table of files; columns
+order of a hash of their texts; null doc_ids come first; an empty table gives an empty table of files; columns
 other than doc_id and text are ignored.
 """
 
@@ -25,70 +26,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import block_of, id_bounds, keep, prepare
-from tideframe.llm.tokens import END_ID, encoder, tokenizer_path
+from tideframe.llm.common import keep, prepare
+from tideframe.llm.tokens import encoder, gathered, tokenizer_path
 
 MAGIC = b"RPR1"
 SHARD_TOKENS = 2_000_000
-ROUNDS = 3
-RULES_A_ROUND = 4_000
+#: A pair seen so often in a shard gets a rule, if overlaps with more frequent pairs leave it so many uses.
 LEAST_COUNT = 16
+LEAST_USES = 8
 ROWS_A_BLOCK = 2_000
 SHARD_SCHEMA = "block int, seq int, doc_ids array<long>, n_tokens long, payload binary"
 
 
+def _chosen(place: np.ndarray) -> np.ndarray:
+    """Where pairs are replaced. ``place``: the rank of the pair at each place, -1 for none.
+
+    Of overlapping pairs the more frequent goes first; of equal ones the left. A second pass chooses
+    from what the first leaves free.
+    """
+    wins = np.zeros(len(place) + 1, bool)
+    at = np.flatnonzero(place >= 0)
+    for again in (True, False):
+        rank = place[at]
+        before = np.append(False, at[1:] == at[:-1] + 1)
+        after = np.append(before[1:], False)
+        won = ~(before & (np.append(0, rank[:-1]) <= rank)) & ~(after & (np.append(rank[1:], 0) < rank))
+        wins[at[won]] = True
+        if again:
+            rest = at[~won]
+            at = rest[~(wins[rest - 1] | wins[rest + 1])]
+            if not len(at):
+                break
+    return np.flatnonzero(wins)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (pairs) and last symbol positions of the documents.
 
-    ``ids``: uint32 ids of all documents, one after another; ``ends``: position of each document's last
-    id; ``first``: the first free symbol, above all ids.
+    ``ids``: ids of all documents, one after another; ``ends``: position of each document's last id;
+    ``first``: the first free symbol, above all ids. Each round replaces all pairs seen ``LEAST_COUNT``
+    times or more, most frequent first. Counts of pairs only fall, so later rounds look just at pairs
+    with a new symbol; they go on until no pair is frequent.
     """
-    wide = first > 0xFFFF
-    symbols, rules, limit = ids.astype(np.uint32), np.empty((0, 2), np.uint32), 1 << 16
+    symbols, rules = ids.astype(np.uint32, copy=True), np.empty((0, 2), np.uint32)
     ends = ends.astype(np.int64)
-    for _ in range(ROUNDS):
-        free = RULES_A_ROUND if wide else min(RULES_A_ROUND, limit - first - len(rules))
-        if free <= 0 or len(symbols) < 2:
+    fresh = np.ones(len(symbols), bool)  # symbols whose pairs may have become frequent
+    while len(symbols) > 1:
+        inside = fresh[:-1] | fresh[1:]
+        inside[ends[:-1]] = False
+        at = np.flatnonzero(inside)
+        if len(at) < LEAST_COUNT:
             break
-        left, right = symbols[:-1], symbols[1:]
-        if wide:
-            keys = left.astype(np.uint64) << np.uint64(32) | right
+        left, right = symbols[at].astype(np.uint64), symbols[at + 1].astype(np.uint64)
+        bits = np.uint64(len(symbols).bit_length())
+        width = np.uint64(int(first + len(rules)).bit_length())
+        if int(bits + width + width) <= 64:  # place below pair: one sort of plain numbers
+            ordered = np.sort((left << width | right) << bits | at.astype(np.uint64))
+            pair, at = ordered >> bits, (ordered & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
         else:
-            keys = left << np.uint32(16) | right
-        inside = np.ones(len(keys), bool)
-        inside[ends[:-1]] = False
-        ordered = np.sort(keys[inside])
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, int)
-        counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(often):
+            pair = left << np.uint64(32) | right
+            width = np.uint64(32)
+            order = np.argsort(pair, kind="stable")
+            pair, at = pair[order], at[order]
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        counts = np.diff(np.append(starts, len(pair)))
+        often = counts >= LEAST_COUNT
+        if not often.any():
             break
-        best = often[np.lexsort((ordered[starts[often]], -counts[often]))[:free]]
-        pairs = ordered[starts[best]]  # most frequent first
-        low, high = (np.uint64(0xFFFFFFFF), np.uint64(32)) if wide else (np.uint32(0xFFFF), np.uint32(16))
-        lefts, row = np.unique(pairs >> high, return_inverse=True)
-        rights, column = np.unique(pairs & low, return_inverse=True)
-        width = int(max(left.max(), right.max(), lefts[-1], rights[-1])) + 1
-        row_of, column_of = np.zeros(width, np.int32), np.zeros(width, np.int32)
-        row_of[lefts.astype(np.int64)] = np.arange(1, len(lefts) + 1)
-        column_of[rights.astype(np.int64)] = np.arange(1, len(rights) + 1)
-        table = np.full((len(lefts) + 1) * (len(rights) + 1), -1, np.int16)
-        table[(row + 1) * (len(rights) + 1) + column + 1] = np.arange(len(pairs))
-        rank = table[row_of[left] * np.int32(len(rights) + 1) + column_of[right]]
-        at = np.flatnonzero((rank >= 0) & inside)
-        rank = rank[at].astype(np.int64)
-        # of overlapping pairs the more frequent goes first; of equal ones the left
-        before = np.concatenate([[False], at[1:] == at[:-1] + 1])
-        after = np.append(before[1:], False)
-        wins = ~(before & (np.append(0, rank[:-1]) <= rank)) & ~(after & (np.append(rank[1:], 0) < rank))
-        at, rank = at[wins], rank[wins]
-        symbols = symbols.copy()
+        found = np.flatnonzero(often)
+        found = found[np.argsort(-counts[found], kind="stable")]  # most frequent first, then by symbols
+        rank = np.full(len(counts), -1, np.int64)
+        rank[found] = np.arange(len(found))
+        rank = np.repeat(rank, counts)
+        some = rank >= 0
+        place = np.full(len(symbols), -1, np.int32)  # back in the order of places
+        place[at[some]] = rank[some]
+        at = _chosen(place)
+        rank = place[at]
+        uses = np.bincount(rank, minlength=len(found))
+        kept = uses >= LEAST_USES  # a rule that overlaps leave too few uses is not worth its room
+        if not kept.any():
+            break
+        number = np.cumsum(kept) - 1
+        stays = kept[rank]
+        at, rank = at[stays], number[rank[stays]]
+        pairs = pair[starts[found[kept]]]
+        low = np.uint64((1 << int(width)) - 1)
         symbols[at] = (first + len(rules) + rank).astype(np.uint32)
-        stays = np.ones(len(symbols), bool)
-        stays[at + 1] = False
-        ends = np.cumsum(stays)[ends] - 1
-        symbols = symbols[stays]
-        rules = np.concatenate([rules, np.stack([pairs >> high, pairs & low], 1).astype(np.uint32)])
+        fresh = np.zeros(len(symbols), bool)
+        fresh[at] = True
+        alive = np.ones(len(symbols), bool)
+        alive[at + 1] = False
+        ends = np.cumsum(alive)[ends] - 1
+        symbols, fresh = symbols[alive], fresh[alive]
+        rules = np.concatenate([rules, np.stack([pairs >> width, pairs & low], 1).astype(np.uint32)])
     return symbols, rules, ends
 
 
@@ -101,9 +132,15 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def pack(symbols: np.ndarray, rules: np.ndarray, ends: np.ndarray, first: int) -> bytes:
-    kind = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
-    head = MAGIC + struct.pack("<5I", first, len(rules), len(ends), len(symbols), int(kind[2]))
-    parts = [rules.astype("<u4"), expansion_lengths(rules, first).astype("<u4"), (ends + 1).astype("<u4"), symbols.astype(kind)]
+    """Symbols are stored as their low 16 bits, then, where any has more, the rest of them in one byte each."""
+    top = first + len(rules)
+    if top > 1 << 24:
+        raise ValueError("symbols of a shard must fit 24 bits")
+    high = top > 1 << 16
+    head = MAGIC + struct.pack("<5I", first, len(rules), len(ends), len(symbols), high)
+    parts = [rules.astype("<u4"), expansion_lengths(rules, first).astype("<u4"), (ends + 1).astype("<u4"), (symbols & np.uint32(0xFFFF)).astype("<u2")]
+    if high:
+        parts.append((symbols >> np.uint32(16)).astype(np.uint8))
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -113,7 +150,7 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC:
             raise ValueError("not a Re-Pair shard")
-        self.first, n_rules, n_docs, n_symbols, size = struct.unpack_from("<5I", payload, 4)
+        self.first, n_rules, n_docs, n_symbols, high = struct.unpack_from("<5I", payload, 4)
         at = 24
         self.rules = np.frombuffer(payload, "<u4", 2 * n_rules, at).reshape(-1, 2)
         at += 8 * n_rules
@@ -121,13 +158,15 @@ class Shard:
         at += 4 * n_rules
         self.ends = np.frombuffer(payload, "<u4", n_docs, at).astype(np.int64)
         at += 4 * n_docs
-        self.symbols = np.frombuffer(payload, f"<u{size}", n_symbols, at)
+        self.symbols = np.frombuffer(payload, "<u2", n_symbols, at).astype(np.uint32)
+        if high:
+            self.symbols |= np.frombuffer(payload, np.uint8, n_symbols, at + 2 * n_symbols).astype(np.uint32) << np.uint32(16)
 
     def __len__(self) -> int:
         return len(self.ends)
 
     def _symbols(self, doc: int) -> np.ndarray:
-        return self.symbols[self.ends[doc - 1] if doc else 0 : self.ends[doc]].astype(np.uint32)
+        return self.symbols[self.ends[doc - 1] if doc else 0 : self.ends[doc]]
 
     @functools.cached_property
     def _rule_ids(self) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +214,7 @@ class Shard:
         size = np.ones(len(self.symbols), np.int64)
         size[inner] = self.lengths[self.symbols[inner].astype(np.int64) - self.first]
         reach = np.append(0, np.cumsum(size))[np.append(0, self.ends)]
-        ids = self._expand(self.symbols.astype(np.uint32))
+        ids = self._expand(self.symbols)
         for a, b in zip(reach[:-1].tolist(), reach[1:].tolist(), strict=True):
             yield ids[a:b]
 
@@ -183,45 +222,42 @@ class Shard:
 def write_shards(docs: DataFrame, path: str | None = None, name: str = "token-files") -> DataFrame:
     """Encode ``docs`` and write the shards to the shared folder; returns the table of files, read back.
 
-    ``path``: the tokenizer's file; every worker opens it, so it must be at the same place on all.
+    Documents are dealt by ranges of (doc_id, hash of the text), so that rows of one id, or without an id,
+    are dealt out too. ``path``: the tokenizer's file; every worker opens it, so it must be at the same
+    place on all.
     """
     prepare(docs.sparkSession)
     path = path or tokenizer_path()
-    rows = docs.select("doc_id", "text")
     blocks = max(1, docs.count() // ROWS_A_BLOCK)
-    bounds = id_bounds(docs, "doc_id", blocks)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         first = enc.tokenizer.get_vocab_size()
-        end = np.array([END_ID], "<u4").tobytes()
-        block, seq, doc_ids, parts, n = None, 0, [], [], 0
+        seq, doc_ids, parts, n, block = 0, [], [], 0, None
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            ends = np.cumsum([len(p) // 4 for p in parts]) - 1
-            payload = pack(*compress(ids, ends, first), first)
+            stops = np.cumsum([len(p) for p in parts])
+            payload = pack(*compress(np.concatenate(parts), stops - 1, first), first)
             return pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int32()), pa.array([seq], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([payload], pa.binary())],
                 names=["block", "seq", "doc_ids", "n_tokens", "payload"],
             )
 
-        for batch in batches:
-            for b, doc, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if parts and (b != block or n >= SHARD_TOKENS):
+        for batch in gathered(batches):
+            block = batch.column(0)[0].as_py()  # a task has one block
+            for doc, ids in zip(batch.column(1).to_pylist(), enc.each(batch.column(2)), strict=True):
+                if n >= SHARD_TOKENS:
                     yield shard()
-                    seq, doc_ids, parts, n = (seq + 1 if b == block else 0), [], [], 0
-                block = b
-                part = enc.ids(text) + end
+                    seq, doc_ids, parts, n = seq + 1, [], [], 0
                 doc_ids.append(doc)
-                parts.append(part)
-                n += len(part) // 4
+                parts.append(ids)
+                n += len(ids)
         if parts:
             yield shard()
 
-    placed = rows.select(block_of(F.col("doc_id"), bounds).alias("block"), "doc_id", "text")
-    placed = placed.repartition(len(bounds) + 1, "block").sortWithinPartitions("block", "doc_id", "text")
-    return keep(placed.mapInArrow(encode, SHARD_SCHEMA), name)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    placed = rows.repartitionByRange(blocks, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "text")
+    return keep(placed.select(F.spark_partition_id().alias("block"), "doc_id", "text").mapInArrow(encode, SHARD_SCHEMA), name)
 
 
 def read_documents(files: DataFrame) -> DataFrame:
