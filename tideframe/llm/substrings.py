@@ -4,15 +4,22 @@ A byte goes when it is covered by a string of ``length`` bytes that also starts
 or another document; overlaps count, and all is judged on the input. ``keep="first"`` leaves the first
 copy (by doc_id, then place) of each such string alone, ``keep="none"`` removes all copies.
 
-Candidates: in every window of ``length`` bytes the 100-byte gram of least hash is its anchor, so equal
-windows have equal anchors at equal places. Windows of one anchor that follow each other are a run; a
-run whose anchor occurs nowhere else has no repeat. Runs alike in every byte are one content, counted.
-Runs of one anchor and several contents go to suffix-array blocks: suffixes are sorted by their first
-``length`` bytes (prefix doubling over ranks), ties in document order, so the neighbour above in a run
-of equal prefixes is the previous smaller position in suffix order with a common prefix of ``length``
-or more - the longest-previous-factor match - and the neighbour below is the next one. An anchor with
-more contents than a block may hold is settled window by window instead, by counting window hashes
-(128 bits) with map-side combine: no anchor's contents meet in one task beyond ``BLOCK_BYTES``.
+Bringing equal strings together: in every window of ``length`` bytes the gram of least hash is its
+anchor, so equal windows have equal anchors at equal places. Windows of one anchor that follow each
+other are a run; a run whose anchor occurs nowhere else has no repeat. The bytes of all other runs (each
+content once, or twice where it has copies: a third copy adds nothing) go to suffix-array blocks, whole
+anchors to a block.
+
+Deciding: a block sorts the suffixes at its windows by their first ``length`` bytes (prefix doubling over
+ranks), ties by place in document order; common prefixes below ``length`` are of no use and count as 0.
+The previous and next smaller places in suffix order then give the longest previous factor of each
+window, the previous and next larger ones its longest next factor. A window with a previous factor of
+``length`` is a later copy; one with either is repeated.
+
+Skew: an anchor of 100 bytes that many different contents share (a common passage in many surroundings)
+may exceed a block. Its runs are anchored again by longer grams, up to grams of the whole window, where
+a run is one window and all contents of an anchor are equal. So no block outgrows ``BLOCK_BYTES`` by
+more than one anchor's, and all anchors end in suffix-array blocks.
 
 Cases: null texts are empty; texts shorter than ``length`` keep all; rows of one doc_id are separate
 documents told apart by their texts; rows equal in doc_id and text are copies of each other, and
@@ -31,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import keep as kept_table
-from tideframe.llm.common import prepare
+from tideframe.llm.common import partitions, prepare
 from tideframe.llm.shingles import mix
 
 LENGTH = 400
 GRAM = 100
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Gram lengths from the first to the whole window.
+LEVELS = 4
 _PIECE = 1 << 20
 _ODD = 0xBF58476D1CE4E5B9
 _BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
@@ -86,26 +95,70 @@ def ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
     Prefix doubling: the rank of 2k bytes comes from the ranks of k bytes here and k bytes on.
     """
+    n = len(text)
+    bits = n.bit_length()
 
     def dense(key: np.ndarray) -> np.ndarray:
-        return np.unique(key, return_inverse=True)[1].astype(np.uint64)
-
-    n = len(text)
-    padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
+        if 3 * bits > 64:
+            return np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        # two ranks and a place fit a number: plain numbers are sorted
+        ordered = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+        at, key = (ordered & np.uint64((1 << bits) - 1)).astype(np.int64), ordered >> np.uint64(bits)
+        rank = np.empty(len(key), np.uint64)
+        rank[at] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        return rank
+
+    have = min(length, max(1, 2 * bits // 8))
+    padded = np.append(text, np.zeros(have, np.uint8)).astype(np.uint64)
     word = np.zeros(n, np.uint64)
-    for k in range(min(8, length)):
+    for k in range(have):
         word = word << np.uint64(8) | padded[k : k + n]
-    rank, have = dense(word), min(8, length)
-    while have < length:
+    if have == length:
+        return dense(word[starts])
+    rank = dense(word)
+    while True:
         step = min(have, length - have)
         last = have + step == length
         at = starts if last else np.arange(n)
-        on = np.minimum(at + step, n - 1)
-        rank = dense(rank[at] * np.uint64(n + 1) + rank[on])
+        rank = dense(rank[at] << np.uint64(bits) | rank[np.minimum(at + step, n - 1)])
         if last:
             return rank
         have += step
-    return rank[starts]
+
+
+def nearest_smaller(place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, in suffix order, the nearest one before it of a smaller place, and their common prefix.
+
+    ``lcp[i]``: common prefix of suffixes i - 1 and i; the search ends where it is 0 (-1, 0 then). A suffix
+    jumps to where the one it looked at has jumped to: all between have larger places.
+    """
+    jump, reach = np.arange(-1, len(place) - 1), lcp.copy()
+    reach[:1] = 0
+    at = np.flatnonzero(reach > 0)
+    at = at[place[jump[at]] > place[at]]
+    while len(at):
+        on = jump[at]
+        reach[at] = np.minimum(reach[at], reach[on])
+        jump[at] = jump[on]
+        at = at[reach[at] > 0]
+        at = at[place[jump[at]] > place[at]]
+    jump[reach == 0] = -1
+    return jump, reach
+
+
+def longest_factors(place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of each suffix, in suffix order.
+
+    The longest match at a smaller place is that of the previous or of the next smaller place in suffix
+    order; at a larger place likewise.
+    """
+    back = np.append(lcp[:0], np.append(0, lcp[:0:-1])) if len(lcp) else lcp
+    found = []
+    for p in (place, -place):
+        before = nearest_smaller(p, lcp)[1]
+        after = nearest_smaller(p[::-1], back)[1][::-1]
+        found.append(np.maximum(before, after))
+    return found[0], found[1]
 
 
 def _intervals(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -119,38 +172,43 @@ def _factors(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarr
     sizes = np.array([len(t) for t in texts])
     n = sizes - length + 1
     first = np.cumsum(sizes) - sizes
-    starts = np.concatenate([np.arange(a, a + k) for a, k in zip(first.tolist(), n.tolist(), strict=True)])
+    starts = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     rank = ranks(text, starts, length)
-    order = np.argsort(rank, kind="stable")  # the suffix array, capped: equal prefixes by position
-    same = np.append(False, rank[order][1:] == rank[order][:-1])  # has a previous factor of the length
-    earlier = np.zeros(len(starts), bool)
-    earlier[order] = same
-    elsewhere = np.zeros(len(starts), bool)
-    elsewhere[order] = same | np.append(same[1:], False)
+    order = np.argsort(rank, kind="stable")
+    sorted_ = rank[order]
+    lcp = np.where(np.append(False, sorted_[1:] == sorted_[:-1]), length, 0)
+    previous, next_ = longest_factors(order, lcp)
+    earlier, elsewhere = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    earlier[order] = previous >= length
+    elsewhere[order] = np.maximum(previous, next_) >= length
     cuts = np.cumsum(n)[:-1]
     return list(zip(np.split(elsewhere, cuts), np.split(earlier, cuts), strict=True))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
-    """doc_id, tie, spans: arrays of (start, stop) bytes to remove, unmerged, for documents that have some."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").where(F.octet_length("text") >= length)
+def _level(length: int, gram: int, level: int) -> int:
+    return gram + (length - gram) * level // (LEVELS - 1)
+
+
+def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Runs of ``texts(doc_id, tie, text, parts)``: of the windows in parts (arrays of (a, n)), or of all windows."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ties, firsts, counts, hashes, digests = [], [], [], [], [], []
-            for doc, tie, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, tie, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 raw = np.frombuffer(data, np.uint8)
-                for lo in range(0, len(raw) - length + 1, _PIECE):
-                    first, n, h = runs(raw[lo : lo + _PIECE + length - 1], length, gram)
-                    first = first + lo
-                    for a, k in zip(first.tolist(), n.tolist(), strict=True):
-                        digests.append(hashlib.blake2b(data[a : a + k + length - 1], digest_size=16).digest())
-                    ids += [doc] * len(first)
-                    ties += [tie] * len(first)
-                    firsts.append(first)
-                    counts.append(n)
-                    hashes.append(h)
+                for begin, many in [(0, len(raw) - length + 1)] if parts is None else [(p["a"], p["n"]) for p in parts]:
+                    for lo in range(begin, begin + many, _PIECE):
+                        first, n, h = runs(raw[lo : min(lo + _PIECE, begin + many) + length - 1], length, gram)
+                        first = first + lo
+                        for a, k in zip(first.tolist(), n.tolist(), strict=True):
+                            digests.append(hashlib.blake2b(data[a : a + k + length - 1], digest_size=16).digest())
+                        ids += [doc] * len(first)
+                        ties += [tie] * len(first)
+                        firsts.append(first)
+                        counts.append(n)
+                        hashes.append(h)
             pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             flat = [np.concatenate([np.empty(0, t), *x]).astype(t) for x, t in ((firsts, np.int32), (counts, np.int32))]
             anchor = np.concatenate([np.empty(0, np.uint64), *hashes]).view(np.int64)
@@ -159,54 +217,75 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
                 names=["anchor", "hi", "lo", "doc_id", "tie", "a", "n"],
             )
 
-    found = texts.mapInArrow(anchors, "anchor long, hi long, lo long, doc_id long, tie long, a int, n int")
-    found = kept_table(found, "runs")
-    seen = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("hi").alias("least"), F.max("hi").alias("most"))
-    seen = seen.where("k > 1").select("anchor", (F.col("least") < F.col("most")).alias("mixed"))
-    # A table of its own, so that the join below reads plain rows and a hot anchor's can be split.
-    seen = kept_table(seen, "repeated-anchors")
-    again = kept_table(found.join(seen, "anchor"), "repeated-runs")
-
-    place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie", "a")
-    alike = again.where("not mixed").groupBy("hi", "lo").agg(F.min(place).alias("first"), F.first("n").alias("n"))
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    settled = alike.select("hi", "lo", "first", whole.alias("all"), none.alias("late"))
-
-    contents = again.where("mixed").groupBy("anchor", "hi", "lo").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first"), F.first("n").alias("n"))
-    contents = kept_table(contents, "contents")
-    loads = contents.groupBy("anchor").agg(F.sum(F.col("n") + (length - 1)).alias("load"))
-    big = contents.join(loads.withColumn("big", F.col("load") > BLOCK_BYTES).drop("load"), "anchor")
-    by_doc = big.groupBy(F.col("first.doc_id").alias("doc"), F.col("first.tie").alias("t")).agg(F.collect_list(F.struct("anchor", "hi", "lo", "m", F.col("first.a").alias("a"), "n", "big")).alias("parts"))
+    return texts.select("doc_id", "tie", "text", "parts").mapInArrow(anchors, "anchor long, hi long, lo long, doc_id long, tie long, a int, n int")
+
+
+_PARTS = "array<struct<a:int,n:int>>"
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
+    """doc_id, tie, spans: arrays of (start, stop) bytes to remove, unmerged, for documents that have some."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").where(F.octet_length("text") >= length)
+    looked, spans = texts.withColumn("parts", F.lit(None).cast(_PARTS)), None
+    for level in range(LEVELS):
+        found = kept_table(_anchored(looked, length, _level(length, gram, level)), "runs")
+        # A table of its own, so that the join below reads plain rows and a hot anchor's can be split.
+        seen = kept_table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "repeated-anchors")
+        again = kept_table(found.join(seen, "anchor"), "repeated-runs")
+        place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie", "a")
+        contents = again.groupBy("anchor", "hi", "lo").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first"), F.first("n").alias("n"))
+        contents = kept_table(contents, "contents")
+        hot = contents.groupBy("anchor").agg(F.sum((F.col("n") + (length - 1)) * F.least("m", F.lit(2))).alias("load"))
+        hot = kept_table(hot.where((F.col("load") > BLOCK_BYTES) & F.lit(level < LEVELS - 1)).select("anchor"), "hot-anchors")
+        more = not hot.isEmpty()
+        small = contents.join(hot, "anchor", "left_anti") if more else contents
+        results = _blocks(_contexts(texts, small, length), length)
+        part = _spans(again, results, length, keep)
+        spans = part if spans is None else spans.unionByName(part)
+        if not more:
+            break
+        parts = again.join(hot, "anchor", "left_semi").select("doc_id", "tie", "a", "n").distinct()
+        parts = parts.groupBy(F.col("doc_id").alias("doc"), F.col("tie").alias("t")).agg(F.collect_list(F.struct("a", "n")).alias("parts"))
+        looked = texts.join(parts, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tie") == F.col("t"))).select("doc_id", "tie", "text", "parts")
+    return spans.groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _contexts(texts: DataFrame, contents: DataFrame, length: int) -> DataFrame:
+    """The bytes of each content, from where it is first: anchor, hi, lo, m, doc_id, tie, a, n, bytes; kept."""
+    by_doc = contents.groupBy(F.col("first.doc_id").alias("doc"), F.col("first.tie").alias("t")).agg(F.collect_list(F.struct("anchor", "hi", "lo", "m", F.col("first.a").alias("a"), "n")).alias("parts"))
     on = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tie") == F.col("t"))
     cut = texts.join(by_doc, on).select("doc_id", "tie", F.encode("text", "utf-8").alias("raw"), F.explode("parts").alias("p"))
     cut = cut.select("p.*", "doc_id", "tie", F.expr(f"substring(raw, p.a + 1, p.n + {length - 1})").alias("bytes"))
     # rows equal in doc_id and text give a content twice: one is enough
-    cut = kept_table(cut.dropDuplicates(["anchor", "hi", "lo"]), "contexts")
-    results = settled.unionByName(_blocks(cut.where("not big"), length)).unionByName(_windows(cut.where("big"), length))
+    return kept_table(cut.dropDuplicates(["anchor", "hi", "lo"]), "contexts")
+
 
+def _spans(again: DataFrame, results: DataFrame, length: int, keep: str) -> DataFrame:
+    """doc_id, tie, spans of the runs whose contents are in ``results``."""
     joined = again.select("hi", "lo", "doc_id", "tie", "a").join(results, _ID)
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")) & (F.col("a") == F.col("first.a"))
     spans = F.when(is_first, F.col("late")).otherwise(F.col("all")) if keep == "first" else F.col("all")
     moved = F.transform(spans, lambda x: F.struct((F.col("a") + x["s"]).alias("s"), (F.col("a") + x["e"] + (length - 1)).alias("e")))
-    return joined.select("doc_id", "tie", moved.alias("spans")).where(F.size("spans") > 0).groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return joined.select("doc_id", "tie", moved.alias("spans")).where(F.size("spans") > 0)
 
 
 _RESULT = "hi long, lo long, first struct<has:boolean,doc_id:bigint,tie:bigint,a:int>, all array<struct<s:int,e:int>>, late array<struct<s:int,e:int>>"
 
 
 def _blocks(contexts: DataFrame, length: int) -> DataFrame:
-    """Results of contexts whose anchors fit a block: whole anchors are sorted, a block at a time."""
+    """hi, lo, first (place), all, late: windows of each content that are elsewhere, that are earlier; a block at a time."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size, last = 0, None
 
         def done() -> pa.RecordBatch:
-            out = []
-            for row, (elsewhere, earlier) in zip(held, _factors([r["bytes"] for r in held], length), strict=True):
-                if row["m"] > 1:
-                    elsewhere = np.ones_like(elsewhere)
+            out, copies = [], [r for r in held for _ in range(min(r["m"], 2))]
+            last = None
+            for row, (elsewhere, earlier) in zip(copies, _factors([r["bytes"] for r in copies], length), strict=True):
+                if row is last:  # the copy, of which all is earlier
+                    continue
+                last = row
                 spans = [[{"s": s, "e": e} for s, e in zip(*_intervals(x), strict=True)] for x in (elsewhere, earlier)]
                 first = {"has": row["doc_id"] is not None, "doc_id": row["doc_id"], "tie": row["tie"], "a": row["a"]}
                 out.append({"hi": row["hi"], "lo": row["lo"], "first": first, "all": spans[0], "late": spans[1]})
@@ -220,38 +299,14 @@ def _blocks(contexts: DataFrame, length: int) -> DataFrame:
                     yield done()
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row["bytes"]), row["anchor"]
+                size, last = size + len(row["bytes"]) * min(row["m"], 2), row["anchor"]
         if held:
             yield done()
 
-    placed = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tie", "a")
+    placed = contexts.repartition(partitions(contexts.sparkSession), "anchor").sortWithinPartitions("anchor", "doc_id", "tie", "a")
     return placed.mapInArrow(sort, _RESULT)
 
 
-def _windows(contexts: DataFrame, length: int) -> DataFrame:
-    """Results of contexts of hot anchors: every window is hashed and counted."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, n = row["bytes"], row["n"]
-                each = np.frombuffer(b"".join(hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(each[:, 0]), pa.array(each[:, 1]), *(pa.array([row[c]] * n, pa.int64()) for c in ("hi", "lo", "m", "doc_id", "tie")), pa.array([row["a"]] * n, pa.int32()), pa.array(range(n), pa.int32())],
-                    names=["w1", "w2", "hi", "lo", "m", "doc_id", "tie", "a", "d"],
-                )
-
-    rows = contexts.mapInArrow(hashes, "w1 long, w2 long, hi long, lo long, m long, doc_id long, tie long, a int, d int")
-    rows = kept_table(rows, "hot-windows")
-    first = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie", "a")
-    met = rows.groupBy("w1", "w2").agg(F.sum("m").alias("k"), F.min(F.struct(first.alias("f"), "d")).alias("lead"))
-    rows = rows.join(met, ["w1", "w2"]).withColumn("first", first)
-    late = (F.col("first") != F.col("lead.f")) | (F.col("d") != F.col("lead.d"))
-    one = F.struct(F.col("d").alias("s"), (F.col("d") + 1).alias("e"))
-    rows = rows.groupBy("hi", "lo", "first").agg(F.collect_list(F.when(F.col("k") > 1, one)).alias("all"), F.collect_list(F.when((F.col("k") > 1) & late, one)).alias("late"))
-    return rows.select("hi", "lo", "first", "all", "late")
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (maximal removed runs), kept (binary) of each row."""
     if keep not in ("none", "first"):
