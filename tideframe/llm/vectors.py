@@ -1,27 +1,30 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal axes is learned so that the signs of a vector's coordinates lose least
-(iterative quantisation); the signs are its code. Codes are cut into tables of 16 bits; two vectors are
-candidates when they agree in one table up to one flipped bit and their whole codes differ in at most
-``MOST_BITS`` bits. Candidates are reranked by the cosine of the original vectors in double precision.
-
-The rotation is fitted on at most ``SAMPLE`` vectors (those of least hash of their id); every vector is
-coded, indexed and searched for. Vectors equal in every component are one class, expanded by counts
-only; classes, candidates and components stay distributed. A link is found unless all tables hold two
-or more flipped bits: at the threshold of 0.95 about one in twenty is missed, above it far fewer.
-
-Cases: vectors that are null, zero, or hold null or non-finite components, or whose length is not the
-table's usual one, link with nothing and are their own component; repeated vec_ids are one node whose
-links are counted for each row; an empty table gives no rows; other columns are ignored.
+(iterative quantisation); the signs are its code. Codes are cut into tables; two vectors are candidates
+when they agree in one table up to one flipped bit and their first 64 bits differ in at most ``MOST_BITS``.
+Candidates are reranked by the cosine of the original vectors in double precision. A table has about
+log2 of the number of vectors bits, so that cells don't fill up as the corpus grows, and there are as
+many tables as the wanted recall needs at the threshold; short vectors get several rotations.
+
+The rotations are fitted on at most ``SAMPLE`` vectors (those of least hash of their id) of each length;
+every vector is coded, indexed and searched for. Vectors equal in every component are one class, expanded
+by counts only; classes, candidates and components stay distributed.
+
+Cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are
+their own component; vectors of different lengths link with none of each other (beyond the ``FITTED``
+most frequent lengths rotations are random, not fitted); repeated vec_ids are one node whose links are
+counted for each row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,28 +32,45 @@ from tideframe.llm.common import components, keep, prepare
 
 THRESHOLD = 0.95
 SAMPLE = 20_000
-TABLE_BITS = 16
+FITTED = 8
+LEAST_TABLE_BITS = 16
+MOST_TABLE_BITS = 30
+#: Chance that a pair at the threshold is found, by which tables are counted.
+RECALL = 0.94
 MOST_BITS = 18
 ROUNDS = 50
 
 
+def tables(total: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Bits of a table for so many vectors, and how many tables the recall takes."""
+    bits = min(MOST_TABLE_BITS, max(LEAST_TABLE_BITS, (max(total, 1) - 1).bit_length()))
+    flip = math.acos(threshold) / math.pi  # chance that a direction parts two vectors at the threshold
+    found = (1 - flip) ** bits + bits * flip * (1 - flip) ** (bits - 1)
+    return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - found)))
+
+
 def fit(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits) of unit vectors by iterative quantisation."""
+    """Mean and projection (dimensions x bits) of unit vectors by iterative quantisation.
+
+    Where there are fewer dimensions than bits, further rotations begin from other random ones.
+    """
     mean = sample.mean(axis=0)
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, :bits]
     low = centred @ axes
-    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(low.shape[1], low.shape[1])))[0]
-    for _ in range(rounds):
-        codes = np.where(low @ turn >= 0, 1.0, -1.0)
-        u, _, vt = np.linalg.svd(codes.T @ low)
-        turn = (u @ vt).T
-    return mean, axes @ turn
-
-
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+    rng, found = np.random.default_rng(seed), []
+    for k in range(-(-bits // low.shape[1])):
+        turn = np.linalg.qr(rng.normal(size=(low.shape[1], low.shape[1])))[0]
+        for _ in range(rounds if k == 0 else 0):  # further ones stay random: optima would resemble each other
+            codes = np.where(low @ turn >= 0, 1.0, -1.0)
+            u, _, vt = np.linalg.svd(codes.T @ low)
+            turn = (u @ vt).T
+        found.append(axes @ turn)
+    return mean, np.concatenate(found, axis=1)[:, :bits]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -62,59 +82,84 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding"))
 
 
-def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row."""
-    spark = prepare(vectors.sparkSession)
-    good = usable(vectors.where("vec_id is not null"))
-    usual = good.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    plain = vectors.select("vec_id")
-    if usual is None:
-        return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.where(F.size("embedding") == usual["d"])
-    total = usual["n"]
+def _coded(good: DataFrame, threshold: float) -> tuple[DataFrame, int] | None:
+    """vec_id, embedding, d (length), code (first 64 bits), cells (one for each table); and the bits of a table."""
+    lengths = good.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d")
+    top = lengths.limit(FITTED).collect()
+    if not top:
+        return None
+    width, count = tables(lengths.agg(F.sum("n")).first()[0], threshold)
+    bits = max(64, width * count)
     key = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
-    share = F.lit(min(1 << 20, -(-(SAMPLE << 20) // total)))  # how many vectors the rotation sees; no vector is left out later
-    sample = good.where(key < share).limit(2 * SAMPLE).toPandas()["embedding"].tolist() or [good.first()["embedding"]]
-    bits = min(64, usual["d"])
-    mean, project = fit(_unit(sample), bits)
+    models = {}
+    for row in top:
+        share = min(1 << 20, -(-(SAMPLE << 20) // row["n"]))  # how many vectors the rotation sees; no vector is left out later
+        some = good.where((F.size("embedding") == row["d"]) & (key < share)).select("embedding").limit(2 * SAMPLE)
+        rows = some.toArrow().column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, row["d"])
+        models[row["d"]] = fit(_unit(rows), bits) if len(rows) else _random(row["d"], bits)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(models)
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            x = _unit(rows) if rows else np.empty((0, usual["d"]))
-            signs = ((x - mean) @ project >= 0).astype(np.uint8)
-            wide = np.pad(signs, ((0, 0), (0, 64 - bits)))
-            code = np.packbits(wide, axis=1).view(">u8").astype(np.int64).ravel() if rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code), batch.column(1)], names=["vec_id", "code", "embedding"])
-
-    coded = keep(good.mapInArrow(encode, "vec_id long, code long, embedding array<double>"), "codes")
+            lists = batch.column(1)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            flat, begin = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+            signs = np.zeros((len(size), bits), np.uint8)
+            for d in np.unique(size).tolist():
+                if d not in known:
+                    known[d] = _random(d, bits)
+                mean, project = known[d]
+                rows = np.flatnonzero(size == d)
+                signs[rows] = (_unit(flat[begin[rows][:, None] + np.arange(d)]) - mean) @ project >= 0
+            code = np.packbits(signs[:, :64], axis=1).view(">u8").astype(np.int64).ravel()
+            cells = signs[:, : width * count].reshape(len(size), count, width) @ (1 << np.arange(width)[::-1])
+            cells = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel(), pa.int32()), count).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(size, pa.int32()), pa.array(code), cells], names=["vec_id", "embedding", "d", "code", "cells"])
+
+    return keep(good.mapInArrow(encode, "vec_id long, embedding array<double>, d int, code long, cells array<int>"), "codes"), width
+
+
+def _random(d: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(d)
+    turns = [np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(-(-bits // d))]
+    return np.zeros(d), np.concatenate(turns, axis=1)[:, :bits]
+
+
+def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row."""
+    prepare(vectors.sparkSession)
+    plain = vectors.select("vec_id")
+    found = _coded(usable(vectors.where("vec_id is not null")), threshold)
+    if found is None:
+        return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    coded, width = found
     members = coded.select("vec_id", F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256).alias("same"))
     members = keep(members, "vector-classes")
     classes = keep(members.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many")), "vector-counts")
     reps = coded.join(classes.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"])
     reps = keep(reps, "vector-reps")
 
-    tables = -(-bits // TABLE_BITS)
-    mask = (1 << TABLE_BITS) - 1
-    part = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.struct(t.alias("t"), F.expr("0L").alias("z")))
-    at = reps.select(F.col("vec_id").alias("v"), "code", F.explode(part).alias("p"))
-    at = at.select("v", "code", F.col("p.t").alias("t"), F.expr(f"cast(shiftrightunsigned(code, 64 - {TABLE_BITS} * (p.t + 1)) & {mask} as int)").alias("cell"))
-    flips = [0] + [1 << k for k in range(TABLE_BITS)]
-    probe = at.select(F.col("v").alias("b"), F.col("code").alias("code_b"), "t", F.explode(F.array(*[F.col("cell").bitwiseXOR(F.lit(x)) for x in flips])).alias("cell"))
-    stored = at.select(F.col("v").alias("a"), F.col("code").alias("code_a"), "t", "cell")
-    close = stored.join(probe, ["t", "cell"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= MOST_BITS))
+    at = reps.select(F.col("vec_id").alias("v"), "code", "d", F.posexplode("cells").alias("t", "cell"))
+    flips = [0] + [1 << k for k in range(width)]
+    probe = at.select(F.col("v").alias("b"), F.col("code").alias("code_b"), "d", "t", F.explode(F.array(*[F.col("cell").bitwiseXOR(F.lit(x)) for x in flips])).alias("cell"))
+    stored = at.select(F.col("v").alias("a"), F.col("code").alias("code_a"), "d", "t", "cell")
+    close = stored.join(probe, ["t", "cell", "d"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= MOST_BITS))
     pairs = keep(close.select("a", "b").distinct(), "vector-pairs")
 
-    @F.pandas_udf("double")
-    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        p, q = np.stack(x.to_numpy()).astype(float), np.stack(y.to_numpy()).astype(float)
-        return pd.Series((p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))))
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            begin = np.cumsum(size) - size
+            x, y = (batch.column(i).flatten().to_numpy() for i in (2, 3))
+            near = np.zeros(0, bool)
+            if len(size):
+                xy, xx, yy = (np.add.reduceat(v, begin) for v in (x * y, x * x, y * y))
+                near = xy / (np.sqrt(xx) * np.sqrt(yy)) >= threshold
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     one = reps.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
     two = reps.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    links = pairs.join(one, "a").join(two, "b").where(cosine("x", "y") >= threshold).select("a", "b")
+    links = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(rerank, "a long, b long")
     links = keep(links, "vector-links")
 
     many = classes.select("rep", "many")
