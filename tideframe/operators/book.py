@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.operators.candles import bucketed
+from tideframe.operators.spans import with_islands, with_previous, with_running
 
 
 def quote_state(bid: str = "bid", ask: str = "ask") -> Column:
@@ -13,9 +14,12 @@ def quote_state(bid: str = "bid", ask: str = "ask") -> Column:
     return F.when(b.isNull() | a.isNull(), "incomplete").when(b > a, "crossed").when(b == a, "locked").otherwise("normal")
 
 
-def midpoint(bid: str = "bid", ask: str = "ask") -> Column:
-    """Half the sum of a valid quote's sides; null if crossed or incomplete."""
-    return F.when(F.col(bid) <= F.col(ask), (F.col(bid) + F.col(ask)) / 2)
+def midpoint(bid: str = "bid", ask: str = "ask", age: str | None = None, most_age: int | None = None) -> Column:
+    """Half the sum of a valid quote's sides; null if crossed, incomplete or (given its ``age``) stale."""
+    valid = F.col(bid) <= F.col(ask)
+    if age is not None:
+        valid = valid & (F.col(age) <= most_age)
+    return F.when(valid, (F.col(bid) + F.col(ask)) / 2)
 
 
 def quote_measures(quotes: DataFrame) -> DataFrame:
@@ -57,10 +61,9 @@ def visible_depth(depth: DataFrame, keys: list[str], levels: int) -> DataFrame:
 
 
 def liquidity_change(depth: DataFrame, keys: list[str]) -> DataFrame:
-    """Size added and removed at each side and level since the snapshot before."""
-    place = [*keys, "side", "level"]
-    change = F.col("size") - F.lag("size").over(Window.partitionBy(*place).orderBy("ts", "seq"))
-    moved = depth.withColumn("change", change)
+    """Size added and removed at each side and price since it was last shown."""
+    place = [*keys, "side", "price"]
+    moved = with_previous(depth, place, ["size"]).withColumn("change", F.col("size") - F.col("prev_size"))
     return moved.groupBy(*place).agg(F.sum(F.when(F.col("change") > 0, F.col("change")).otherwise(0)).alias("added"), F.sum(F.when(F.col("change") < 0, -F.col("change")).otherwise(0)).alias("removed"))
 
 
@@ -70,10 +73,10 @@ def persistence(depth: DataFrame, keys: list[str], least_size: float, place: lis
     Snapshots are numbered by key; a place's island breaks where its numbers skip one.
     """
     snaps = depth.select(*keys, "ts", "seq", "es").distinct()
-    snaps = snaps.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "seq"))).drop("ts", "es")
+    snaps = with_running(snaps, keys, F.lit(1), "k").drop("ts", "es")
     large = depth.where(F.col("size") >= least_size).join(snaps, [*keys, "seq"])
-    gap = F.col("k") - F.row_number().over(Window.partitionBy(*keys, *place).orderBy("k"))
-    islands = large.withColumn("island", gap).groupBy(*keys, *place, "island")
+    large = with_previous(large, [*keys, *place], ["k"])
+    islands = with_islands(large, [*keys, *place], F.col("k") != F.col("prev_k") + 1, "island").groupBy(*keys, *place, "island")
     return islands.agg(F.min("es").alias("start_es"), F.max("es").alias("end_es"), F.count(F.lit(1)).alias("snapshots")).drop("island")
 
 

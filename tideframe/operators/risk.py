@@ -4,22 +4,35 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.scalars import clamp
+from tideframe.operators.spans import with_islands, with_previous
+
+
+#: Hart's rational approximation of the normal distribution function, highest power first.
+_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
 
 def normal_cdf(x: Column) -> Column:
-    """The normal distribution function; Spark has no error function, so an Arrow batch at a time."""
+    """The normal distribution function, to about 1e-15; Spark has no error function."""
 
-    @F.pandas_udf("double")
-    def cdf(values: pd.Series) -> pd.Series:
-        return pd.Series([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in values.to_numpy(np.float64)])
+    def polynomial(of: tuple[float, ...], a: Column) -> Column:
+        value = F.lit(of[0])
+        for c in of[1:]:
+            value = value * a + c
+        return value
 
-    return cdf(x)
+    a = F.abs(x)
+    density = F.exp(-a * a / 2)
+    fraction = a + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        fraction = a + k / fraction
+    near = density * polynomial(_ABOVE, a) / polynomial(_BELOW, a)
+    tail = F.when(a < 7.07106781186547, near).otherwise(density / fraction / math.sqrt(2 * math.pi))
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
 def option_greeks(chain: DataFrame) -> DataFrame:
@@ -56,35 +69,12 @@ def gamma_pressure(futures_imbalance: Column, funding: Column, basis: Column, ga
     return clamp(lean * clamp(65.0 * gamma * spot, 0.0, 1.0), -1.0, 1.0)
 
 
-def _folded(df: DataFrame, keys: list[str], inputs: list[str], start: Column, step, name: str) -> DataFrame:
-    """A recursion over each key's rows in order (bucket): its value after every row, as rows."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", *inputs))).alias("xs"))
-    begin = F.struct(start.alias("v"), F.array().cast("array<double>").alias("all"))
-
-    def on(acc: Column, x: Column) -> Column:
-        v = step(acc["v"], x)
-        return F.struct(v.alias("v"), F.concat(acc["all"], F.array(v)).alias("all"))
-
-    rows = rows.withColumn("vs", F.aggregate("xs", begin, on)["all"])
-    return rows.select(*keys, F.explode(F.arrays_zip("xs", "vs")).alias("z")).select(*keys, "z.xs.bucket", F.col("z.vs").alias(name))
-
-
-def ewma_variance(bars: DataFrame, keys: list[str], start: float = 0.5) -> DataFrame:
-    """Annual volatility by the clamped variance recursion over bars (bucket, var, regime_vol).
+def _folded(bars: DataFrame, keys: list[str], step, start: float, name: str) -> DataFrame:
+    """A recursion over each key's bars in order (bucket): its value after every bar.
 
-    ``var`` is the bar's annualised squared return, capped. Meant for bars: a key's bars are one array;
-    ``ewma_variance_blocks`` is the same fold for keys of more bars than a task should hold.
+    Rows are streamed in order through a task by key; only one state is held.
     """
 
-    def step(v: Column, x: Column) -> Column:
-        return clamp(F.sqrt(0.92 * v * v + 0.055 * x["regime_vol"] * x["regime_vol"] + 0.025 * x["var"]), 0.15, 1.80)
-
-    return _folded(bars, keys, ["var", "regime_vol"], F.lit(start), step, "volatility")
-
-
-def ewma_variance_blocks(bars: DataFrame, keys: list[str], start: float = 0.5) -> DataFrame:
-    """As ``ewma_variance``, rows streamed in order through a task by key: only one state is held."""
-
     def fold(batches):
         last, v = None, start
         for pdf in batches:
@@ -93,17 +83,61 @@ def ewma_variance_blocks(bars: DataFrame, keys: list[str], start: float = 0.5) -
                 key = tuple(getattr(row, k) for k in keys)
                 if key != last:
                     last, v = key, start
-                v = min(1.80, max(0.15, math.sqrt(0.92 * v * v + 0.055 * row.regime_vol**2 + 0.025 * row.var)))
+                v = step(v, row)
                 values.append(v)
-            yield pdf[[*keys, "bucket"]].assign(volatility=values)
+            yield pdf[[*keys, "bucket"]].assign(**{name: values})
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.select(*keys, "bucket").schema) + ", volatility double"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.select(*keys, "bucket").schema) + f", {name} double"
     return bars.repartition(*keys).sortWithinPartitions(*keys, "bucket").mapInPandas(fold, schema)
 
 
+def variance_step(v: float, row) -> float:
+    """The clamped variance recursion: annual volatility after a bar of (var, regime_vol)."""
+    return min(1.80, max(0.15, math.sqrt(0.92 * v * v + 0.055 * row.regime_vol**2 + 0.025 * row.var)))
+
+
+def stress_step(v: float, row) -> float:
+    return min(1.0, max(0.02, 0.82 * v + 0.18 * row.target))
+
+
+def ewma_variance_blocks(bars: DataFrame, keys: list[str], start: float = 0.5) -> DataFrame:
+    """Annual volatility by the clamped variance recursion over bars (bucket, var, regime_vol).
+
+    ``var`` is the bar's annualised squared return, capped.
+    """
+    return _folded(bars.select(*keys, "bucket", "var", "regime_vol"), keys, variance_step, start, "volatility")
+
+
+def ewma_variance(bars: DataFrame, keys: list[str], start: float = 0.5) -> DataFrame:
+    """As ``ewma_variance_blocks`` in expressions: a key's bars are one array, so it is meant for few bars a key.
+
+    The values so far are kept newest first in chunks, so that a step copies a chunk and not all of them.
+    """
+    rows = bars.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "var", "regime_vol"))).alias("xs"))
+    one = F.array().cast("array<double>")
+    begin = F.struct(F.lit(start).alias("v"), one.alias("part"), F.array(one).alias("parts"))
+
+    def on(acc: Column, x: Column) -> Column:
+        v = acc["v"]
+        v = clamp(F.sqrt(0.92 * v * v + 0.055 * x["regime_vol"] * x["regime_vol"] + 0.025 * x["var"]), 0.15, 1.80)
+        full = F.size(acc["part"]) >= 256
+        part = F.when(full, F.array(v)).otherwise(F.concat(acc["part"], F.array(v)))
+        parts = F.when(full, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"])
+        return F.struct(v.alias("v"), part.alias("part"), parts.alias("parts"))
+
+    done = F.aggregate("xs", begin, on)
+    rows = rows.withColumn("done", done).withColumn("vs", F.concat(F.flatten("done.parts"), F.col("done.part")))
+    return rows.select(*keys, F.explode(F.arrays_zip("xs", "vs")).alias("z")).select(*keys, "z.xs.bucket", F.col("z.vs").alias("volatility"))
+
+
 def stress(bars: DataFrame, keys: list[str], start: float = 0.1) -> DataFrame:
     """Liquidity stress over bars (bucket, target): 0.82 of the last value and 0.18 of the target."""
-    return _folded(bars, keys, ["target"], F.lit(start), lambda v, x: clamp(0.82 * v + 0.18 * x["target"], 0.02, 1.0), "stress")
+    return _folded(bars.select(*keys, "bucket", "target"), keys, stress_step, start, "stress")
+
+
+def standardised_move(log_return: Column, volatility: Column, years: float) -> Column:
+    """A bar's move in deviations of the volatility known before it."""
+    return F.abs(log_return) / F.greatest(volatility * math.sqrt(years), F.lit(1e-8))
 
 
 def stress_target(spot: Column, futures: Column, shock: Column) -> Column:
@@ -128,24 +162,24 @@ def autocorrelation(series: DataFrame, keys: list[str], value: str, first: int =
 
 def runs(rows: DataFrame, keys: list[str], label: str = "regime", es: str = "es", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """Maximal runs of one label: start, end, rows."""
-    seq = Window.partitionBy(*keys).orderBy(*order)
-    new = F.when(F.lag(label).over(seq).eqNullSafe(F.col(label)), 0).otherwise(1)
-    marked = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = with_previous(rows.withColumn("_some", F.lit(1)), keys, [label, "_some"], order, at=es)
+    begins = F.col("prev__some").isNull() | ~F.col(f"prev_{label}").eqNullSafe(F.col(label))
+    marked = with_islands(seen, keys, begins, "run", order, at=es)
     return marked.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min(es).alias("start_es"), F.max(es).alias("end_es"), F.count(F.lit(1)).alias("rows"))
 
 
 def transitions(found: DataFrame, keys: list[str], label: str = "regime") -> DataFrame:
     """How often each label follows another, and the share among its successors."""
-    after = F.lead(label).over(Window.partitionBy(*keys).orderBy("run"))
-    pairs = found.withColumn("next", after).where("next is not null").groupBy(label, "next").agg(F.count(F.lit(1)).alias("n"))
+    after = found.select(*keys, (F.col("run") - 1).alias("run"), F.col(label).alias("next"))  # runs are numbered in order
+    pairs = found.select(*keys, "run", label).join(after, [*keys, "run"]).groupBy(label, "next").agg(F.count(F.lit(1)).alias("n"))
     return pairs.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(label)))
 
 
 def liquidation_ratio(state: DataFrame, keys: list[str], severe: float = 0.002) -> DataFrame:
-    before = F.lag("open_interest").over(Window.partitionBy(*keys).orderBy("ts", "seq"))
-    q = (F.col("long_liquidations") + F.col("short_liquidations")) / F.greatest(before, F.lit(1.0))
-    q = F.when(before.isNotNull(), q).otherwise(F.col("long_liquidations") + F.col("short_liquidations"))
-    return state.withColumn("ratio", q).withColumn("severe", F.coalesce(F.col("ratio") > severe, F.lit(False)))
+    """Liquidations of each row over the open interest before it (at least 1), and whether that is severe."""
+    seen = with_previous(state, keys, ["open_interest"])
+    q = (F.col("long_liquidations") + F.col("short_liquidations")) / F.greatest(F.coalesce("prev_open_interest", F.lit(1.0)), F.lit(1.0))
+    return seen.withColumn("ratio", q).withColumn("severe", F.coalesce(F.col("ratio") > severe, F.lit(False))).drop("prev_open_interest")
 
 
 #: Horizons of a liquidation map, in days.

@@ -112,10 +112,31 @@ for _name, _ref, _asset in (("eq_c1_reference_quote", "ETHUSDT", "BTCUSDT"), ("e
 
 
 _MEASURES = {
-    "eq_c1_midpoint": ("mid", f"CASE WHEN {_VALID} THEN (bid + ask) / 2 END"),
     "eq_c8_top_imbalance": ("imbalance", "(bid_size - ask_size) / (bid_size + ask_size)"),
     "eq_c8_microprice": ("microprice", f"CASE WHEN {_VALID} THEN (bid * ask_size + ask * bid_size) / (bid_size + ask_size) END"),
 }
+_FRESH = 7200  # a quote older than this at the time of a trade is stale
+
+
+@query(
+    "eq_c1_midpoint",
+    "trades",
+    "quotes",
+    sql=f"""SELECT t.seq, t.symbol, round(CASE WHEN q.bid <= q.ask AND t.es - q.es <= {_FRESH} THEN (q.bid + q.ask) / 2 END, 9) AS value
+    FROM {{trades}} t ASOF LEFT JOIN {{quotes}} q ON t.symbol = q.symbol AND t.exchange = q.exchange AND t.ts >= q.ts""",
+)
+def quote_midpoint(trades: DataFrame, quotes: DataFrame) -> DataFrame:
+    """At each time of the tape; null where the quote in force is missing, crossed or stale."""
+    met = asof(trades, quotes, ["symbol", "exchange"], ["bid", "ask"]).withColumn("age", F.col("es") - F.col("q_es"))
+    return met.select("seq", "symbol", F.round(B.midpoint("q_bid", "q_ask", "age", _FRESH), 9).alias("value"))
+
+
+@query("quote_midpoint", "quotes", sql=f"SELECT seq, symbol, round(CASE WHEN {_VALID} THEN (bid + ask) / 2 END, 9) AS value FROM {{quotes}}")
+def own_midpoint(quotes: DataFrame) -> DataFrame:
+    """Of each quote as it came in."""
+    return B.quote_measures(quotes).select("seq", "symbol", F.round("mid", 9).alias("value"))
+
+
 for _name, (_column, _expr) in _MEASURES.items():
 
     @query(_name, "quotes", sql=f"SELECT seq, symbol, round({_expr}, 9) AS value FROM {{quotes}}")
@@ -162,11 +183,11 @@ for _name, _column, _expr in (
 @query(
     "eq_c8_displayed_liquidity_change",
     "depth",
-    sql="""WITH d AS (SELECT symbol, exchange, side, level, size - lag(size) OVER (PARTITION BY symbol, exchange, side, level ORDER BY ts, seq) AS ch FROM {depth})
-    SELECT symbol, exchange, side, level, sum(greatest(coalesce(ch, 0), 0))::BIGINT AS added, sum(greatest(-coalesce(ch, 0), 0))::BIGINT AS removed FROM d GROUP BY ALL""",
+    sql="""WITH d AS (SELECT symbol, exchange, side, round(price, 6) AS price, size - lag(size) OVER (PARTITION BY symbol, exchange, side, round(price, 6) ORDER BY ts, seq) AS ch FROM {depth})
+    SELECT symbol, exchange, side, price, sum(greatest(coalesce(ch, 0), 0))::BIGINT AS added, sum(greatest(-coalesce(ch, 0), 0))::BIGINT AS removed FROM d GROUP BY ALL""",
 )
 def liquidity_change(depth: DataFrame) -> DataFrame:
-    return B.liquidity_change(depth, ["symbol", "exchange"])
+    return B.liquidity_change(depth.withColumn("price", F.round("price", 6)), ["symbol", "exchange"])
 
 
 @query("eq_c8_large_visible_order", "depth", sql="SELECT seq, symbol, side, level, size FROM {depth} WHERE size >= 300")
@@ -178,11 +199,11 @@ def large_visible(depth: DataFrame) -> DataFrame:
     "eq_c8_visible_liquidity_persistence",
     "depth",
     sql="""WITH s AS (SELECT DISTINCT symbol, exchange, ts, seq FROM {depth}), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, exchange ORDER BY ts, seq) AS k FROM s),
-    l AS (SELECT d.*, k.k, k.k - row_number() OVER (PARTITION BY d.symbol, d.exchange, d.side, d.level ORDER BY k.k) AS island FROM {depth} d JOIN k ON d.symbol = k.symbol AND d.exchange = k.exchange AND d.seq = k.seq WHERE size >= 300)
-    SELECT symbol, exchange, side, level, min(es) AS start_es, max(es) AS end_es, count(*) AS snapshots FROM l GROUP BY symbol, exchange, side, level, island""",
+    l AS (SELECT d.* REPLACE (round(d.price, 6) AS price), k.k, k.k - row_number() OVER (PARTITION BY d.symbol, d.exchange, d.side, round(d.price, 6) ORDER BY k.k) AS island FROM {depth} d JOIN k ON d.symbol = k.symbol AND d.exchange = k.exchange AND d.seq = k.seq WHERE size >= 300)
+    SELECT symbol, exchange, side, price, min(es) AS start_es, max(es) AS end_es, count(*) AS snapshots FROM l GROUP BY symbol, exchange, side, price, island""",
 )
 def liquidity_persistence(depth: DataFrame) -> DataFrame:
-    return B.persistence(depth, ["symbol", "exchange"], 300, ["side", "level"])
+    return B.persistence(depth.withColumn("price", F.round("price", 6)), ["symbol", "exchange"], 300, ["side", "price"])
 
 
 @query(
@@ -208,16 +229,20 @@ def large_activity(trades: DataFrame, depth: DataFrame) -> DataFrame:
 @query(
     "eq_c8_depth_tape_alignment",
     "trades",
+    "quotes",
     "depth",
-    sql=f"""WITH {_SNAP}, d AS (SELECT symbol, es // 3600 * 3600 AS bucket, avg((b - a) / (b + a)::DOUBLE) AS i FROM s GROUP BY ALL),
-    n AS (SELECT symbol, es // 3600 * 3600 AS bucket, sum(CASE side WHEN 'BUY' THEN size WHEN 'SELL' THEN -size ELSE 0 END) AS net FROM {{trades}} GROUP BY ALL)
+    sql=f"""WITH {_SNAP}, e AS (SELECT t.symbol, t.es, t.size, CASE WHEN q.bid < q.ask AND t.price >= q.ask THEN 'BUY' WHEN q.bid < q.ask AND t.price <= q.bid THEN 'SELL' ELSE 'UNKNOWN' END AS side
+        FROM {{trades}} t ASOF LEFT JOIN {{quotes}} q ON t.symbol = q.symbol AND t.exchange = q.exchange AND t.ts >= q.ts),
+    d AS (SELECT symbol, es // 3600 * 3600 AS bucket, avg((b - a) / (b + a)::DOUBLE) AS i FROM s GROUP BY ALL),
+    n AS (SELECT symbol, es // 3600 * 3600 AS bucket, sum(CASE side WHEN 'BUY' THEN size WHEN 'SELL' THEN -size ELSE 0 END) AS net FROM e GROUP BY ALL)
     SELECT symbol, count(*) AS bars, count(*) FILTER (sign(round(i, 9)) = sign(net)) AS aligned FROM d JOIN n USING (symbol, bucket) GROUP BY 1""",
 )
-def alignment(trades: DataFrame, depth: DataFrame) -> DataFrame:
-    """Hours in which the mean depth imbalance and the net tape volume point the same way."""
+def alignment(trades: DataFrame, quotes: DataFrame, depth: DataFrame) -> DataFrame:
+    """Hours in which the mean depth imbalance and the net estimated aggressor volume point the same way."""
     book = B.visible_depth(depth, ["symbol", "seq", "es"], 5)
     book = C.bucketed(book, 3600).groupBy("symbol", "bucket").agg(F.avg("imbalance").alias("i"))
-    tape = C.bucketed(trades, 3600).groupBy("symbol", "bucket").agg(F.sum(W.signed()).alias("net"))
+    met = asof(trades.drop("side"), quotes, ["symbol", "exchange"], ["bid", "ask"])
+    tape = C.bucketed(met.withColumn("side", W.aggressor(met)), 3600).groupBy("symbol", "bucket").agg(F.sum(W.signed()).alias("net"))
     same = F.signum(F.round("i", 9)) == F.signum("net")
     return book.join(tape, ["symbol", "bucket"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count(F.when(same, 1)).alias("aligned"))
 
@@ -235,6 +260,21 @@ def book_heatmap(depth: DataFrame) -> DataFrame:
     return sides[0].union(sides[1]).select("symbol", "bucket", "side", (F.col("p") + 1).alias("level"), F.round("x.price", 6).alias("price"), F.col("x.qty").alias("qty"))
 
 
+for _name, _market in (("book_heatmap_spot", "spot"), ("book_heatmap_perpetual", "futures")):
+
+    @query(
+        _name,
+        "depth",
+        sql=f"""WITH m AS (SELECT * FROM {{depth}} WHERE market = '{_market}'), l AS (SELECT symbol, exchange, es // 14400 * 14400 AS bucket, arg_max(seq, (ts, seq)) AS seq FROM m GROUP BY ALL)
+        SELECT m.symbol, m.exchange, l.bucket, m.side, m.level, round(m.price, 6) AS price, m.size AS qty FROM m JOIN l ON m.symbol = l.symbol AND m.exchange = l.exchange AND m.seq = l.seq""",
+    )
+    def _heatmap(depth: DataFrame, market: str = _market) -> DataFrame:
+        """By venue; both ladders flat, best level first."""
+        nested = B.heatmap(depth.where(F.col("market") == market), ["symbol", "exchange"], 14400)
+        sides = [nested.select("symbol", "exchange", "bucket", F.lit(s).alias("side"), F.posexplode(c).alias("p", "x")) for s, c in (("bid", "bids"), ("ask", "asks"))]
+        return sides[0].union(sides[1]).select("symbol", "exchange", "bucket", "side", (F.col("p") + 1).alias("level"), F.round("x.price", 6).alias("price"), F.col("x.qty").alias("qty"))
+
+
 _NOW = 915148800
 for _name, _least in (("spot", B.LARGE["spot"]), ("perpetual", B.LARGE["perpetual"])):
 

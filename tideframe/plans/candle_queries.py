@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideframe.functions import scalars as S
 from tideframe.operators import candles as C
+from tideframe.operators.spans import with_running
 from tideframe.plans.registry import query, r6
 
 KEYS = ["symbol", "exchange"]
@@ -146,8 +147,8 @@ def newest_first(ticks: DataFrame) -> DataFrame:
 @query("timeline", "ticks", sql="SELECT seq, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS place FROM {ticks} ORDER BY ts, seq")
 def timeline(ticks: DataFrame) -> DataFrame:
     """Events in order of time and id, numbered inside their symbol."""
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "seq")).cast("long")
-    return ticks.withColumn("place", place).select("seq", "ts", "place").orderBy("ts", "seq")
+    placed = with_running(ticks.select("seq", "ts", "es", "symbol"), ["symbol"], F.lit(1), "place")
+    return placed.select("seq", "ts", F.col("place").cast("long").alias("place")).orderBy("ts", "seq")
 
 
 @query(

@@ -202,9 +202,9 @@ def supply_reconciliation(supply: DataFrame) -> DataFrame:
 @query(
     "liquidation_ratio",
     "market_state",
-    sql="""WITH r AS (SELECT seq, symbol, (long_liquidations + short_liquidations) / greatest(lag(open_interest) OVER (PARTITION BY symbol, es // 86400 ORDER BY ts, seq), 1.0) AS q FROM {market_state})
+    sql="""WITH r AS (SELECT seq, symbol, (long_liquidations + short_liquidations) / greatest(lag(open_interest) OVER (PARTITION BY symbol ORDER BY ts, seq), 1.0) AS q FROM {market_state})
     SELECT seq, symbol, round(q, 9) AS ratio, coalesce(q > 0.002, false) AS severe FROM r""",
 )
 def liquidation_ratio(state: DataFrame) -> DataFrame:
-    out = R.liquidation_ratio(state.withColumn("day", F.col("es") - F.pmod("es", F.lit(86400))), ["symbol", "day"])
+    out = R.liquidation_ratio(state, ["symbol"])
     return out.select("seq", "symbol", F.round("ratio", 9).alias("ratio"), "severe")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +57,22 @@ def unknown_references(rows: DataFrame, events: DataFrame) -> DataFrame:
     "raw_events",
     sql="""SELECT 'repeated_event_ids' AS check_name, (SELECT count(*) FROM (SELECT event_id FROM {raw_events} GROUP BY 1 HAVING count(*) > 1)) AS n
     UNION ALL SELECT 'unknown_references', (SELECT count(*) FROM {observables} WHERE source_event_id NOT IN (SELECT event_id FROM {raw_events}))
-    UNION ALL SELECT 'asset_mismatch', (SELECT count(*) FROM {observables} o JOIN {raw_events} e ON o.source_event_id = e.event_id WHERE o.asset <> e.symbol)""",
+    UNION ALL SELECT 'asset_mismatch', (SELECT count(*) FROM {observables} o JOIN {raw_events} e ON o.source_event_id = e.event_id WHERE o.asset <> e.symbol)
+    UNION ALL SELECT 'market_mismatch', (SELECT count(*) FROM {observables} o JOIN {raw_events} e ON o.source_event_id = e.event_id WHERE o.market <> e.market)
+    UNION ALL SELECT 'live_mode', (SELECT count(*) FROM {raw_events} WHERE mode = 'LIVE')""",
 )
 def fixture_integrity(rows: DataFrame, events: DataFrame) -> DataFrame:
+    events_of = events.select(F.col("event_id").alias("source_event_id"), "symbol", F.col("market").alias("event_market"))
+    met = rows.join(events_of, "source_event_id")
     found = {
         "repeated_event_ids": Q.repeated(events, ["event_id"]),
         "unknown_references": Q.unknown_references(rows, "source_event_id", events, "event_id"),
-        "asset_mismatch": rows.join(events.select(F.col("event_id").alias("source_event_id"), "symbol"), "source_event_id").where("asset <> symbol"),
+        "asset_mismatch": met.where("asset <> symbol"),
+        "market_mismatch": met.where("market <> event_market"),
+        "live_mode": events.where("mode = 'LIVE'"),  # a fixture is synthetic or a replay
     }
     parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "n") for name, df in found.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    return functools.reduce(DataFrame.union, parts)
 
 
 @query(
@@ -79,26 +87,26 @@ def expected_vs_actual(rows: DataFrame, quotes: DataFrame) -> DataFrame:
     return out.select("event_id", F.round("actual", 6).alias("actual"), "met")
 
 
-_CAP = dims.values_sql([(m, f, s) for m, of in dims.CAPABILITIES.items() for f, s in of.items()])
+_CAP = dims.values_sql([(m, f, s, dims.LIMITATIONS.get((m, f), "")) for m, of in dims.CAPABILITIES.items() for f, s in of.items()])
 
 
 @query(
     "capability_matrix",
     "observables",
-    sql=f"""WITH c(market, family, status) AS (VALUES {_CAP}), o AS (SELECT family, count(*) AS n FROM {{observables}} GROUP BY 1)
-    SELECT market, family, status, coalesce(n, 0) AS rows, status IN ('UNSUPPORTED', 'NOT_APPLICABLE') AND coalesce(n, 0) > 0 AS violation FROM c LEFT JOIN o USING (family)""",
+    sql=f"""WITH c(market, family, status, limitation) AS (VALUES {_CAP}), o AS (SELECT family, count(*) AS n FROM {{observables}} GROUP BY 1)
+    SELECT market, family, status, limitation, coalesce(n, 0) AS rows, status IN ('UNSUPPORTED', 'NOT_APPLICABLE') AND coalesce(n, 0) > 0 AS violation FROM c LEFT JOIN o USING (family)""",
 )
 def capability_matrix(rows: DataFrame) -> DataFrame:
     seen = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
     out = dims.capabilities(rows.sparkSession).join(seen, "family", "left").fillna(0, ["rows"])
     barred = F.col("status").isin("UNSUPPORTED", "NOT_APPLICABLE") & (F.col("rows") > 0)
-    return out.withColumn("violation", barred).select("market", "family", "status", "rows", "violation")
+    return out.withColumn("violation", barred).select("market", "family", "status", "limitation", "rows", "violation")
 
 
 @query(
     "capability_wide",
     "observables",
-    sql=f"""WITH c(market, family, status) AS (VALUES {_CAP}), o AS (SELECT family, count(*) AS n FROM {{observables}} GROUP BY 1)
+    sql=f"""WITH c(market, family, status, limitation) AS (VALUES {_CAP}), o AS (SELECT family, count(*) AS n FROM {{observables}} GROUP BY 1)
     SELECT market, {", ".join(f"coalesce(sum(n) FILTER (family = 'C{i}'), 0)::BIGINT AS c{i}" for i in range(1, 10))} FROM c LEFT JOIN o USING (family) GROUP BY 1""",
 )
 def capability_wide(rows: DataFrame) -> DataFrame:
@@ -204,3 +212,19 @@ def payload_rejects(ticks: DataFrame) -> DataFrame:
     bodies = ticks.select(F.col("seq").cast("string").alias("name"), F.when(F.col("seq") % 3 == 0, error).otherwise(record).alias("body"))
     _, rejects = payload.ingest(bodies, "windowed")
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "dataset_registry",
+    "ticks",
+    sql=f"""WITH r(provider, families, dataset, path) AS (VALUES {_SETS}), f AS (SELECT {_NAMED}[(seq % 30 + 1)::BIGINT] AS dataset, count(*) AS n FROM {{ticks}} GROUP BY 1)
+    SELECT provider, count(*) AS entries, count(DISTINCT dataset) AS datasets, count(*) - count(DISTINCT dataset) AS repeated, sum(coalesce(n, 0))::BIGINT AS rows FROM r LEFT JOIN f USING (dataset) GROUP BY 1""",
+)
+def dataset_registry(ticks: DataFrame) -> DataFrame:
+    """Whether (provider, dataset) is unique in the registry, and what rows the provider's datasets have."""
+    named = ticks.withColumn("dataset", F.element_at(F.array(*map(F.lit, _DATASET_IDS[:30])), (F.col("seq") % 30 + 1).cast("int")))
+    facts = named.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    entries = ticks.sparkSession.createDataFrame(dims.DATASETS, "provider string, families string, dataset string, path string")
+    out = entries.join(facts, "dataset", "left").groupBy("provider")
+    distinct = F.countDistinct("dataset")
+    return out.agg(F.count(F.lit(1)).alias("entries"), distinct.alias("datasets"), (F.count(F.lit(1)) - distinct).alias("repeated"), F.sum(F.coalesce("n", F.lit(0))).alias("rows"))

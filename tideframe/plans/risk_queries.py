@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.operators import candles as C
 from tideframe.operators import funds as U
 from tideframe.operators import risk as R
+from tideframe.operators.spans import with_previous
 from tideframe.plans.registry import query, r6
 from tideframe.sources import dims
 
 
-@query("option_greeks", "option_chain")
+_GREEKS = """WITH RECURSIVE o AS (SELECT *, (ln(spot / strike) + (rate + vol * vol / 2) * tenor) / (vol * sqrt(tenor)) AS d1, vol * sqrt(tenor) AS w FROM {option_chain}),
+    x AS (SELECT id, 1 AS which, d1 AS d FROM o UNION ALL SELECT id, 2, d1 - w FROM o),
+    t AS (SELECT id, which, d, 0 AS k, d AS term, d AS total FROM x
+        UNION ALL SELECT id, which, d, k + 1, term * d * d / (2 * k + 3), total + term * d * d / (2 * k + 3) FROM t WHERE k < 400),
+    n AS (SELECT id, which, 0.5 + exp(-d * d / 2) / sqrt(2 * pi()) * total AS cdf FROM t WHERE k = 400),
+    p AS (SELECT o.*, a.cdf AS n1, b.cdf AS n2, strike * exp(-rate * tenor) AS present, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS density FROM o JOIN n a ON a.id = o.id AND a.which = 1 JOIN n b ON b.id = o.id AND b.which = 2)
+    SELECT id, round(spot, 6) AS spot, round(strike, 6) AS strike, round(tenor, 6) AS tenor, round(vol, 6) AS vol, round(greatest(0.0, spot * n1 - present * n2), 4) AS call_price,
+        round(greatest(0.0, present * (1 - n2) - spot * (1 - n1)), 4) AS put_price, round(n1, 6) AS call_delta, round(n1 - 1, 6) AS put_delta, round(density / (spot * w), 6) AS gamma, round(spot * density * sqrt(tenor), 4) AS vega FROM p"""
+
+
+@query("option_greeks", "option_chain", sql=_GREEKS)
 def option_greeks(chain: DataFrame) -> DataFrame:
-    names = ("spot", "strike", "tenor", "vol", "call_price", "put_price", "call_delta", "put_delta", "gamma", "vega")
-    return R.option_greeks(chain).select("id", *r6(*names))
+    """The SQL sums the distribution function's power series instead."""
+    out = R.option_greeks(chain)
+    return out.select("id", *r6("spot", "strike", "tenor", "vol"), *[F.round(c, 4).alias(c) for c in ("call_price", "put_price", "vega")], *r6("call_delta", "put_delta", "gamma"))
 
 
 @query("parity_audit", "option_chain", sql="SELECT count(*) AS options, true AS within FROM {option_chain}")
@@ -56,14 +68,14 @@ def gamma_pressure(state: DataFrame) -> DataFrame:
 
 _VAR = f"""WITH r(regime, rv) AS (VALUES {_REG}),
     d AS (SELECT symbol, es // 86400 * 86400 AS bucket, arg_max(btc_price, (ts, seq)) AS c, arg_max(regime, (ts, seq)) AS regime FROM {{market_state}} GROUP BY ALL),
-    x AS (SELECT symbol, bucket, coalesce(least(3.24, power(ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY bucket)), 2) * 365.0), 0.0) AS v, rv FROM d JOIN r USING (regime)),"""
+    x AS (SELECT symbol, bucket, least(3.24, coalesce(power(ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY bucket)), 2) * 365.0, 0.0)) AS v, rv FROM d JOIN r USING (regime)),"""
 
 
 def daily_variance(state: DataFrame) -> DataFrame:
     """Per day: the annualised squared return, capped, and the volatility of the day's last regime."""
     days = C.candles(state, ["symbol"], "btc_price", 86400).join(U.metric(state, ["symbol"], "regime", 86400).withColumnRenamed("value", "regime"), ["symbol", "bucket"])
-    r = U.log_returns(days, ["symbol"]).withColumn("var", F.coalesce(F.least(F.lit(3.24), F.col("log_return") * F.col("log_return") * 365.0), F.lit(0.0)))
-    return r.join(F.broadcast(dims.regimes(state.sparkSession)), "regime").select("symbol", "bucket", "var", "regime_vol")  # six rows
+    r = U.log_returns(days, ["symbol"]).withColumn("var", F.least(F.lit(3.24), F.coalesce(F.col("log_return") * F.col("log_return") * 365.0, F.lit(0.0))))
+    return r.join(F.broadcast(dims.regimes(state.sparkSession)), "regime").select("symbol", "bucket", "log_return", "var", "regime_vol")  # six rows
 
 
 _FOLD = _VAR + """
@@ -87,17 +99,25 @@ def ewma_blocks(state: DataFrame) -> DataFrame:
 @query(
     "stress",
     "market_state",
-    sql="""WITH RECURSIVE d AS (SELECT symbol, es // 86400 * 86400 AS bucket, arg_max(order_flow_imbalance, (ts, seq)) AS a, arg_max(futures_order_flow_imbalance, (ts, seq)) AS b FROM {market_state} GROUP BY ALL),
-    n AS (SELECT symbol, bucket, greatest(0.02, least(1.0, 0.1 + 0.16 * abs(a) + 0.12 * abs(b) + 0.1)) AS t, row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS i FROM d),
-    w AS (SELECT symbol, bucket, i, greatest(0.02, least(1.0, 0.82 * 0.1 + 0.18 * t)) AS s FROM n WHERE i = 1
-        UNION ALL SELECT n.symbol, n.bucket, n.i, greatest(0.02, least(1.0, 0.82 * w.s + 0.18 * n.t)) FROM w JOIN n ON n.symbol = w.symbol AND n.i = w.i + 1)
-    SELECT symbol, bucket, round(s, 9) AS stress FROM w""",
+    sql=f"""WITH RECURSIVE r(regime, rv) AS (VALUES {_REG}),
+    d AS (SELECT symbol, es // 86400 * 86400 AS bucket, arg_max(btc_price, (ts, seq)) AS c, arg_max(regime, (ts, seq)) AS regime, arg_max(order_flow_imbalance, (ts, seq)) AS a, arg_max(futures_order_flow_imbalance, (ts, seq)) AS b FROM {{market_state}} GROUP BY ALL),
+    x AS (SELECT symbol, a, b, rv, bucket, coalesce(ln(c / lag(c) OVER w), 0.0) AS lr, row_number() OVER w AS i FROM d JOIN r USING (regime) WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
+    w AS (SELECT symbol, 0::BIGINT AS bucket, 0::BIGINT AS i, 0.5::DOUBLE AS v, 0.1::DOUBLE AS s FROM x WHERE i = 1
+        UNION ALL SELECT x.symbol, x.bucket, x.i, greatest(0.15, least(1.8, sqrt(0.92 * w.v * w.v + 0.055 * rv * rv + 0.025 * least(3.24, lr * lr * 365.0)))),
+            greatest(0.02, least(1.0, 0.82 * w.s + 0.18 * greatest(0.02, least(1.0, 0.1 + 0.16 * abs(a) + 0.12 * abs(b) + 0.1 * least(abs(lr) / (w.v * sqrt(1.0 / 365.0)), 5.0)))))
+        FROM w JOIN x ON x.symbol = w.symbol AND x.i = w.i + 1)
+    SELECT symbol, bucket, round(s, 9) AS stress FROM w WHERE i > 0""",
 )
 def stress(state: DataFrame) -> DataFrame:
-    """Daily, with a shock of one deviation."""
+    """Daily; the shock is the day's move in deviations of the volatility up to the day before."""
+    days = daily_variance(state)
+    before = F.lag("volatility", 1, 0.5).over(Window.partitionBy("symbol").orderBy("bucket"))
+    known = R.ewma_variance_blocks(days, ["symbol"]).select("symbol", "bucket", before.alias("known"))
     last = U.metric(state, ["symbol"], F.struct("order_flow_imbalance", "futures_order_flow_imbalance"), 86400)
-    target = R.stress_target(F.col("value.order_flow_imbalance"), F.col("value.futures_order_flow_imbalance"), F.lit(1.0))
-    return R.stress(last.select("symbol", "bucket", target.alias("target")), ["symbol"]).select("symbol", "bucket", F.round("stress", 9).alias("stress"))
+    joined = days.join(known, ["symbol", "bucket"]).join(last.select("symbol", "bucket", "value"), ["symbol", "bucket"])
+    shock = R.standardised_move(F.coalesce("log_return", F.lit(0.0)), F.col("known"), 1 / 365)
+    target = R.stress_target(F.col("value.order_flow_imbalance"), F.col("value.futures_order_flow_imbalance"), shock)
+    return R.stress(joined.select("symbol", "bucket", target.alias("target")), ["symbol"]).select("symbol", "bucket", F.round("stress", 9).alias("stress"))
 
 
 _BAR = "b AS (SELECT symbol, es // 3600 * 3600 AS bucket, arg_min(price, (ts, seq)) AS o, max(price) AS h, min(price) AS l, arg_max(price, (ts, seq)) AS c, sum(size) AS v FROM {ticks} GROUP BY ALL)"
@@ -188,7 +208,7 @@ def liquidation_map_aggregate(positions: DataFrame) -> DataFrame:
 @query(
     "severe_tail",
     "market_state",
-    sql="""WITH d AS (SELECT CAST(long_liquidations + short_liquidations AS DECIMAL(18,2)) AS z, ln(open_interest / 1e6) AS r FROM {market_state}),
+    sql="""WITH d AS (SELECT CAST(long_liquidations + short_liquidations AS DECIMAL(18,2)) AS z, ln(open_interest / lag(open_interest) OVER (PARTITION BY symbol ORDER BY ts, seq)) AS r FROM {market_state} QUALIFY r IS NOT NULL),
     g AS (SELECT z, count(*)::DOUBLE AS n, sum(r) AS s FROM d GROUP BY 1),
     c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM g),
     p AS (SELECT *, greatest(0.0, least(1.0, (t - floor(t * 0.95) - b) / n)) AS w FROM c)
@@ -196,5 +216,6 @@ def liquidation_map_aggregate(positions: DataFrame) -> DataFrame:
 )
 def severe_tail(state: DataFrame) -> DataFrame:
     size = (F.col("long_liquidations") + F.col("short_liquidations")).cast("decimal(18,2)")
-    rows = state.select(size.alias("size"), F.ln(F.col("open_interest") / 1e6).alias("value"))
+    seen = with_previous(state, ["symbol"], ["open_interest"]).where("prev_open_interest is not null")
+    rows = seen.select(size.alias("size"), F.ln(F.col("open_interest") / F.col("prev_open_interest")).alias("value"))
     return R.severe_tail(rows, "size", "value").select(*[F.round(c, 9).alias(c) for c in ("severe_mean", "normal_mean")], "severe_rows")

@@ -98,7 +98,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         None,
         {"id": "o_orderkey", "es": "$es(o_orderdate)", "kind": "CASE o_orderstatus WHEN 'F' THEN 'deposit' WHEN 'O' THEN 'withdrawal' ELSE 'pending' END", "amount": "o_totalprice"},
     ),
-    "raw_events": ("events", "event_type = 'view'", _COMMON | {"event_id": "event_id", "values_bid": "1e2 + value / 1e1", "values_ask": "1e2 + value / 1e1 + ($k - 2) / 1e2"}),
+    "raw_events": ("events", "event_type = 'view'", _COMMON | {"event_id": "event_id", "mode": "CASE WHEN event_id % 71 = 0 THEN 'LIVE' ELSE 'REPLAY' END", "values_bid": "1e2 + value / 1e1", "values_ask": "1e2 + value / 1e1 + ($k - 2) / 1e2"}),
     "observables": (
         "events",
         "event_type = 'view'",
@@ -106,6 +106,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         | {
             "observable_id": "CASE WHEN event_id % 53 = 0 THEN 'eq_unlisted' ELSE 'eq_c8_spread' END",
             "asset": "CASE WHEN user_id % 2 = 0 THEN 'BTCUSDT' ELSE 'ETHUSDT' END",
+            "market": "CASE WHEN event_id % 83 = 0 THEN 'option' WHEN CAST(floor(user_id / 6e0) AS BIGINT) % 2 = 0 THEN 'spot' ELSE 'futures' END",
             "family": "CASE WHEN event_id % 59 = 0 THEN 'C4' ELSE 'C8' END",
             "value": "($k - 2) / 1e2 + CASE WHEN event_id % 89 = 0 THEN 1e0 ELSE 0e0 END",
             "source_event_id": "CASE WHEN event_id % 97 = 0 THEN -event_id ELSE event_id END",
@@ -136,7 +137,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A market table, or one of the raw tables by its own name."""
     if name == "depth":
         quotes = table(spark, sf_dir, "quotes").withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(20))))
-        return quotes.selectExpr("seq", "ts", "es", "symbol", "exchange", f"inline(array({', '.join(_DEPTH_SPARK)}))")
+        return quotes.selectExpr("seq", "ts", "es", "symbol", "exchange", "market", f"inline(array({', '.join(_DEPTH_SPARK)}))")
     if name == "dirty_ticks":
         ticks = table(spark, sf_dir, "ticks")
         again = ticks.where("seq % 50 = 0")
@@ -157,7 +158,7 @@ _DEPTH_SPARK = [f"named_struct('side', {s}, 'level', level, 'price', {p}, 'size'
 def duck(name: str) -> str:
     """The same rows as a DuckDB sub-query."""
     if name == "depth":
-        parts = [f"SELECT seq, ts, es, symbol, exchange, {s} AS side, level::INTEGER AS level, {p} AS price, {z} AS size FROM {duck('quotes')}, range(1, 21) AS l(level)" for s, p, z in _DEPTH]
+        parts = [f"SELECT seq, ts, es, symbol, exchange, market, {s} AS side, level::INTEGER AS level, {p} AS price, {z} AS size FROM {duck('quotes')}, range(1, 21) AS l(level)" for s, p, z in _DEPTH]
         return f"({' UNION ALL '.join(parts)})"
     if name == "dirty_ticks":
         again = f"SELECT * FROM {duck('ticks')} UNION ALL SELECT * FROM {duck('ticks')} WHERE seq % 50 = 0"

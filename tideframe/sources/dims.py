@@ -89,6 +89,19 @@ CAPABILITIES = {
     "EQUITIES": {"C1": "COMPLETE", "C2": "PARTIAL", "C3": "PARTIAL", "C4": "UNSUPPORTED", "C5": "NOT_APPLICABLE", "C6": "PARTIAL", "C7": "UNSUPPORTED", "C8": "COMPLETE", "C9": "NOT_APPLICABLE"},
 }
 
+#: Limits of what a market supports of a family.
+LIMITATIONS = {
+    ("CRYPTO", "C9"): "proposed only",
+    ("EQUITIES", "C2"): "the aggressor side is an estimate; unknown volume stays unknown",
+    ("EQUITIES", "C3"): "shortable shares only",
+    ("EQUITIES", "C4"): "no source for fund flows",
+    ("EQUITIES", "C5"): "market data is no chain data",
+    ("EQUITIES", "C6"): "realised volatility and reference prices only",
+    ("EQUITIES", "C7"): "no source for forced liquidations",
+    ("EQUITIES", "C8"): "complete for the visible depth and tape only",
+    ("EQUITIES", "C9"): "another line of work",
+}
+
 #: Annual volatility and mean duration in seconds of each regime.
 REGIMES = {
     "bullish": (0.60, 8 * 3600.0),
@@ -121,8 +134,8 @@ def observables(spark: SparkSession) -> DataFrame:
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
-    rows = [(market, family, status) for market, of in CAPABILITIES.items() for family, status in of.items()]
-    return spark.createDataFrame(rows, "market string, family string, status string")
+    rows = [(market, family, status, LIMITATIONS.get((market, family), "")) for market, of in CAPABILITIES.items() for family, status in of.items()]
+    return spark.createDataFrame(rows, "market string, family string, status string, limitation string")
 
 
 def regimes(spark: SparkSession) -> DataFrame:
