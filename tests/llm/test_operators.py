@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tests.compare import duck, same
 from tideframe.llm import fingerprint, jaccard, langid, lines, mixing, packing, queries, repair, sharding, shingles, substrings, tokens, vectors
-from tideframe.llm.common import components, ranked
+from tideframe.llm.common import block_of, components, ranked
 from tideframe.llm.tokens import Encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -301,6 +301,16 @@ def test_line_dedup(spark, rng):
         assert got[i]["rank"] == 2 and got[i]["n_lines"] == (len(t.split("\n")) if t else 0)
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    text = "a\nb\nc\nd"
+    rows = [(1, text)] * 3 + [(1, "x\ny\nz"), (None, text), (2, "q\nr"), (2, "q\nr"), (3, None), (3, None)]
+    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["rank"]) for r in lines.dedup_lines(table(spark, [(i, t, None, None) for i, t in rows])).collect())
+    # the null id comes first, so all copies of doc 1 are later ones
+    assert got == Counter({(1, "", 4, 4, 2): 3, (1, "x\ny\nz", 3, 0, 2): 1, (None, text, 4, 0, 2): 1, (2, "q\nr", 2, 0, 2): 2, (3, None, 0, 0, 2): 2})
+    got = Counter(r["text"] for r in lines.dedup_lines(table(spark, [(1, text, None, None)] * 3)).collect())
+    assert got == Counter({text: 1, "": 2})
+
+
 def brute_spans(texts, length, first_only):
     where = defaultdict(list)
     data = [(t or "").encode() for t in texts]
@@ -490,6 +500,14 @@ def test_ranked(spark, rng):
         assert [v for _, v in found] == sorted(v for _, v in found)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
+def test_block_of(spark, rng, n):
+    bounds = sorted(rng.choice(1000, n, replace=False).tolist())
+    rows = spark.createDataFrame([(int(v),) for v in rng.integers(-5, 1005, 300)] + [(None,)], "v long")
+    for r in rows.select("v", block_of(F.col("v"), bounds).alias("b")).collect():
+        assert r["b"] == (0 if r["v"] is None else sum(b <= r["v"] for b in bounds))
+
+
 def test_fingerprints(docs, corpus):
     got = fingerprint.fingerprints(docs).collect()
     order = sorted(corpus, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
@@ -529,17 +547,42 @@ def test_language_id(spark, con):
     assert {(r["lang_pred"], r["score"]) for r in odd} == {("und", 0.0)}
 
 
-def test_ngram_counts():
-    counts = langid._Counts(["ab, B", None, "ab"])
+def brute_grams(text):
+    """N-grams (code points as one number) of a text, most frequent first, ties by code points."""
     point = lambda s: sum((1 if c == "_" else ord(c)) << (21 * (len(s) - 1 - k)) for k, c in enumerate(s))
-    got = dict(zip(counts.grams.tolist(), counts.table.T.tolist(), strict=True))
-    grams = Counter()
-    for word in ("ab", "b"):
+    found = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
         padded = f"_{word}_"
         for n in (1, 2, 3):
-            grams.update(g for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != "_")
-    assert {g: v[0] for g, v in got.items() if v[0]} == {point(g): k for g, k in grams.items()}
-    assert all(v[1] == 0 for v in got.values())
+            found.update(point(g) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != "_")
+    return found
+
+
+@pytest.mark.parametrize("chars", [1 << 19, 40])
+def test_ngram_counts(corpus, monkeypatch, chars):
+    monkeypatch.setattr(langid, "_CHARS", chars)  # small: long texts go in pieces
+    texts = ["ab, B", None, "ab", *(t for _, t, _, _ in corpus)]
+    got = defaultdict(dict)
+    for lo, _, text, gram, n in langid.counts(texts):
+        for t, g, k in zip(text.tolist(), gram.tolist(), n.tolist(), strict=True):
+            got[lo + t][g] = k
+    assert [got[k] for k in range(len(texts))] == [dict(brute_grams(t)) for t in texts]
+
+
+def test_out_of_place_distance(corpus, rng):
+    """Predictions and scores against the definition."""
+    texts = [t for _, t, _, _ in corpus]
+    sizes = {"xx": range(0, 20), "yy": range(20, 40), "zz": range(40, len(texts))}
+    profiles, ranked_ = {}, {}
+    for lang, rows in sizes.items():
+        total = sum((brute_grams(texts[i]) for i in rows), Counter())
+        ranked_[lang] = [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:50]]
+        profiles[lang] = np.array(ranked_[lang], np.uint64)
+    for text, (lang, score) in zip(texts, langid.classify(texts, profiles, 50), strict=True):
+        own = [g for g, _ in sorted(brute_grams(text).items(), key=lambda x: (-x[1], x[0]))[:50]]
+        far = {k: sum(abs(p.index(g) - i) if g in p else 50 for i, g in enumerate(own)) for k, p in ranked_.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert (lang, score) == ((best, pytest.approx(1 - far[best] / (50 * len(own)))) if own else ("und", 0.0))
 
 
 def brute_links(rows):

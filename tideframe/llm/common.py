@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import tempfile
 import uuid
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: Bounds of one Arrow batch sent to Python: whole texts travel, so its bytes are bounded beside its rows.
 BATCH_ROWS = 4096
 BATCH_BYTES = 4 << 20
+#: Cut points of an id order are literals of the plan, so their number is bounded; larger blocks are sorted on disk.
+MOST_BLOCKS = 1 << 16
 #: Blocks of a hash order: 2 to this power. A group that holds a third of all rows is ranked in as many tasks.
 HASH_BLOCK_BITS = 10
 
@@ -30,11 +34,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset a private one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tideframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -67,11 +73,19 @@ def id_bounds(df: DataFrame, key: str, blocks: int) -> list[int]:
 
 
 def block_of(key: Column, bounds: list[int]) -> Column:
-    """How many cut points lie at or below ``key``: 0 for null keys, len(bounds) for the largest."""
+    """How many cut points lie at or below ``key``: 0 for null keys, len(bounds) for the largest.
+
+    Looked up in two steps, of about the square root of their number each.
+    """
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(int(b)) for b in bounds])
-    return F.coalesce(F.size(F.filter(cuts, lambda b: b <= key)), F.lit(0))
+    width = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    firsts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
+    cuts = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
+    group = F.size(F.filter(firsts, lambda b: b <= key))
+    inside = F.size(F.filter(F.element_at(cuts, F.greatest(group, F.lit(1))), lambda b: b <= key))
+    return F.coalesce(F.when(group > 0, (group - 1) * width + inside), F.lit(0)).cast("int")
 
 
 def hash_block(key: Column) -> Column:

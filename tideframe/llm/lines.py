@@ -4,22 +4,26 @@ Each window of three consecutive lines is hashed (128 bits); of a window found m
 same or another document, the first occurrence by (doc_id, line number) stays and the lines of all
 later ones go. Windows overlap, so what goes is the union of the covered lines.
 
-A hot window is counted with map-side combine, and later occurrences meet the first one in an
-equi-join that AQE can split.
+A hot window is counted with map-side combine, and later occurrences meet the first one, stored by
+itself, in an equi-join that AQE can split.
 
 Cases: documents of fewer than three lines have no window and stay as they are; null and empty texts
-too; a document whose lines all go gets an empty text; of rows with one doc_id the order is that of
-their texts; null doc_ids come first; an empty table gives an empty table; other columns are kept.
+too; a document whose lines all go gets an empty text; of rows with one doc_id the order is that of a
+hash of their texts; of rows equal in doc_id and text all but one are later copies and lose all lines
+(if they have three); null doc_ids come first; an empty table gives an empty table; other columns are
+kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import keep, prepare
@@ -55,40 +59,67 @@ def windows(docs: DataFrame, size: int = LINES) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, size: int = LINES) -> DataFrame:
-    """doc_id, tie, starts: the first lines of the windows that have an earlier occurrence."""
+    """doc_id, tie, starts: the first lines of the windows that have an earlier occurrence; rows are distinct."""
     found = keep(windows(docs, size), "line-windows")
-    # rows of one doc_id and one text are the same here; the second row's copy is told by its count
     place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie", "line")
     firsts = found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = found.join(firsts.select("hi", "lo", "first"), ["hi", "lo"])
+    firsts = keep(firsts.select("hi", "lo", "first"), "first-windows")  # so that the join reads plain rows on both sides
+    later = found.join(firsts, ["hi", "lo"])
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")) & (F.col("line") == F.col("first.line"))
     return later.where(~same).groupBy("doc_id", "tie").agg(F.collect_set("line").alias("starts"))
 
 
+def _line_count() -> Column:
+    return F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("int")
+
+
 def dedup_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     """``docs`` with the repeated lines gone, and n_lines, n_removed (names of ``docs`` win no clash)."""
     prepare(docs.sparkSession)
-    clean = docs.drop("n_lines", "n_removed", "_starts", "_tie")
-    starts = repeated_windows(clean, size).withColumnRenamed("doc_id", "_id").withColumnRenamed("tie", "_t")
+    clean = docs.drop("n_lines", "n_removed", "_starts", "_tie", "_row")
     tied = clean.withColumn("_tie", F.xxhash64("text"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))
-    joined = tied.join(starts, on, "left")
-    lines = F.split("text", "\n")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + size - 1))))
-    kept = F.udf(_without, "string")
-    out = joined.withColumn("_covered", covered)
-    new = F.when(F.col("starts").isNull(), F.col("text")).otherwise(kept("text", F.col("_covered")))
-    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
-    out = out.withColumn("n_lines", n_lines.cast("int")).withColumn("n_removed", F.coalesce(F.size("_covered"), F.lit(0)))
-    out = out.withColumn("n_removed", F.when(F.col("starts").isNull(), 0).otherwise(F.col("n_removed"))).withColumn("text", new)
-    return out.drop("_id", "_t", "_tie", "starts", "_covered")
-
-
-def _without(text: str | None, covered: list[int] | None) -> str | None:
-    if not covered or text is None:
-        return text
-    gone = set(covered or ())
-    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+
+    # Rows equal in doc_id and text: numbered once and for all, so that one of them is the first.
+    alike = tied.groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    alike = keep(alike, "rows-alike")
+    later = None
+    if not alike.isEmpty():
+        rows = keep(tied.join(alike, on, "left_semi").withColumn("_row", F.monotonically_increasing_id()), "copies")
+        first = rows.groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t")).agg(F.min("_row").alias("_first"))
+        rows = rows.join(first, on)
+        later = rows.where("_row > _first").select(*tied.columns)
+        tied = tied.join(alike, on, "left_anti").unionByName(rows.where("_row = _first").select(*tied.columns))
+
+    starts = repeated_windows(tied.select(*clean.columns), size).withColumnRenamed("doc_id", "_id").withColumnRenamed("tie", "_t")
+    joined = tied.join(starts, on, "left").withColumn("n_lines", _line_count())
+
+    def without(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        kept = []
+        for text, begin in zip(texts, starts, strict=True):
+            if text is None or begin is None:
+                kept.append(text)
+                continue
+            lines = text.split("\n")
+            gone = np.zeros(len(lines), bool)
+            for k in range(size):
+                gone[np.asarray(begin) + k] = True
+            kept.append("\n".join(itertools.compress(lines, ~gone)))
+        return pd.Series(kept, dtype=object)
+
+    # not to be planned twice where later steps look at the text; untouched texts don't travel
+    kept = F.pandas_udf(without, "string").asNondeterministic()
+    new = kept(F.when(F.col("starts").isNotNull(), F.col("text")), "starts")
+    out = joined.withColumn("_new", new).withColumn("text", F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.col("_new")))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + size - 1)))))
+    out = out.withColumn("n_removed", F.when(F.col("starts").isNull(), 0).otherwise(covered))
+    out = out.select(*clean.columns, "n_lines", "n_removed")
+    if later is None:
+        return out
+    later = later.withColumn("n_lines", _line_count())
+    whole = F.col("n_lines") >= size
+    later = later.withColumn("n_removed", F.when(whole, F.col("n_lines")).otherwise(0)).withColumn("text", F.when(whole, "").otherwise(F.col("text")))
+    return out.unionByName(later.select(*out.columns))
 
 
 ORACLE = """

@@ -18,10 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words remembered by each Python worker (about 40 bytes a word).
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 400_000
 LONGEST_WORD = 64
 #: Bytes of text that are encoded at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words whose ids are laid out at once; longer batches go in several steps.
@@ -161,6 +161,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if held:
         yield pa.concat_batches(held)
+    pa.default_memory_pool().release_unused()
 
 
 @functools.lru_cache(maxsize=2)
