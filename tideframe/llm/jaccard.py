@@ -16,9 +16,9 @@ sketch leaves, so no link between components is lost. Buckets are dealt out in c
 bucket whole, and a class or component is never expanded into all its pairs.
 
 Cases: documents without words (null, empty, blank) have the empty set and link with nothing; with
-fewer than five words the whole sequence is the one shingle; rows of one doc_id are one node; rows
-with a null doc_id link with nothing and have a null component; an empty table gives no rows; other
-columns are ignored.
+fewer than five words the whole sequence is the one shingle; rows are told apart even where they share
+a doc_id; rows with a null doc_id link with nothing and have a null component; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import components, keep, prepare
+from tideframe.llm.common import components, keep, partitions, prepare
 from tideframe.llm.shingles import SIZE, mix, shingle_hashes
 
 THRESHOLD = 80
-#: Shingles in this share of all documents are frequent; at most FREQUENT_MOST of them, the most frequent.
+#: Shingles in this share of all documents, or in so many documents, are frequent, so that no bucket of a
+#: rare one grows with the corpus; at most FREQUENT_MOST of them (8 MB), the most frequent.
 FREQUENT_SHARE = 0.001
-FREQUENT_MOST = 200_000
-BUCKET_ROWS = 4096
-#: Pairs that a task remembers, so as not to name them again; Spark makes them distinct in the end.
-SEEN_PAIRS = 300_000
+FREQUENT_COUNT = 1_000
+FREQUENT_MOST = 500_000
+BUCKET_ROWS = 1024
+#: Shingles that a counting task holds at once.
+COUNTED = 1 << 20
 _SKETCH_WORDS = 8
 _LOW = (1 << 64) - 1
 _SMALL = 32
@@ -58,21 +60,21 @@ def frequent_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
-            some = times >= max(3, FREQUENT_SHARE * rows)
+            some = times >= max(3, min(FREQUENT_SHARE * rows, FREQUENT_COUNT))
             return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(times[some])], names=["h", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.append(shingle_hashes(text, size))
                 n, rows = n + len(held[-1]), rows + 1
-            if n >= 4_000_000:
+            if n >= COUNTED:
                 yield flush()
                 held, n, rows = [], 0, 0
         if held:
             yield flush()
 
     sums = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    most = sums.where(F.col("n") >= max(16, FREQUENT_SHARE * total)).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).collect()
+    most = sums.where(F.col("n") >= max(16, min(FREQUENT_SHARE * total, FREQUENT_COUNT))).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).collect()
     return np.array([r["h"] for r in reversed(most)], np.int64).view(np.uint64)
 
 
@@ -108,19 +110,19 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def signed(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n, set_hi, set_lo (the set's hash), keys, sketch, wide of each row; kept."""
+    """row, doc_id, tie (hash of the text), n, set_hi, set_lo (the set's hash), keys, sketch, wide of each row; kept."""
     often = frequent_shingles(docs, size)
     order = np.argsort(often)
     frequent, rank = often[order], np.arange(len(often))[order]
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # 3.2 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # 8 MB at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
         for batch in batches:
             ns, his, los, keys, sketches = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text, size)
-                hi, lo = np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), "<i8").tolist()
+                hi, lo = _set_hash(hashes)
                 ns.append(len(hashes))
                 his.append(hi)
                 los.append(lo)
@@ -130,12 +132,17 @@ def signed(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> Dat
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), lists, *(pa.array([x[i] for x in sketches], pa.binary()) for i in range(2))],
-                names=["doc_id", "n", "set_hi", "set_lo", "keys", "sketch", "wide"],
+                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), lists, *(pa.array([x[i] for x in sketches], pa.binary()) for i in range(2))],
+                names=["doc_id", "tie", "n", "set_hi", "set_lo", "keys", "sketch", "wide"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return keep(rows.mapInArrow(sign, "doc_id long, n long, set_hi long, set_lo long, keys array<long>, sketch binary, wide binary"), "signed")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
+    rows = rows.mapInArrow(sign, "doc_id long, tie long, n long, set_hi long, set_lo long, keys array<long>, sketch binary, wide binary")
+    return keep(rows.withColumn("row", F.monotonically_increasing_id()), "signed")  # stored, so the number stays
+
+
+def _set_hash(hashes: np.ndarray) -> list[int]:
+    return np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), "<i8").tolist()
 
 
 class _Bucket:
@@ -195,29 +202,7 @@ def _pairs(placed: DataFrame, labelled: bool, threshold: int) -> DataFrame:
     """Distinct pairs (a < b) to verify, from rows (key, chunk, rep, n, sketch[, component])."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-
-        def group(rep: np.ndarray, n: np.ndarray, sketches: np.ndarray, component: np.ndarray | None) -> list[int]:
-            """New pairs of a chunk, each as one number: a, then b as 64 unsigned bits."""
-            bucket = _Bucket(n, sketches, threshold)
-            edges = bucket.forest() if component is None else bucket.across(component)
-            if not len(edges):
-                return []
-            ends = rep[edges]
-            if len(ends) > 10_000:
-                ends = np.unique(np.sort(ends, axis=1), axis=0)
-            new = {p for a, b in ends.tolist() if a != b and (p := min(a, b) << 64 | max(a, b) & _LOW) not in seen}
-            if len(seen) > SEEN_PAIRS:
-                seen.clear()
-            seen.update(new)
-            return list(new)
-
-        def out(edges: list[int]) -> pa.RecordBatch:
-            a = [p >> 64 for p in edges]
-            b = np.array([p & _LOW for p in edges], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b)], names=["a", "b"])
-
-        def groups(table: pa.Table, ended: bool) -> tuple[list[int], pa.Table]:
+        def groups(table: pa.Table, ended: bool) -> tuple[np.ndarray, pa.Table]:
             """Pairs of the groups that are whole in the table, and the rows of the last, which may go on."""
             table = table.combine_chunks()
             key, chunk, rep, n = (table.column(c).to_numpy() for c in ("key", "chunk", "rep", "n"))
@@ -225,23 +210,28 @@ def _pairs(placed: DataFrame, labelled: bool, threshold: int) -> DataFrame:
             component = table.column("component").to_numpy() if labelled else None
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
             cuts += [len(rep)] if ended else []
-            edges: list[int] = []
+            found = [np.empty((0, 2), np.int64)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo > 1:
-                    edges += group(rep[lo:hi], n[lo:hi], sketches[lo:hi], component[lo:hi] if labelled else None)
-            return edges, table.slice(cuts[-1])
+                    bucket = _Bucket(n[lo:hi], sketches[lo:hi], threshold)
+                    edges = bucket.across(component[lo:hi]) if labelled else bucket.forest()
+                    if len(edges):
+                        found.append(rep[lo:hi][edges])
+            return np.sort(np.concatenate(found), axis=1), table.slice(cuts[-1])
+
+        def out(ends: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            edges, rest = groups(table if rest is None else pa.concat_tables([rest, table]), False)
-            yield out(edges)
+            ends, rest = groups(table if rest is None else pa.concat_tables([rest, table]), False)
+            yield out(ends)
         if rest is not None:
             yield out(groups(rest, True)[0])
 
-    # buckets of one family share their first member as a rule: together they name each pair once
-    parts = placed.repartition("lo", "chunk").sortWithinPartitions("lo", "key", "chunk")
-    return parts.mapInArrow(pair, "a long, b long").distinct()
+    parts = placed.repartition(partitions(placed.sparkSession), "key", "chunk").sortWithinPartitions("key", "chunk")
+    return parts.mapInArrow(pair, "a long, b long").where("a < b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -265,16 +255,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def join(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
+    return _joined(docs, threshold, size).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
+    """``docs`` with one row of each component, one of its smallest doc_id; rows in no component all stay."""
+    found = _joined(docs, threshold, size)
+    first = found.where("root is not null and doc_id = component_id").groupBy("root").agg(F.min("row").alias("row")).select("row")
+    stays = found.where("root is null").select("row").union(first).withColumn("stays", F.lit(1))
+    marked = found.select("row", "doc_id", "tie").join(stays, "row", "left")
+    # by doc_id and text, which tell rows apart but for those alike in both: of these as many stay as are marked
+    kinds = marked.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n"), F.count("stays").alias("k")).where("k < n")
+    kinds = keep(kinds.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("k").alias("_k")), "near-copies")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie"))
+    alike = docs.join(kinds.where("_k > 0"), on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(kinds, on, "left_anti").unionByName(alike)
+
+
+def _joined(docs: DataFrame, threshold: int, size: int) -> DataFrame:
+    """row, doc_id, tie, n, root (names the component; null for rows that link with nothing), component_id."""
     prepare(docs.sparkSession)
     rows = signed(docs, size, threshold)
     filled = rows.where("n > 0 and doc_id is not null")
-    classes = keep(filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    index = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
+    # a class is represented by one of its rows of the smallest doc_id
+    classes = filled.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    classes = keep(classes.select("set_hi", "set_lo", F.col("least.doc_id").alias("first"), F.col("least.row").alias("rep")), "classes")
+    reps = filled.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    index = reps.select(F.explode("keys").alias("key"), F.col("row").alias("rep"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     sizes = keep(sizes.where("lo < hi"), "bucket-sizes")
-    known = filled.select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep"])
-    wide = filled.select(F.col("doc_id").alias("rep"), "n", "wide").dropDuplicates(["rep"])
+    known = filled.select(F.col("row").alias("rep"), "n", "sketch")
+    wide = filled.select(F.col("row").alias("rep"), "n", "wide")
 
     # Keys of two documents are most of all: they are pairs as they stand.
     twos = sizes.where("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
@@ -284,10 +295,11 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataF
     chunks = F.ceil(F.col("size") / BUCKET_ROWS).cast("int")
     home = F.array(F.pmod(F.xxhash64("rep"), chunks).cast("int"))
     at = F.when((F.col("rep") == F.col("lo")) & (chunks > 1), F.sequence(F.lit(0), chunks - 1)).otherwise(home)
-    placed = buckets.select("key", "lo", "rep", F.explode(at).alias("chunk")).join(known, "rep").select("key", "chunk", "lo", "rep", "n", "sketch")
+    placed = buckets.select("key", "rep", F.explode(at).alias("chunk")).join(known, "rep").select("key", "chunk", "rep", "n", "sketch")
     found = keep(_pairs(placed, False, threshold).union(twos).distinct(), "pairs")
     pairs = keep(_possible(found, wide, threshold), "pairs")
-    sets = _sets(docs, _nodes(pairs), size)
+    named = classes.select("rep", F.col("first").alias("doc_id"), "set_hi", "set_lo")
+    sets = _sets(docs, named.join(_nodes(pairs), "rep", "left_semi"), size)
     first = keep(_verified(pairs, sets, threshold), "links")
     merged = keep(components(first), "components")
 
@@ -299,38 +311,42 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataF
     mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"))
     mixed = mixed.where(F.col("most") < F.col("all"))
     n_all, n_minor = F.ceil(F.col("all") / BUCKET_ROWS).cast("int"), F.ceil((F.col("all") - F.col("most")) / BUCKET_ROWS).cast("int")
-    open_ = labelled.select("key", "lo", "rep", "component").join(mixed, "key").withColumn("n_all", n_all).withColumn("n_minor", n_minor)
+    open_ = labelled.select("key", "rep", "component").join(mixed, "key").withColumn("n_all", n_all).withColumn("n_minor", n_minor)
     column = F.pmod(F.xxhash64("rep"), F.col("n_all")).cast("int")
     row = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_minor")).cast("int")
     as_any = F.transform(F.sequence(F.lit(0), F.col("n_minor") - 1), lambda i: i * F.col("n_all") + column)
     as_minor = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda j: row * F.col("n_all") + j)
     to = F.when(F.col("component") == F.col("main"), as_any).otherwise(F.array_distinct(F.concat(as_any, as_minor)))
-    spread = open_.select("key", "lo", "rep", "component", F.explode(to).alias("chunk")).join(known, "rep")
-    spread = spread.select("key", "chunk", "lo", "rep", "n", "sketch", "component")
+    spread = open_.select("key", "rep", "component", F.explode(to).alias("chunk")).join(known, "rep")
+    spread = spread.select("key", "chunk", "rep", "n", "sketch", "component")
     pairs = keep(_possible(_pairs(spread, True, threshold).join(found, ["a", "b"], "left_anti"), wide, threshold), "pairs")
-    more = _nodes(pairs).join(sets.select("rep"), "rep", "left_anti")
+    more = keep(_nodes(pairs).join(sets.select("rep"), "rep", "left_anti"), "members")
     if not more.isEmpty():
-        sets = sets.union(_sets(docs, more, size))
+        sets = sets.union(_sets(docs, named.join(more, "rep", "left_semi"), size))
     second = keep(_verified(pairs, sets, threshold), "links")
     if not second.isEmpty():
         merged = keep(components(first.union(second)), "components")
 
-    named = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    rooted = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = rooted.select("set_hi", "set_lo", "root").join(least, "root")
+    own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = rows.select("row", "doc_id", "tie", "n", "set_hi", "set_lo").join(rooted, ["set_hi", "set_lo"], "left")
+    return out.select("row", "doc_id", "tie", "n", F.when(own, F.col("root")).alias("root"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """rep, hashes (packed) of some documents; rows of one doc_id stay apart."""
+    """rep, hashes (packed) of members (rep, doc_id, set_hi, set_lo); kept."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [shingle_hashes(t, size).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["rep", "hashes"])
+            sets = [shingle_hashes(t, size) for t in batch.column(3).to_pylist()]
+            # of rows with one doc_id those of another set go
+            same = [_set_hash(h) == [hi, lo] for h, hi, lo in zip(sets, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            packed = pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["rep", "hashes"]).filter(pa.array(same, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id").select("rep", "set_hi", "set_lo", "text")
     return keep(texts.mapInArrow(pack, "rep long, hashes binary"), "sets")
 
 

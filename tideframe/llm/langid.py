@@ -33,7 +33,7 @@ UNKNOWN = "und"
 HELD_GRAMS = 1 << 20
 #: Texts, and characters of texts, that are counted at once.
 _CHUNK = 256
-_CHARS = 1 << 19
+_CHARS = 1 << 18
 #: Up to so many possible n-grams are counted by place, more by sorting.
 _DENSE = 1_000_000
 _BITS = np.uint64(21)

@@ -144,10 +144,10 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, repeats: int = 0)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken of each document."""
+    """doc_id, tie (hash of the text), source, size, source_size, target, times, taken of each document."""
     spark = docs.sparkSession
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
-    sized = keep(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    sized = keep(docs.select("doc_id", F.xxhash64("text").alias("tie"), "source", size.alias("size")), "sizes")
     histogram = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sums = [(r["source"], r["words"]) for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
     goal = targets(sums, weights, most)
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     joined = joined.select("h.source", "h.size", "h.n", "p.source_size", "p.target", "p.whole")
     extra = joined.groupBy("source").applyInPandas(choose, "source string, size long, n long, extra long")
     key = F.xxhash64(F.lit(seed), "doc_id")
-    order = [key, F.col("doc_id")]
+    order = [key, F.col("doc_id"), F.col("tie")]
     ranks = ranked(sized, ["source", "size"], order, hash_block(key), "rank")
     on = F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.size") == F.col("e.size"))
     chosen = ranks.alias("r").join(extra.alias("e"), on, "left").select("r.*", F.coalesce("e.extra", F.lit(0)).alias("extra"), F.coalesce("e.n", F.lit(1)).alias("n"))
@@ -176,5 +176,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     more = F.expr("c.extra div c.n") + F.when(F.col("c.rank") <= F.col("c.extra") % F.col("c.n"), 1).otherwise(0)
     times = F.col("p.whole") + more
     times = F.when(F.col("c.size") > 0, times).otherwise(0)
-    out = out.select("c.doc_id", "c.source", "c.size", "p.source_size", "p.target", times.alias("times"))
+    out = out.select("c.doc_id", "c.tie", "c.source", "c.size", "p.source_size", "p.target", times.alias("times"))
     return out.withColumn("taken", F.col("size") * F.col("times"))
+
+
+def taken(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix takes them: each row none, once or several times.
+
+    Rows alike in doc_id, text and source are taken together as often as the mix takes them in all.
+    """
+    kinds = mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("source").alias("_source"))
+    kinds = keep(kinds.agg(F.count(F.lit(1)).alias("_n"), F.sum("times").alias("_times")).where("_times > 0"), "taken")
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")) & F.col("source").eqNullSafe(F.col("_source"))
+    out = docs.join(kinds.where("_n = 1"), on)
+    alike = kinds.where("_n > 1")
+    if not alike.isEmpty():
+        out = out.unionByName(docs.join(alike, on).dropDuplicates(["doc_id", "text", "source"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
