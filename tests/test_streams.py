@@ -1,9 +1,16 @@
 """Streams over several micro-batches give the batch operators' rows."""
 
+import datetime
+import math
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tideframe.operators import candles as C
+from tideframe.operators import risk
+from tideframe.operators.quality import quality_report
+from tideframe.plans import registry
 from tideframe.sources.adapters import table
 from tideframe.streaming import live
 
@@ -46,14 +53,71 @@ def test_running_total_over_batches(spark, parts):
     assert got == want
 
 
-def test_quality_orders_and_volatility(spark, parts):
-    n = table(spark, SF, "ticks").count()
-    rows = live.run_upserted(live.live_quality(stream(spark, parts), ["symbol"]), "t", ["symbol"]).collect()
-    assert sum(r["rows"] for r in rows) == n
-    ages = live.run_upserted(live.live_orders(stream(spark, parts), ["symbol"]), "t", ["symbol"]).collect()
-    assert sum(r["seen"] for r in ages) == n and all(r["age"] > 0 for r in ages)
-    once = live.run_upserted(live.live_volatility(live.tick_stream(spark, parts), ["symbol"]), "t", ["symbol"]).collect()
-    assert all(0.15 <= r["volatility"] <= 1.8 for r in once)
+def test_bucket_totals_over_batches(spark, parts):
+    flow = live.live_flow(stream(spark, parts), ["symbol"], "1 hour", "40 days", F.col("size"))
+    got = live.anchored_cvd(live.run_upserted(flow, "t", ["symbol", "bucket"]), ["symbol"]).collect()
+    want = registry.QUERIES["stream_cvd_candles"](spark, SF).collect()
+    assert sorted(got) == sorted(want)
+    last = max((r for r in got if r["symbol"] == "BTCUSDT"), key=lambda r: r["bucket"])
+    assert last["close"] == sum(r["buy"] - r["sell"] for r in got if r["symbol"] == "BTCUSDT")
+
+
+def test_metric_candles_over_batches(spark, parts):
+    bars = live.live_candles(stream(spark, parts, "market_state"), ["symbol"], "funding_rate", "1 hour", "40 days")
+    got = live.run_upserted(bars, "t", ["symbol", "bucket"]).drop("volume")
+    want = C.candles(table(spark, SF, "market_state"), ["symbol"], "funding_rate", 3600).select(*got.columns)
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_quality_over_batches(spark, parts):
+    """Counters over four batches are those over one, and the batch report's."""
+    make = lambda s: live.run_upserted(live.live_quality(s, ["symbol", "exchange"], 3600, 3600, horizon=31 * 86400), "t", ["symbol", "exchange"])
+    got = {(r["symbol"], r["exchange"]): r for r in make(stream(spark, parts)).collect()}
+    ticks = table(spark, SF, "ticks").withColumn("received", F.col("seq"))
+    for r in quality_report(ticks, ["symbol", "exchange"], 3600, 1707000000, 600000).collect():
+        g = got.pop((r["symbol"], r["exchange"]))
+        assert (g["rows"], g["duplicates"], g["out_of_order"], g["observed"], g["gaps"]) == (r["rows"], r["duplicates"], r["out_of_order"], r["observed"], r["gaps"])
+    assert not got
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """A clock that goes back: within the delay late, beyond it dropped; repeats across batches."""
+    base = 1_700_000_000
+    for i, rows in enumerate(([(1, 0), (2, 7200), (3, 7000)], [(4, 60), (5, 7300), (2, 7200)])):
+        values = [(s, datetime.datetime.fromtimestamp(base + t, datetime.UTC).replace(tzinfo=None), 0, "click", 1.0, '{"k": 1}') for s, t in rows]
+        spark.createDataFrame(values, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{i}")
+    keys = ["symbol", "exchange"]
+    r = live.run_upserted(live.live_quality(live.tick_stream(spark, f"{tmp_path}/*", files_per_trigger=1), keys, 3600, 3600), "t", keys).first()
+    assert (r["rows"], r["duplicates"], r["dropped"]) == (6, 1, 1) and r["out_of_order"] >= 2
+
+
+def test_orders_go_when_unseen(spark, parts):
+    ids = stream(spark, parts).withColumn("order_id", F.col("seq") % 7)
+    sets = {r["order_id"]: r for r in live.run_upserted(live.live_orders(ids, ["order_id"], "0 seconds", 40 * 86400), "t", ["order_id"]).collect()}
+    want = table(spark, SF, "ticks").withColumn("order_id", F.col("seq") % 7).groupBy("order_id").agg(F.min("es").alias("a"), F.max("es").alias("b"), F.count(F.lit(1)).alias("n"))
+    for r in want.collect():
+        g = sets[r["order_id"]]
+        assert (g["first_es"], g["age"], g["seen"], g["gone"]) == (r["a"], r["b"] - r["a"], r["n"], False)
+    old = stream(spark, parts).withColumn("order_id", F.when(F.col("seq") < 30, 1).otherwise(2))  # the first id ends early
+    rows = {r["order_id"]: r for r in live.run_upserted(live.live_orders(old, ["order_id"], "0 seconds", 3600), "t", ["order_id"]).collect()}
+    assert rows[1]["gone"] and not rows[2]["gone"]
+
+
+def test_risk_over_batches(spark, parts):
+    make = lambda s: live.run_upserted(live.live_risk(s, ["symbol"], 1 / 8766), "t", ["symbol"]).collect()
+    four = sorted(make(stream(spark, parts, "market_state")))
+    assert four == sorted(make(live.tick_stream(spark, parts, "market_state")))
+    state = table(spark, SF, "market_state").orderBy("ts", "seq").toPandas()
+    for r in four:  # the batch steps over the same rows
+        mine = state[state["symbol"] == r["symbol"]]
+        v, s, last = 0.5, 0.1, None
+        for x in mine.itertuples():
+            move = math.log(x.btc_price / last) if last else 0.0
+            shock = min(abs(move) / (v * math.sqrt(1 / 8766)), 5.0)
+            s = risk.stress_step(s, SimpleNamespace(target=min(1.0, 0.1 + 0.16 * abs(x.order_flow_imbalance) + 0.12 * abs(x.futures_order_flow_imbalance) + 0.1 * shock)))
+            v = risk.variance_step(v, SimpleNamespace(regime_vol=0.6, var=min(3.24, move * move * 8766)))
+            last = x.btc_price
+        assert r["volatility"] == pytest.approx(v) and r["stress"] == pytest.approx(s)
 
 
 def test_deduplicated(spark, parts):

@@ -53,12 +53,71 @@ def cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.run_upserted(live.live_cvd(_ticks(spark, sf_dir), ["symbol"]), "live-cvd", ["symbol"])
 
 
-@query("stream_quality", sql="SELECT symbol, exchange, count(*) AS rows, 0::BIGINT AS late, max(es) AS last_es FROM {ticks} GROUP BY ALL")
+@query(
+    "stream_cvd_candles",
+    sql="""WITH f AS (SELECT symbol, es // 3600 * 3600 AS bucket, sum(CASE side WHEN 'BUY' THEN size ELSE 0 END)::BIGINT AS buy, sum(CASE side WHEN 'SELL' THEN size ELSE 0 END)::BIGINT AS sell FROM {ticks} GROUP BY ALL),
+    c AS (SELECT *, (sum(buy - sell) OVER (PARTITION BY symbol ORDER BY bucket))::DOUBLE AS close FROM f)
+    SELECT symbol, bucket, buy, sell, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY bucket), 0)::DOUBLE AS open, close FROM c""",
+)
+def cvd_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per hour, each opening where the one before closed."""
+    flow = live.live_flow(_ticks(spark, sf_dir), ["symbol"], "1 hour", "10 minutes", F.col("size"))
+    return live.anchored_cvd(live.run_upserted(flow, "live-flow", ["symbol", "bucket"]), ["symbol"])
+
+
+for _name, _value, _places in (("stream_oi_candles", "open_interest", 4), ("stream_funding_candles", "funding_rate", 12)):
+
+    @query(
+        _name,
+        sql=f"""SELECT symbol, es // 3600 * 3600 AS bucket, round(arg_min({_value}, (es, seq)), {_places}) AS open, round(max({_value}), {_places}) AS high, round(min({_value}), {_places}) AS low,
+        round(arg_max({_value}, (es, seq)), {_places}) AS close FROM {{market_state}} GROUP BY ALL""",
+    )
+    def _metric_candles(spark: SparkSession, sf_dir: str, name: str = _name, value: str = _value, places: int = _places) -> DataFrame:
+        bars = live.live_candles(_ticks(spark, sf_dir, "market_state"), ["symbol"], value, "1 hour", "10 minutes")
+        out = live.run_upserted(bars, name, ["symbol", "bucket"])
+        return out.select("symbol", "bucket", *[F.round(c, places).alias(c) for c in _OHLC[:4]])
+
+
+@query(
+    "stream_quality",
+    sql="""WITH o AS (SELECT *, lag(es) OVER w AS before, max(es) OVER (PARTITION BY symbol, exchange ORDER BY received, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM {dirty_ticks} WINDOW w AS (PARTITION BY symbol, exchange ORDER BY received, seq))
+    SELECT symbol, exchange, count(*) AS rows, count(*) - count(DISTINCT seq) AS duplicates, count(*) FILTER (before > es) AS out_of_order, count(*) FILTER (newest - 3600 > es) AS dropped, count(DISTINCT es // 3600) AS observed,
+        max(es) // 3600 - min(es) // 3600 + 1 - count(DISTINCT es // 3600) AS gaps, max(es) AS last_es FROM o GROUP BY ALL""",
+)
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = live.live_quality(_ticks(spark, sf_dir), ["symbol", "exchange"])
+    """Of the ticks with repeats and late receipts; ids are remembered for all of the table's 31 days."""
+    ticks = _ticks(spark, sf_dir).withColumn("received", F.expr("CASE WHEN seq % 31 = 0 THEN seq + 40 ELSE seq END"))
+    again = ticks.select("*", F.explode(F.when(F.col("seq") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+    out = live.live_quality(again, ["symbol", "exchange"], 3600, 3600, "received", horizon=31 * 86400)
     return live.run_upserted(out, "live-quality", ["symbol", "exchange"])
 
 
+@query(
+    "stream_order_lifetimes",
+    sql="""SELECT seq % 97 AS order_id, min(es) AS first_es, max(es) AS last_es, max(es) - min(es) AS age, count(*) AS seen, max(es) + 3600 < (SELECT max(es) - 600 FROM {ticks}) AS gone FROM {ticks} GROUP BY 1""",
+)
+def order_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids unseen for an hour are gone, and with them their state."""
+    ids = _ticks(spark, sf_dir).withColumn("order_id", F.col("seq") % 97)
+    return live.run_upserted(live.live_orders(ids, ["order_id"], "10 minutes", 3600), "live-orders", ["order_id"])
+
+
+@query(
+    "stream_risk",
+    sql="""WITH RECURSIVE x AS (SELECT symbol, es, order_flow_imbalance AS a, futures_order_flow_imbalance AS b, coalesce(ln(btc_price / lag(btc_price) OVER w), 0.0) AS r, row_number() OVER w AS i FROM {market_state} WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
+    n AS (SELECT symbol, max(i) AS n, max(es) AS last_es FROM x GROUP BY 1),
+    f AS (SELECT symbol, 0::BIGINT AS i, 0.5::DOUBLE AS v, 0.1::DOUBLE AS s FROM n
+        UNION ALL SELECT x.symbol, x.i, greatest(0.15, least(1.8, sqrt(0.92 * f.v * f.v + 0.055 * 0.36 + 0.025 * least(3.24, r * r * 8766.0)))),
+            greatest(0.02, least(1.0, 0.82 * f.s + 0.18 * greatest(0.02, least(1.0, 0.1 + 0.16 * abs(a) + 0.12 * abs(b) + 0.1 * least(abs(r) / greatest(f.v * sqrt(1.0 / 8766.0), 1e-8), 5.0)))))
+        FROM f JOIN x ON x.symbol = f.symbol AND x.i = f.i + 1)
+    SELECT f.symbol, round(v, 6) AS volatility, round(s, 6) AS stress, last_es FROM f JOIN n ON f.symbol = n.symbol AND f.i = n.n""",
+)
+def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility and stress after all states, a state counting as an hour."""
+    out = live.run_upserted(live.live_risk(_ticks(spark, sf_dir, "market_state"), ["symbol"], 1 / 8766), "live-risk", ["symbol"])
+    return out.select("symbol", *r6("volatility", "stress"), "last_es")
+
+
 @query("stream_deduplicated", sql="SELECT seq, symbol, round(price, 6) AS price FROM {ticks}")
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tick is sent twice; each comes out once."""
