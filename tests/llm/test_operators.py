@@ -281,6 +281,23 @@ def test_sharding_splits_only_what_is_too_large(docs, corpus):
     assert len(depths) > 1
 
 
+@pytest.mark.parametrize("limit", [3_000, 40_000])
+def test_sharding_against_sql(spark, con, limit):
+    """At limits that split, down to several depths."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sharding.shard(docs, limit)
+    same(got, con, sharding.oracle(limit))
+    assert got.select("depth").distinct().count() > 1
+
+
+def test_written_shards(spark, docs, corpus, tmp_path):
+    sharding.write_shards(docs, f"file://{tmp_path}/out", 1000)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((i, t) for i, t, _, _ in corpus)
+    place = {(r["doc_id"], r["depth"], r["shard"]) for r in sharding.shard(docs, 1000).collect()}
+    assert {(r["doc_id"], r["depth"], r["shard"]) for r in back.collect()} == place
+
+
 def brute_lines(rows):
     seen, gone = set(), defaultdict(set)
     for k, (_, text) in enumerate(rows):

@@ -68,7 +68,11 @@ def _assign(sized: DataFrame, leaves: DataFrame, fine: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write whole documents as Parquet, a folder for each shard, doc_id ascending inside."""
+    """Write whole documents as Parquet, a folder for each shard, doc_id ascending inside.
+
+    Columns of ``docs`` named depth or shard give way to the shard's.
+    """
+    docs = docs.drop("depth", "shard")
     place = shard(docs, limit).select("doc_id", "depth", "shard").distinct()
     placed = docs.alias("d").join(place.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.*", "p.depth", "p.shard")
     placed.repartition("depth", "shard").sortWithinPartitions("depth", "shard", "doc_id").write.partitionBy("depth", "shard").parquet(path)
