@@ -146,3 +146,17 @@ def test_payload_files(spark, tmp_path):
     assert rejects.count() == 2
     points, _ = payload.ingest(spark.createDataFrame([("p", '[{"t": 1704067200, "v": 1.5}]'), ("e", '{"error": "x"}')], "name string, body string"), "points")
     assert [tuple(r) for r in points.collect()] == [("p", 1704067200, 1.5)]
+
+
+def test_payloads_are_written_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 60, 1.5), ("a", 0, 2.0), ("b", 0, -3.0)], "key string, es long, value double")
+    payload.write_payloads(payload.export(rows, "key", "points"), f"file://{tmp_path}/out")
+    back = {r["name"]: r["value"] for r in spark.read.text(f"file://{tmp_path}/out").collect()}
+    assert back == {"a": '[{"t":0,"v":2.0},{"t":60,"v":1.5}]', "b": '[{"t":0,"v":-3.0}]'}
+
+
+def test_normal_distribution(spark):
+    xs = [-40.0, -9.5, -7.5, -3.0, -1e-9, 0.0, 0.5, 2.0, 7.0, 7.2, 12.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(risk.normal_cdf(F.col("x"))).collect()]
+    for x, y in zip(xs, got, strict=True):
+        assert y == pytest.approx(0.5 * math.erfc(-x / math.sqrt(2)), rel=1e-7, abs=1e-15)

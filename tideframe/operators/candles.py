@@ -104,9 +104,3 @@ def violations(bars: DataFrame) -> Column:
     for c in ("open", "high", "low", "close"):
         good = good & ~F.isnan(c) & (F.abs(F.col(c).cast("double")) != float("inf"))
     return ~F.coalesce(good, F.lit(False))
-
-
-def spine(keys: DataFrame, start: int, stop: int, cadence: int) -> DataFrame:
-    """Every step of a regular grid for each key: start, start + cadence, ... up to stop."""
-    steps = F.sequence(F.lit(start).cast("long"), F.lit(stop).cast("long"), F.lit(positive("cadence", cadence)).cast("long"))
-    return keys.withColumn("bucket", F.explode(steps))

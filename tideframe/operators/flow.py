@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.functions.scalars import bucket, clamp, half_even, ratio
+from tideframe.functions.scalars import clamp, half_even, ratio
 from tideframe.operators.candles import bucketed, last_in
 from tideframe.operators.spans import with_islands, with_previous
 
@@ -139,7 +139,3 @@ def sweeps(trades: DataFrame, keys: list[str], most_gap: int, least_levels: int)
     runs = with_islands(known, keys, ~same, "run")
     out = runs.groupBy(*keys, "run").agg(F.first("side").alias("side"), F.min("es").alias("start_es"), F.max("es").alias("end_es"), F.count(F.lit(1)).alias("trades"), F.countDistinct("price").alias("levels"), F.sum("size").alias("volume"))
     return out.where(F.col("levels") >= least_levels).drop("run")
-
-
-def rolled_hour(es: str = "es") -> Column:
-    return bucket(F.col(es), 3600)
