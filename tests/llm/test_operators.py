@@ -624,6 +624,33 @@ def brute_links(rows):
     return {i: (n[i], root(i)) for i, _ in rows}
 
 
+def test_vectors_of_one_hot_group(spark, rng, monkeypatch):
+    """Groups far above a cell's bound, within and across cliques; no pair of a clique is made."""
+    monkeypatch.setattr(vectors, "HOT", 8)
+    d, made = 24, []
+    centre = vectors._unit(rng.normal(size=(3, d)))
+    rows = [(i, (centre[0] + 0.004 * rng.normal(size=d)).tolist()) for i in range(150)]  # one clique
+    rows += [(200 + i, (centre[1] + 0.02 * rng.normal(size=d)).tolist()) for i in range(80)]  # wider: several, and vectors in none
+    rows += [(300 + i, (centre[2] + 0.004 * rng.normal(size=d)).tolist()) for i in range(3)] + [(310 + i, rows[4][1]) for i in range(4)]
+    rows += [(400 + i, rng.normal(size=d).tolist()) for i in range(300)]  # what the rotation is fitted to
+    inner = vectors._linked
+
+    def watched(pairs, reps, least):
+        if least == vectors.THRESHOLD:
+            made.append(pairs.where("a < 150 and b < 150").count())
+        return inner(pairs, reps, least)
+
+    monkeypatch.setattr(vectors, "_linked", watched)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    want = brute_links(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near(df).collect()}
+    assert {i: got[i] for i in range(150)} == {i: want[i] for i in range(150)}
+    assert {i: g[1] for i, g in got.items()} == {i: w[1] for i, w in want.items()}
+    total = sum(n for n, _ in want.values())
+    assert 0.95 * total <= sum(n for n, _ in got.values()) <= total and all(got[i][0] <= want[i][0] for i in want)
+    assert made[0] < 0.2 * 150 * 149 / 2
+
+
 @pytest.mark.parametrize("d", [16, 48])
 def test_vectors(spark, rng, d):
     centre = rng.normal(size=(20, d))

@@ -9,7 +9,9 @@ many tables as the wanted recall needs at the threshold; short vectors get sever
 
 The rotations are fitted on at most ``SAMPLE`` vectors (those of least hash of their id) of each length;
 every vector is coded, indexed and searched for. Vectors equal in every component are one class, expanded
-by counts only; classes, candidates and components stay distributed.
+by counts only. In full cells, vectors within half the threshold's angle of one leader are a clique: all
+of them link (angles add up), so their links are counted without a pair being made; pairs are made of
+what is left. Classes, candidates and components stay distributed.
 
 Cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are
 their own component; vectors of different lengths link with none of each other (beyond the ``FITTED``
@@ -38,6 +40,8 @@ MOST_TABLE_BITS = 30
 #: Chance that a pair at the threshold is found, by which tables are counted.
 RECALL = 0.94
 MOST_BITS = 18
+#: A cell of so many vectors gets a leader, and those very near it are one clique.
+HOT = 64
 ROUNDS = 50
 
 
@@ -125,6 +129,72 @@ def _random(d: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(d), np.concatenate(turns, axis=1)[:, :bits]
 
 
+def _linked(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of a cosine of at least ``least``, in double precision, of the original vectors."""
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            begin = np.cumsum(size) - size
+            x, y = (batch.column(i).flatten().to_numpy() for i in (2, 3))
+            near = np.zeros(0, bool)
+            if len(size):
+                xy, xx, yy = (np.add.reduceat(v, begin) for v in (x * y, x * x, y * y))
+                near = xy / (np.sqrt(xx) * np.sqrt(yy)) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    one = reps.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    two = reps.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(rerank, "a long, b long")
+
+
+def _cliques(at: DataFrame, reps: DataFrame, threshold: float) -> DataFrame | None:
+    """v, c: vectors within half the threshold's angle of a leader c, so that all of a leader's link (kept).
+
+    Each cell of ``HOT`` vectors has a leader; a vector goes to the least of those its cells offer, or that
+    these leaders have gone to themselves. Cliques of few members are let go: their pairs are few.
+    """
+    cells = at.groupBy("t", "cell", "d").agg(F.count(F.lit(1)).alias("n"), F.min_by("v", F.struct(F.xxhash64("v"), "v")).alias("leader"))
+    cells = keep(cells.where(F.col("n") >= HOT).drop("n"), "hot-cells")
+    if cells.isEmpty():
+        return None
+    half = math.sqrt((1 + threshold) / 2) + 1e-9
+    offers = at.join(cells, ["t", "cell", "d"]).select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
+    close = keep(_linked(offers, reps, half), "led")
+    gone = close.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("to"))
+    further = close.join(gone, "b").select("a", F.col("to").alias("b")).distinct().join(close, ["a", "b"], "left_anti")
+    best = close.union(_linked(further, reps, half)).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c"))
+    best = keep(best, "cliques")
+    large = best.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT // 4).select("c")
+    return best.join(large, "c").select("v", "c")
+
+
+def _candidates(at: DataFrame, width: int, reps: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different vectors, not of one clique, that share a cell up to one bit.
+
+    ``at``: v, code, d, t, cell, c (the clique, or null). Vectors outside cliques meet all others of a cell.
+    Members of cliques meet those of others only where the cliques' leaders are near enough for a link.
+    """
+    flips = F.array(*[F.col("cell").bitwiseXOR(F.lit(x)) for x in [0] + [1 << k for k in range(width)]])
+    on = ["t", "cell", "d"]
+    loose = at.where("c is null").select(F.col("v").alias("a"), F.col("code").alias("code_a"), *on)
+    probe = at.select(F.col("v").alias("b"), F.col("code").alias("code_b"), "d", "t", "c", F.explode(flips).alias("cell"))
+    close = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= MOST_BITS
+    met = loose.join(probe, on).where((F.col("a") < F.col("b")) | F.col("c").isNotNull()).where(close).select("a", "b")
+    members = at.where("c is not null")
+    seats = members.select(*on, F.col("c").alias("c1")).distinct()
+    beside = members.select("t", "d", "c", "cell").distinct().select("t", "d", F.col("c").alias("c2"), F.explode(flips).alias("cell")).distinct()
+    meeting = keep(seats.join(beside, on).where("c1 < c2"), "meeting-cliques")
+    # two members within the threshold's angle: their leaders are within twice that
+    apart = math.cos(min(math.pi, 2 * math.acos(threshold))) - 1e-9
+    possible = _linked(meeting.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct(), reps, apart)
+    meeting = meeting.join(possible.select(F.col("a").alias("c1"), F.col("b").alias("c2")), ["c1", "c2"])
+    one = members.select(*on, F.col("c").alias("c1"), F.col("v").alias("a"), F.col("code").alias("code_a"))
+    two = members.select("t", "d", F.col("c").alias("c2"), F.col("v").alias("b"), F.col("code").alias("code_b"), F.explode(flips).alias("cell"))
+    across = meeting.join(one, [*on, "c1"]).join(two, [*on, "c2"]).where(close).select("a", "b")
+    return met.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row."""
     prepare(vectors.sparkSession)
@@ -140,32 +210,23 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = keep(reps, "vector-reps")
 
     at = reps.select(F.col("vec_id").alias("v"), "code", "d", F.posexplode("cells").alias("t", "cell"))
-    flips = [0] + [1 << k for k in range(width)]
-    probe = at.select(F.col("v").alias("b"), F.col("code").alias("code_b"), "d", "t", F.explode(F.array(*[F.col("cell").bitwiseXOR(F.lit(x)) for x in flips])).alias("cell"))
-    stored = at.select(F.col("v").alias("a"), F.col("code").alias("code_a"), "d", "t", "cell")
-    close = stored.join(probe, ["t", "cell", "d"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= MOST_BITS))
-    pairs = keep(close.select("a", "b").distinct(), "vector-pairs")
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            begin = np.cumsum(size) - size
-            x, y = (batch.column(i).flatten().to_numpy() for i in (2, 3))
-            near = np.zeros(0, bool)
-            if len(size):
-                xy, xx, yy = (np.add.reduceat(v, begin) for v in (x * y, x * x, y * y))
-                near = xy / (np.sqrt(xx) * np.sqrt(yy)) >= threshold
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    one = reps.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    two = reps.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    links = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(rerank, "a long, b long")
-    links = keep(links, "vector-links")
+    cliques = _cliques(at, reps, threshold)
+    if cliques is None:
+        cliques = reps.select(F.col("vec_id").alias("v"), F.col("vec_id").alias("c")).limit(0)
+    cliques = keep(cliques, "cliques")
+    pairs = keep(_candidates(at.join(cliques, "v", "left"), width, reps, threshold), "vector-pairs")
+    links = keep(_linked(pairs, reps, threshold), "vector-links")
 
     many = classes.select("rep", "many")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(many.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("linked"))
-    merged = components(links).withColumnRenamed("node", "rep")
+    others = both.join(many.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), "many")
+    # in a clique each member links with all others: counted, not paired
+    sizes = cliques.join(many.withColumnRenamed("rep", "v"), "v")
+    whole = sizes.groupBy("c").agg(F.sum("many").alias("all"), F.min("v").alias("least"))
+    inside = sizes.join(whole, "c").select(F.col("v").alias("rep"), (F.col("all") - F.col("many")).alias("many"))
+    others = others.union(inside).groupBy("rep").agg(F.sum("many").alias("linked"))
+    stars = cliques.join(whole, "c").select(F.col("v").alias("a"), F.col("least").alias("b"))
+    merged = components(links.union(stars)).withColumnRenamed("node", "rep")
     named = classes.join(others, "rep", "left").join(merged, "rep", "left")
     named = named.select("same", (F.coalesce("linked", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     found = members.join(named, "same").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
