@@ -74,8 +74,9 @@ def frequent_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
             yield flush()
 
     sums = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    most = sums.where(F.col("n") >= max(16, min(FREQUENT_SHARE * total, FREQUENT_COUNT))).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).collect()
-    return np.array([r["h"] for r in reversed(most)], np.int64).view(np.uint64)
+    most = sums.where(F.col("n") >= max(16, min(FREQUENT_SHARE * total, FREQUENT_COUNT))).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).toArrow()
+    h, n = (most.column(c).to_numpy() for c in ("h", "n"))
+    return h[np.lexsort((~h, n))].view(np.uint64)
 
 
 def index_keys(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:

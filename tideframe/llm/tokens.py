@@ -132,7 +132,7 @@ class Encoder:
         if not self.by_word:
             parts = [(self._whole(t) if t else b"") + tail for t in texts.to_pylist()]
             return np.frombuffer(b"".join(parts), "<u4"), np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
         stops = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()
         ids, size = self._known(words.dictionary)
