@@ -58,6 +58,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a table that ``keep`` stored, once nothing that is still to run reads it."""
+    files = table.inputFiles()
+    if files:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

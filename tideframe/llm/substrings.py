@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import keep as kept_table
-from tideframe.llm.common import partitions, prepare
+from tideframe.llm.common import forget, partitions, prepare
 from tideframe.llm.shingles import mix
 
 LENGTH = 400
@@ -232,6 +232,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
         # A table of its own, so that the join below reads plain rows and a hot anchor's can be split.
         seen = kept_table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "repeated-anchors")
         again = kept_table(found.join(seen, "anchor"), "repeated-runs")
+        forget(found)
         place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie", "a")
         contents = again.groupBy("anchor", "hi", "lo").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first"), F.first("n").alias("n"))
         contents = kept_table(contents, "contents")
