@@ -222,7 +222,7 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     others = both.join(many.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), "many")
     # in a clique each member links with all others: counted, not paired
     sizes = cliques.join(many.withColumnRenamed("rep", "v"), "v")
-    whole = sizes.groupBy("c").agg(F.sum("many").alias("all"), F.min("v").alias("least"))
+    whole = keep(sizes.groupBy("c").agg(F.sum("many").alias("all"), F.min("v").alias("least")), "clique-sizes")  # so that a large one's rows can be split
     inside = sizes.join(whole, "c").select(F.col("v").alias("rep"), (F.col("all") - F.col("many")).alias("many"))
     others = others.union(inside).groupBy("rep").agg(F.sum("many").alias("linked"))
     stars = cliques.join(whole, "c").select(F.col("v").alias("a"), F.col("least").alias("b"))
