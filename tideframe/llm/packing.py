@@ -19,6 +19,7 @@ doc_ids are kept; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -82,6 +83,28 @@ class Knapsack:
         return found
 
 
+def _product(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A matrix times a vector by one thread: threaded linear algebra may lock beside the driver's JVM."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray | None:
+    """Gauss-Jordan elimination by rows, largest pivot first, by one thread; None of a singular matrix."""
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], axis=1)
+    for k in range(n):
+        pivot = k + int(np.argmax(np.abs(both[k:, k])))
+        if abs(both[pivot, k]) < 1e-11:
+            return None
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        change = both[:, k].copy()
+        change[k] = 0
+        rows = np.flatnonzero(change)
+        both[rows] -= np.multiply.outer(change[rows], both[k])
+    return both[:, n:]
+
+
 class _Programme:
     """The restricted linear programme: fewest bins of known patterns that meet every size's demand.
 
@@ -95,7 +118,7 @@ class _Programme:
         self.columns = np.diag([float(capacity // s) for s in sizes])  # one row for each pattern
         self.basis = np.arange(len(sizes))
         self.inverse = np.diag([1.0 / (capacity // s) for s in sizes])
-        self.used, self.exchanges = self.inverse @ need, 0
+        self.used, self.exchanges = _product(self.inverse, need), 0
 
     def add(self, patterns: list[Counter]) -> None:
         new = np.zeros((len(patterns), len(self.row)))
@@ -109,11 +132,11 @@ class _Programme:
         barred = np.zeros(len(self.columns), bool)
         for _ in range(20 * len(self.need) + 200):
             dual = self.inverse.sum(axis=0)  # every pattern costs one bin
-            worth = np.where(barred, 0, self.columns @ dual)
+            worth = np.where(barred, 0, _product(self.columns, dual))
             k = int(np.argmax(worth))
             if worth[k] <= 1 + tolerance:
                 break
-            change = self.inverse @ self.columns[k]
+            change = _product(self.inverse, self.columns[k])
             ratio = np.where(change > 1e-7, self.used / np.where(change > 1e-7, change, 1), np.inf)
             theta = ratio.min()
             if not np.isfinite(theta):
@@ -125,15 +148,17 @@ class _Programme:
             self.basis[out] = k
             self.inverse[out] /= change[out]
             change[out] = 0
-            self.inverse -= np.outer(change, self.inverse[out])
+            self.inverse -= np.multiply.outer(change, self.inverse[out])
             self.exchanges += 1
             if self.exchanges % 200 == 0:  # against drift
-                try:
-                    self.inverse = np.linalg.inv(self.columns[self.basis].T)
-                except np.linalg.LinAlgError:  # begin again, with all patterns found
+                fresh = _inverse(self.columns[self.basis].T)
+                if fresh is None:  # begin again, with all patterns found
                     self.basis = np.arange(len(self.need))
-                    self.inverse = np.linalg.inv(self.columns[self.basis].T)
-                self.used = np.maximum(self.inverse @ self.need, 0)
+                    fresh = np.diag(1.0 / np.diag(self.columns[self.basis]))
+                self.inverse = fresh
+                self.used = np.maximum(_product(self.inverse, self.need), 0)
+        else:
+            warnings.warn("the packing programme stopped at its limit of exchanges; its plan is valid, but may be further from the optimum", stacklevel=2)
         return self.inverse.sum(axis=0)
 
     def drop(self, most: int) -> None:
@@ -170,7 +195,7 @@ def cutting_stock(demand: dict[int, int], capacity: int, tolerance: float = 2e-3
         tried: list[Counter] = []
         for prices in ([0.8 * centre + 0.2 * dual] if centre is not None else []) + [dual]:
             sack = Knapsack(sizes, prices, capacity)
-            if (found := prices @ need / max(1.0, sack.best[capacity])) > bound:
+            if (found := float((prices * need).sum()) / max(1.0, sack.best[capacity])) > bound:
                 bound, centre = found, prices
             worth = prices + sack.best[capacity - width]
             for i in np.argsort(-worth, kind="stable")[:COLUMNS].tolist():
