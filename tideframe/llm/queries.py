@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import fingerprint, jaccard, langid, lines, mixing, packing, repair, sharding, substrings, vectors
+from tideframe.llm import fingerprint, jaccard, langid, lines, mixing, packing, repair, sharding, substrings, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -69,9 +74,11 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_warc": op11_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": lines.ORACLE,
     "op5_sharding": sharding.oracle(),
+    "op11_warc": warc.ORACLE,
 }
