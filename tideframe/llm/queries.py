@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import fingerprint, jaccard, langid, lines, mixing, packing, repair, runs, sharding, substrings, vectors, warc
+from tideframe.llm import collocations, fingerprint, jaccard, langid, lines, mixing, packing, repair, runs, sharding, substrings, vectors, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_documents(spark, sf_dir))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.collapse(_documents(spark, sf_dir), rewrite=runs.planted))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_warc": op11_warc,
+    "op12_collocations": op12_collocations,
     "op13_runs": op13_runs,
 }
 
@@ -86,4 +91,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": lines.ORACLE,
     "op5_sharding": sharding.oracle(),
     "op11_warc": warc.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
