@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.operators.candles import bucketed
-from tideframe.operators.spans import with_islands, with_previous, with_running
+from tideframe.operators.spans import Ordered, with_previous, with_running
 
 
 def quote_state(bid: str = "bid", ask: str = "ask") -> Column:
@@ -75,8 +75,8 @@ def persistence(depth: DataFrame, keys: list[str], least_size: float, place: lis
     snaps = depth.select(*keys, "ts", "seq", "es").distinct()
     snaps = with_running(snaps, keys, F.lit(1), "k").drop("ts", "es")
     large = depth.where(F.col("size") >= least_size).join(snaps, [*keys, "seq"])
-    large = with_previous(large, [*keys, *place], ["k"])
-    islands = with_islands(large, [*keys, *place], F.col("k") != F.col("prev_k") + 1, "island").groupBy(*keys, *place, "island")
+    seen = Ordered(large, [*keys, *place]).previous(["k"]).islands(F.col("k") != F.col("prev_k") + 1, "island")
+    islands = seen.rows.groupBy(*keys, *place, "island")
     return islands.agg(F.min("es").alias("start_es"), F.max("es").alias("end_es"), F.count(F.lit(1)).alias("snapshots")).drop("island")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideframe.functions.scalars import clamp, half_even, ratio
 from tideframe.operators.candles import bucketed, last_in
-from tideframe.operators.spans import with_islands, with_previous
+from tideframe.operators.spans import Ordered
 
 #: What each venue counts in an aggregate over venues.
 VENUE_WEIGHTS = {"Binance": 1.0, "OKX": 0.72, "Bybit": 0.64}
@@ -132,10 +132,9 @@ def large_trades(trades: DataFrame, keys: list[str], seconds: int, percentile: f
 
 def sweeps(trades: DataFrame, keys: list[str], most_gap: int, least_levels: int) -> DataFrame:
     """Runs of same-side trades, each within ``most_gap`` seconds of the last, that cross prices one way."""
-    known = with_previous(trades.where(F.col("side").isin("BUY", "SELL")), keys, ["price", "side", "es"])
+    known = Ordered(trades.where(F.col("side").isin("BUY", "SELL")), keys).previous(["price", "side", "es"])
     up = F.col("price") - F.col("prev_price")
     away = F.when(F.col("side") == "BUY", up >= 0).otherwise(up <= 0)
     same = (F.col("prev_side") == F.col("side")) & (F.col("es") - F.col("prev_es") <= most_gap) & away
-    runs = with_islands(known, keys, ~same, "run")
-    out = runs.groupBy(*keys, "run").agg(F.first("side").alias("side"), F.min("es").alias("start_es"), F.max("es").alias("end_es"), F.count(F.lit(1)).alias("trades"), F.countDistinct("price").alias("levels"), F.sum("size").alias("volume"))
+    out = known.islands(~same, "run").rows.groupBy(*keys, "run").agg(F.first("side").alias("side"), F.min("es").alias("start_es"), F.max("es").alias("end_es"), F.count(F.lit(1)).alias("trades"), F.countDistinct("price").alias("levels"), F.sum("size").alias("volume"))
     return out.where(F.col("levels") >= least_levels).drop("run")

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tideframe.operators.spans import with_previous
 
 
-def quality_report(rows: DataFrame, keys: list[str], cadence: int, now: int, stale_after: int, id_column: str = "seq", received: str = "received", received_span: int = 1 << 16) -> DataFrame:
+def quality_report(rows: DataFrame, keys: list[str], cadence: int, now: int, stale_after: int, id_column: str = "seq", received: str = "received") -> DataFrame:
     """Per key: coverage of the grid, gaps, duplicates, rows received out of order, age and staleness.
 
-    ``received`` is a number that grows with receipt; rows are ordered inside spans of ``received_span`` of it.
+    ``received`` is a number that grows with receipt.
     """
     cell = F.col("es") - F.pmod("es", F.lit(cadence))
     # repeats of one row were received together, so their order does not matter
-    seen = with_previous(rows, keys, ["es"], (received, id_column), span=received_span, at=received)
+    seen = with_previous(rows, keys, ["es"], (received, id_column), at=received)
     marked = seen.withColumn("_late", F.when(F.col("prev_es") > F.col("es"), 1).otherwise(0))
     ids = rows.groupBy(*keys, id_column).agg(F.count(F.lit(1)).alias("k"))
     doubles = ids.groupBy(*keys).agg(F.sum(F.col("k") - 1).alias("duplicates"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.scalars import clamp
-from tideframe.operators.spans import with_islands, with_previous
+from tideframe.operators.spans import Ordered, with_previous
 
 
 #: Hart's rational approximation of the normal distribution function, highest power first.
@@ -162,10 +162,9 @@ def autocorrelation(series: DataFrame, keys: list[str], value: str, first: int =
 
 def runs(rows: DataFrame, keys: list[str], label: str = "regime", es: str = "es", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """Maximal runs of one label: start, end, rows."""
-    seen = with_previous(rows.withColumn("_some", F.lit(1)), keys, [label, "_some"], order, at=es)
+    seen = Ordered(rows.withColumn("_some", F.lit(1)), keys, order, es).previous([label, "_some"])
     begins = F.col("prev__some").isNull() | ~F.col(f"prev_{label}").eqNullSafe(F.col(label))
-    marked = with_islands(seen, keys, begins, "run", order, at=es)
-    return marked.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min(es).alias("start_es"), F.max(es).alias("end_es"), F.count(F.lit(1)).alias("rows"))
+    return seen.islands(begins, "run").rows.groupBy(*keys, "run").agg(F.first(label).alias(label), F.min(es).alias("start_es"), F.max(es).alias("end_es"), F.count(F.lit(1)).alias("rows"))
 
 
 def transitions(found: DataFrame, keys: list[str], label: str = "regime") -> DataFrame:
