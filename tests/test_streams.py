@@ -2,13 +2,11 @@
 
 import datetime
 import math
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tideframe.operators import candles as C
-from tideframe.operators import risk
 from tideframe.operators.quality import quality_report
 from tideframe.plans import registry
 from tideframe.sources.adapters import table
@@ -114,8 +112,9 @@ def test_risk_over_batches(spark, parts):
         for x in mine.itertuples():
             move = math.log(x.btc_price / last) if last else 0.0
             shock = min(abs(move) / (v * math.sqrt(1 / 8766)), 5.0)
-            s = risk.stress_step(s, SimpleNamespace(target=min(1.0, 0.1 + 0.16 * abs(x.order_flow_imbalance) + 0.12 * abs(x.futures_order_flow_imbalance) + 0.1 * shock)))
-            v = risk.variance_step(v, SimpleNamespace(regime_vol=0.6, var=min(3.24, move * move * 8766)))
+            target = max(0.02, min(1.0, 0.1 + 0.16 * abs(x.order_flow_imbalance) + 0.12 * abs(x.futures_order_flow_imbalance) + 0.1 * shock))
+            s = max(0.02, min(1.0, 0.82 * s + 0.18 * target))
+            v = max(0.15, min(1.8, math.sqrt(0.92 * v * v + 0.055 * 0.36 + 0.025 * min(3.24, move * move * 8766))))
             last = x.btc_price
         assert r["volatility"] == pytest.approx(v) and r["stress"] == pytest.approx(s)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideframe.functions.scalars import clamp, half_even, ratio
 from tideframe.operators.candles import bucketed, last_in
+from tideframe.operators.quantiles import quantile
 from tideframe.operators.spans import Ordered
 
 #: What each venue counts in an aggregate over venues.
@@ -122,8 +123,7 @@ def large_trades(trades: DataFrame, keys: list[str], seconds: int, percentile: f
     if (percentile is None) == (absolute is None):
         raise ValueError("give one of percentile and absolute")
     if percentile is not None:
-        limits = trades.groupBy("symbol").agg(F.percentile("size", F.lit(percentile)).alias("limit"))
-        trades = trades.join(limits, "symbol")
+        trades = trades.join(quantile(trades, ["symbol"], "size", percentile, "limit"), "symbol")
     else:
         trades = trades.withColumn("limit", F.lit(absolute))
     large = trades.where(F.col("size") >= F.col("limit"))

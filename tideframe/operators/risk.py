@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.scalars import clamp
-from tideframe.operators.spans import Ordered, with_previous
+from tideframe.operators.quantiles import order_statistic
+from tideframe.operators.scans import clamped_affine
+from tideframe.operators.spans import Ordered, with_previous, with_running
 
 
 #: Hart's rational approximation of the normal distribution function, highest power first.
@@ -69,70 +73,21 @@ def gamma_pressure(futures_imbalance: Column, funding: Column, basis: Column, ga
     return clamp(lean * clamp(65.0 * gamma * spot, 0.0, 1.0), -1.0, 1.0)
 
 
-def _folded(bars: DataFrame, keys: list[str], step, start: float, name: str) -> DataFrame:
-    """A recursion over each key's bars in order (bucket): its value after every bar.
-
-    Rows are streamed in order through a task by key; only one state is held.
-    """
-
-    def fold(batches):
-        last, v = None, start
-        for pdf in batches:
-            values = []
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != last:
-                    last, v = key, start
-                v = step(v, row)
-                values.append(v)
-            yield pdf[[*keys, "bucket"]].assign(**{name: values})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.select(*keys, "bucket").schema) + f", {name} double"
-    return bars.repartition(*keys).sortWithinPartitions(*keys, "bucket").mapInPandas(fold, schema)
-
-
-def variance_step(v: float, row) -> float:
-    """The clamped variance recursion: annual volatility after a bar of (var, regime_vol)."""
-    return min(1.80, max(0.15, math.sqrt(0.92 * v * v + 0.055 * row.regime_vol**2 + 0.025 * row.var)))
-
-
-def stress_step(v: float, row) -> float:
-    return min(1.0, max(0.02, 0.82 * v + 0.18 * row.target))
-
-
-def ewma_variance_blocks(bars: DataFrame, keys: list[str], start: float = 0.5) -> DataFrame:
+def ewma_variance(bars: DataFrame, keys: list[str], start: float = 0.5, most: int | None = None) -> DataFrame:
     """Annual volatility by the clamped variance recursion over bars (bucket, var, regime_vol).
 
-    ``var`` is the bar's annualised squared return, capped.
-    """
-    return _folded(bars.select(*keys, "bucket", "var", "regime_vol"), keys, variance_step, start, "volatility")
-
-
-def ewma_variance(bars: DataFrame, keys: list[str], start: float = 0.5) -> DataFrame:
-    """As ``ewma_variance_blocks`` in expressions: a key's bars are one array, so it is meant for few bars a key.
-
-    The values so far are kept newest first in chunks, so that a step copies a chunk and not all of them.
+    ``var`` is the bar's annualised squared return, capped. The recursion is one of squares: 0.92 of the
+    last, 0.055 of the regime's and 0.025 of the bar's, between 0.15 and 1.80 squared.
     """
-    rows = bars.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "var", "regime_vol"))).alias("xs"))
-    one = F.array().cast("array<double>")
-    begin = F.struct(F.lit(start).alias("v"), one.alias("part"), F.array(one).alias("parts"))
-
-    def on(acc: Column, x: Column) -> Column:
-        v = acc["v"]
-        v = clamp(F.sqrt(0.92 * v * v + 0.055 * x["regime_vol"] * x["regime_vol"] + 0.025 * x["var"]), 0.15, 1.80)
-        full = F.size(acc["part"]) >= 256
-        part = F.when(full, F.array(v)).otherwise(F.concat(acc["part"], F.array(v)))
-        parts = F.when(full, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"])
-        return F.struct(v.alias("v"), part.alias("part"), parts.alias("parts"))
-
-    done = F.aggregate("xs", begin, on)
-    rows = rows.withColumn("done", done).withColumn("vs", F.concat(F.flatten("done.parts"), F.col("done.part")))
-    return rows.select(*keys, F.explode(F.arrays_zip("xs", "vs")).alias("z")).select(*keys, "z.xs.bucket", F.col("z.vs").alias("volatility"))
+    b = 0.055 * F.col("regime_vol") * F.col("regime_vol") + 0.025 * F.col("var")
+    squares = clamped_affine(bars.select(*keys, "bucket", "var", "regime_vol"), keys, 0.92, b, 0.15**2, 1.80**2, start * start, "_v", most=most)
+    return squares.select(*keys, "bucket", F.sqrt("_v").alias("volatility"))
 
 
-def stress(bars: DataFrame, keys: list[str], start: float = 0.1) -> DataFrame:
+def stress(bars: DataFrame, keys: list[str], start: float = 0.1, most: int | None = None) -> DataFrame:
     """Liquidity stress over bars (bucket, target): 0.82 of the last value and 0.18 of the target."""
-    return _folded(bars.select(*keys, "bucket", "target"), keys, stress_step, start, "stress")
+    out = clamped_affine(bars.select(*keys, "bucket", "target"), keys, 0.82, 0.18 * F.col("target"), 0.02, 1.0, start, "stress", most=most)
+    return out.select(*keys, "bucket", "stress")
 
 
 def standardised_move(log_return: Column, volatility: Column, years: float) -> Column:
@@ -144,20 +99,35 @@ def stress_target(spot: Column, futures: Column, shock: Column) -> Column:
     return clamp(0.10 + 0.16 * F.abs(spot) + 0.12 * F.abs(futures) + 0.10 * F.least(shock, F.lit(5.0)), 0.02, 1.0)
 
 
-def autocorrelation(series: DataFrame, keys: list[str], value: str, first: int = 8, last: int = 80) -> DataFrame:
-    """Autocorrelation of each lag from ``first`` to min(last, n / 3), by a join on the row number.
+def autocorrelation(series: DataFrame, keys: list[str], value: str, first: int = 8, last: int = 80, block: int = 1 << 16) -> DataFrame:
+    """Autocorrelation of each lag from ``first`` to min(last, n / 3), over the whole series' mean and variance.
 
-    Over the whole series' mean and variance. The join is bounded: each row meets ``last`` others at most.
+    Rows are numbered by key (see ``spans``) and dealt in blocks; a block also has the ``last`` rows that
+    follow it, and sums its products for every lag at once.
     """
-    every = Window.partitionBy(*keys)
-    rows = series.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(every.orderBy("bucket")))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(every)).withColumn("d", F.col(value) - F.avg(value).over(every))
-    total = rows.groupBy(*keys).agg(F.sum(F.col("d") * F.col("d")).alias("total"))
-    top = F.least(F.lit(last), F.floor(F.col("n") / 3)).cast("int")
-    ahead = rows.where(top >= first).select(*keys, "n", F.col("d").alias("d0"), "i", F.explode(F.sequence(F.lit(first), top)).alias("lag"))
-    ahead = ahead.select(*keys, "lag", "d0", (F.col("i") + F.col("lag")).alias("i"))
-    out = ahead.join(rows.select(*keys, "i", "d"), [*keys, "i"]).groupBy(*keys, "lag").agg(F.sum(F.col("d0") * F.col("d")).alias("s"))
-    return out.join(total, keys).select(*keys, "lag", F.try_divide("s", "total").alias("autocorrelation"))
+    rows = series.where(F.col(value).isNotNull()).select(*keys, "bucket", F.col(value).cast("double").alias("x"))
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
+    numbered = with_running(rows, keys, F.lit(1), "i", ("bucket",), "bucket").join(sums, keys)
+    numbered = numbered.select(*keys, (F.col("i") - 1).alias("i"), (F.col("x") - F.col("mean")).alias("d"), "n")
+    own = F.expr(f"i div {block}")
+    halo = F.when((own > 0) & (F.col("i") % block < last), F.array(own - 1, own)).otherwise(F.array(own))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def products(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        held = held.sort_by("i")
+        d, n = held.column("d").to_numpy(), held.column("n")[0].as_py()
+        size = min(block, n - held.column("i")[0].as_py())  # rows of the block itself
+        lags = np.arange(first, last + 1)
+        s = [float((d[: max(0, min(size, len(d) - k))] * d[k : k + size]).sum()) for k in lags.tolist()]
+        columns = [pa.array([k.as_py()] * (len(lags) + 1), k.type) for k in key[:-1]]
+        own_sum = float((d[:size] * d[:size]).sum())
+        return pa.table([*columns, pa.array([0, *lags.tolist()], pa.int32()), pa.array([own_sum, *s]), pa.array([n] * (len(lags) + 1), pa.int64())], names=[*keys, "lag", "s", "n"])
+
+    blocks = numbered.withColumn("block", F.explode(halo)).groupBy(*keys, "block").applyInArrow(products, f"{kinds}, lag int, s double, n long")
+    out = blocks.groupBy(*keys, "lag").agg(F.sum("s").alias("s"), F.first("n").alias("n"))
+    total = out.where("lag = 0").select(*keys, F.col("s").alias("total"))
+    top = F.least(F.lit(last), F.floor(F.col("n") / 3))
+    return out.where((F.col("lag") > 0) & (F.col("lag") <= top)).join(total, keys).select(*keys, "lag", F.try_divide("s", "total").alias("autocorrelation"))
 
 
 def runs(rows: DataFrame, keys: list[str], label: str = "regime", es: str = "es", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
@@ -197,15 +167,19 @@ def liquidation_map(positions: DataFrame, now: int, horizon: str, step: float, b
 def severe_tail(rows: DataFrame, size: str, value: str, share: float = 0.05) -> DataFrame:
     """Mean ``value`` of the largest ``share`` of rows by ``size``, and of the rest.
 
-    The cut is an exact quantile of the sizes, found by counting distinct sizes, not by sorting rows in
-    one task; ties at the cut are settled by the share of them that the tail still takes.
+    The cut is an exact order statistic of the sizes (see ``quantiles``); ties at the cut are settled by
+    the share of them that the tail still takes.
     """
-    sizes = rows.groupBy(size).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s")).withColumn("n", F.col("n").cast("double"))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc(size)).rowsBetween(Window.unboundedPreceding, -1)
-    total = sizes.agg(F.sum("n").alias("all"))
-    ranked = sizes.crossJoin(F.broadcast(total)).withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0.0)))
-    want = F.col("all") - F.floor(F.col("all") * (1 - share))
-    part = clamp((want - F.col("before")) / F.col("n"), 0.0, 1.0)
-    ranked = ranked.withColumn("part", part)
-    mean = lambda w: F.try_divide(F.sum(F.col("s") * w), F.sum(F.col("n") * w))
-    return ranked.agg(mean(F.col("part")).alias("severe_mean"), mean(1 - F.col("part")).alias("normal_mean"), F.sum(F.col("n") * F.col("part")).cast("long").alias("severe_rows"))
+    known = rows.where(F.col(size).isNotNull()).select(F.col(size).cast("double").alias("z"), F.col(value).alias("x"))
+    first = lambda n: F.floor(n * (1 - share))
+    cut = order_statistic(known, [], "z", 1 - share, lambda n: F.least(first(n), n - 1)).select(F.col("at").alias("cut"))
+    side = F.when(F.col("z") > F.col("cut"), "above").when(F.col("z") == F.col("cut"), "tied").otherwise("below")
+    sums = known.join(F.broadcast(cut)).groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))  # one row
+    of = lambda s, c: F.coalesce(F.sum(F.when(F.col("side") == s, F.col(c))), F.lit(0)).cast("double").alias(f"{c}_{s}")
+    flat = sums.agg(*[of(s, c) for s in ("above", "tied", "below") for c in ("n", "s")]).withColumn("n", F.col("n_above") + F.col("n_tied") + F.col("n_below"))
+    flat = flat.withColumn("want", F.col("n") - first(F.col("n")))
+    part = F.coalesce(F.try_divide(F.col("want") - F.col("n_above"), F.col("n_tied")), F.lit(0.0))
+    flat = flat.withColumn("part", clamp(part, 0.0, 1.0))
+    mean = lambda at, w: F.try_divide(F.col(f"s_{at}") + F.col("s_tied") * w, F.col(f"n_{at}") + F.col("n_tied") * w)
+    severe = F.round(F.col("n_above") + F.col("n_tied") * F.col("part")).cast("long")
+    return flat.select(mean("above", F.col("part")).alias("severe_mean"), mean("below", 1 - F.col("part")).alias("normal_mean"), severe.alias("severe_rows"))

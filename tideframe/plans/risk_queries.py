@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideframe.operators import candles as C
 from tideframe.operators import funds as U
 from tideframe.operators import risk as R
+from tideframe.operators.quantiles import quantile
 from tideframe.operators.spans import with_previous
 from tideframe.plans.registry import query, r6
 from tideframe.sources import dims
@@ -93,7 +94,8 @@ def ewma_variance(state: DataFrame) -> DataFrame:
 
 @query("ewma_variance_blocks", "market_state", sql=_EWMA)
 def ewma_blocks(state: DataFrame) -> DataFrame:
-    return R.ewma_variance_blocks(daily_variance(state), ["symbol"]).select("symbol", "bucket", F.round("volatility", 9).alias("volatility"))
+    """The same with every key cut into spans of about four bars."""
+    return R.ewma_variance(daily_variance(state), ["symbol"], most=4).select("symbol", "bucket", F.round("volatility", 9).alias("volatility"))
 
 
 @query(
@@ -112,7 +114,7 @@ def stress(state: DataFrame) -> DataFrame:
     """Daily; the shock is the day's move in deviations of the volatility up to the day before."""
     days = daily_variance(state)
     before = F.lag("volatility", 1, 0.5).over(Window.partitionBy("symbol").orderBy("bucket"))
-    known = R.ewma_variance_blocks(days, ["symbol"]).select("symbol", "bucket", before.alias("known"))
+    known = R.ewma_variance(days, ["symbol"]).select("symbol", "bucket", before.alias("known"))
     last = U.metric(state, ["symbol"], F.struct("order_flow_imbalance", "futures_order_flow_imbalance"), 86400)
     joined = days.join(known, ["symbol", "bucket"]).join(last.select("symbol", "bucket", "value"), ["symbol", "bucket"])
     shock = R.standardised_move(F.coalesce("log_return", F.lit(0.0)), F.col("known"), 1 / 365)
@@ -136,15 +138,16 @@ def series_profile(ticks: DataFrame) -> DataFrame:
     x, span = F.col("log_return"), F.col("high") - F.col("low")
     wick = (span > 0) & (F.col("high") > F.greatest("open", "close")) & (F.col("low") < F.least("open", "close"))
     body = F.when(span > 0, F.abs(F.col("close") - F.col("open")) / span)
-    return r.groupBy("symbol").agg(
+    profile = r.groupBy("symbol").agg(
         F.round(F.stddev_pop(x), 9).alias("deviation"),
         F.round(F.corr(x, F.when(x.isNotNull(), F.col("volume"))), 9).alias("volume_correlation"),
         F.count(F.when(x == 0, 1)).alias("flat"),
         F.count(F.when(x > 0, 1)).alias("up"),
         F.count(F.when(x < 0, 1)).alias("down"),
         F.count(F.when(wick, 1)).alias("wick_bars"),
-        F.round(F.percentile(body, F.lit(0.5)), 9).alias("median_body"),
     )
+    median = quantile(r, ["symbol"], body, 0.5, "median_body")
+    return profile.join(median, "symbol", "left").withColumn("median_body", F.round("median_body", 9))
 
 
 @query(
