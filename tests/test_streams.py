@@ -10,7 +10,8 @@ from tideframe.operators import candles as C
 from tideframe.operators.quality import quality_report
 from tideframe.plans import registry
 from tideframe.sources.adapters import table
-from tideframe.streaming import live
+from tideframe.streaming import live, stateful
+from tideframe.streaming.sink import MergeTable
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,7 +46,7 @@ def test_closed_buckets_never_change(spark, parts):
 
 
 def test_running_total_over_batches(spark, parts):
-    got = {r["symbol"]: r["cvd"] for r in live.run_upserted(live.live_cvd(stream(spark, parts), ["symbol"]), "t", ["symbol"]).collect()}
+    got = {r["symbol"]: r["cvd"] for r in live.run_upserted(stateful.live_cvd(stream(spark, parts), ["symbol"]), "t", ["symbol"]).collect()}
     signed = F.sum(F.when(F.col("side") == "BUY", F.col("size")).when(F.col("side") == "SELL", -F.col("size")).otherwise(0))
     want = {r["symbol"]: float(r["n"]) for r in table(spark, SF, "ticks").groupBy("symbol").agg(signed.alias("n")).collect()}
     assert got == want
@@ -69,7 +70,7 @@ def test_metric_candles_over_batches(spark, parts):
 
 def test_quality_over_batches(spark, parts):
     """Counters over four batches are those over one, and the batch report's."""
-    make = lambda s: live.run_upserted(live.live_quality(s, ["symbol", "exchange"], 3600, 3600, horizon=31 * 86400), "t", ["symbol", "exchange"])
+    make = lambda s: live.run_upserted(stateful.live_quality(s, ["symbol", "exchange"], 3600, 3600, horizon=31 * 86400), "t", ["symbol", "exchange"])
     got = {(r["symbol"], r["exchange"]): r for r in make(stream(spark, parts)).collect()}
     ticks = table(spark, SF, "ticks").withColumn("received", F.col("seq"))
     for r in quality_report(ticks, ["symbol", "exchange"], 3600, 1707000000, 600000).collect():
@@ -85,26 +86,29 @@ def test_late_rows_are_counted(spark, tmp_path):
         values = [(s, datetime.datetime.fromtimestamp(base + t, datetime.UTC).replace(tzinfo=None), 0, "click", 1.0, '{"k": 1}') for s, t in rows]
         spark.createDataFrame(values, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{i}")
     keys = ["symbol", "exchange"]
-    r = live.run_upserted(live.live_quality(live.tick_stream(spark, f"{tmp_path}/*", files_per_trigger=1), keys, 3600, 3600), "t", keys).first()
+    r = live.run_upserted(stateful.live_quality(live.tick_stream(spark, f"{tmp_path}/*", files_per_trigger=1), keys, 3600, 3600), "t", keys).first()
     assert (r["rows"], r["duplicates"], r["dropped"]) == (6, 1, 1) and r["out_of_order"] >= 2
 
 
 def test_orders_go_when_unseen(spark, parts):
     ids = stream(spark, parts).withColumn("order_id", F.col("seq") % 7)
-    sets = {r["order_id"]: r for r in live.run_upserted(live.live_orders(ids, ["order_id"], "0 seconds", 40 * 86400), "t", ["order_id"]).collect()}
+    sets = {r["order_id"]: r for r in live.run_upserted(stateful.live_orders(ids, ["order_id"], "0 seconds", 40 * 86400), "t", ["order_id"]).collect()}
     want = table(spark, SF, "ticks").withColumn("order_id", F.col("seq") % 7).groupBy("order_id").agg(F.min("es").alias("a"), F.max("es").alias("b"), F.count(F.lit(1)).alias("n"))
     for r in want.collect():
         g = sets[r["order_id"]]
         assert (g["first_es"], g["age"], g["seen"], g["gone"]) == (r["a"], r["b"] - r["a"], r["n"], False)
     old = stream(spark, parts).withColumn("order_id", F.when(F.col("seq") < 30, 1).otherwise(2))  # the first id ends early
-    rows = {r["order_id"]: r for r in live.run_upserted(live.live_orders(old, ["order_id"], "0 seconds", 3600), "t", ["order_id"]).collect()}
+    rows = {r["order_id"]: r for r in live.run_upserted(stateful.live_orders(old, ["order_id"], "0 seconds", 3600), "t", ["order_id"]).collect()}
     assert rows[1]["gone"] and not rows[2]["gone"]
 
 
 def test_risk_over_batches(spark, parts):
-    make = lambda s: live.run_upserted(live.live_risk(s, ["symbol"], 1 / 8766), "t", ["symbol"]).collect()
+    make = lambda s: live.run_upserted(stateful.live_risk(s, ["symbol"], 1 / 8766), "t", ["symbol"]).collect()
     four = sorted(make(stream(spark, parts, "market_state")))
-    assert four == sorted(make(live.tick_stream(spark, parts, "market_state")))
+    one = sorted(make(live.tick_stream(spark, parts, "market_state")))
+    assert [r["symbol"] for r in four] == [r["symbol"] for r in one]
+    for a, b in zip(four, one, strict=True):
+        assert (a["volatility"], a["stress"], a["last_es"]) == pytest.approx((b["volatility"], b["stress"], b["last_es"]), rel=1e-12)
     state = table(spark, SF, "market_state").orderBy("ts", "seq").toPandas()
     for r in four:  # the batch steps over the same rows
         mine = state[state["symbol"] == r["symbol"]]
@@ -125,10 +129,69 @@ def test_deduplicated(spark, parts):
     assert got.count() == table(spark, SF, "ticks").count()
 
 
-def test_upsert_is_idempotent_and_retains(spark, tmp_path):
-    write = live.upsert(f"file://{tmp_path}/t", ["symbol", "bucket"], keep_last=2)
+def test_cvd_candles_leave_the_stream_once(spark, parts):
+    got = live.run_appended(stateful.closed_cvd_candles(stream(spark, parts), ["symbol"], "1 hour", "1 hour", F.col("size")), "t").collect()
+    want = {(r["symbol"], r["bucket"]): (r["buy"], r["sell"], r["open"], r["close"]) for r in registry.QUERIES["stream_cvd_candles"](spark, SF).collect()}
+    assert len({(r["symbol"], r["bucket"]) for r in got}) == len(got) > 100
+    for r in got:
+        assert (r["buy"], r["sell"], r["open"], r["close"]) == want[r["symbol"], r["bucket"]]
+
+
+def test_quality_forgets_what_the_horizon_has_passed(spark, tmp_path):
+    """An id that comes again within the horizon is a duplicate; its block's state is gone after it."""
+    base = 1_700_006_400
+    make = lambda i, rows: spark.createDataFrame(
+        [(s, datetime.datetime.fromtimestamp(base + t, datetime.UTC).replace(tzinfo=None), 0, "click", 1.0, '{"k": 1}') for s, t in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{i}")
+    for i, rows in enumerate(([(1, 0), (2, 10)], [(1, 20)], [(3000, 90_000)], [(5000, 90_010)], [(1, 90_020)])):
+        make(i, rows)
+    keys = ["symbol", "exchange"]
+    r = live.run_upserted(stateful.live_quality(live.tick_stream(spark, f"{tmp_path}/*", files_per_trigger=1), keys, 3600, 3600, horizon=7200), "t", keys).first()
+    assert (r["rows"], r["duplicates"], r["observed"], r["gaps"]) == (6, 1, 2, 24)
+
+
+def _rows(table):
+    return sorted(tuple(r) for r in table.collect())
+
+
+def test_merge_rewrites_touched_parts_only(spark, tmp_path):
+    table = MergeTable(spark, f"file://{tmp_path}/t", ["symbol", "bucket"], groups=4)
     make = lambda rows: spark.createDataFrame(rows, "symbol string, bucket long, close double")
-    write(make([("a", 0, 1.0), ("a", 60, 2.0)]), 0)
+    table.merge(make([(s, d * 86_400 + h, 1.0) for s in "abcdefgh" for d in range(5) for h in (0, 3600)]), 0)
+    before = table.manifest(0)["parts"]
+    written = table.merge(make([("a", 4 * 86_400, 2.0), ("a", 5 * 86_400, 3.0)]), 1)
+    after = table.manifest(1)["parts"]
+    assert len(written) == 2 and len(before) > 10 and {p for p in before if after[p] != before[p]} == set(written) & set(before)
+    rows = {r[:2]: r[2] for r in _rows(table.read())}
+    assert len(rows) == 81 and rows["a", 4 * 86_400] == 2.0 and rows["b", 4 * 86_400] == 1.0
+
+
+def test_merge_survives_reruns_lost_batches_and_readers(spark, tmp_path):
+    table = MergeTable(spark, f"file://{tmp_path}/t", ["symbol", "bucket"])
+    make = lambda rows: spark.createDataFrame(rows, "symbol string, bucket long, close double")
+    table.merge(make([("a", 0, 1.0), ("b", 0, 1.0)]), 0)
+    reader = table.read()  # planned before the batches that follow
+    commit, table._commit = table._commit, lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        table.merge(make([("a", 0, 9.0)]), 1)  # its files are there, its manifest is not
+    assert _rows(table.read()) == [("a", 0, 1.0), ("b", 0, 1.0)]
+    table._commit = commit
     for _ in range(2):
-        write(make([("a", 60, 3.0), ("a", 120, 4.0)]), 1)
-    assert sorted(tuple(r) for r in live.latest_version(spark, f"file://{tmp_path}/t").collect()) == [("a", 60, 3.0), ("a", 120, 4.0)]
+        table.merge(make([("a", 0, 2.0)]), 1)
+    assert _rows(table.read()) == [("a", 0, 2.0), ("b", 0, 1.0)]
+    table.merge(make([("c", 0, 3.0)]), 2)
+    assert _rows(reader) == [("a", 0, 1.0), ("b", 0, 1.0)] and len(table.read().collect()) == 3
+    for v in range(3, 9):
+        table.merge(make([("a", 0, float(v))]), v)
+    assert len(table.versions()) == 3 and len(table._names("data")) <= 5  # old files are gone
+    assert _rows(table.read()) == [("a", 0, 8.0), ("b", 0, 1.0), ("c", 0, 3.0)]
+
+
+def test_merge_retains_the_newest_buckets(spark, tmp_path):
+    table = MergeTable(spark, f"file://{tmp_path}/t", ["symbol", "bucket"], keep_last=2)
+    make = lambda rows: spark.createDataFrame(rows, "symbol string, bucket long, close double")
+    table.merge(make([("a", 0, 1.0), ("a", 60, 2.0), ("b", 0, 5.0)]), 0)
+    table.merge(make([("a", 60, 3.0), ("a", 200_000, 4.0)]), 1)
+    assert _rows(table.read()) == [("a", 60, 3.0), ("a", 200_000, 4.0), ("b", 0, 5.0)]
+    table.merge(make([("a", 300_000, 6.0), ("a", 400_000, 7.0)]), 2)
+    assert _rows(table.read()) == [("a", 300_000, 6.0), ("a", 400_000, 7.0), ("b", 0, 5.0)]

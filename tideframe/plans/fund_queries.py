@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideframe.operators import candles as C
 from tideframe.operators import funds as U
 from tideframe.operators import risk as R
+from tideframe.operators.flow import signed
 from tideframe.plans.registry import query, r6
 
 _D = "DECIMAL(18,2)"
@@ -136,6 +137,23 @@ def stock_flow(transfers: DataFrame) -> DataFrame:
     return out.select("bucket", F.col("stock").cast("double").alias("stock"), *r6("residual"))
 
 
+@query(
+    "reserve_flow_residual",
+    "market_state",
+    "trades",
+    sql="""WITH s AS (SELECT symbol, es // 86400 * 86400 AS bucket, arg_max(exchange_reserve, (ts, seq)) AS stock FROM {market_state} GROUP BY ALL),
+    f AS (SELECT symbol, es // 86400 * 86400 AS bucket, sum(CASE side WHEN 'BUY' THEN size ELSE -size END)::DOUBLE AS net FROM {trades} GROUP BY ALL),
+    b AS (SELECT s.symbol, s.bucket, stock, coalesce(net, 0) AS net, stock - lag(stock) OVER (PARTITION BY s.symbol ORDER BY s.bucket) AS moved FROM s LEFT JOIN f ON f.symbol = s.symbol AND f.bucket = s.bucket)
+    SELECT symbol, bucket, stock, net, round(moved - net, 6) AS residual, abs(moved - net) <= 1e-6 AS matches FROM b""",
+)
+def reserve_flow(state: DataFrame, trades: DataFrame) -> DataFrame:
+    """An observed reserve against the flows of the tape: what the day's flow leaves unexplained of its change."""
+    stock = U.metric(state, ["symbol"], "exchange_reserve", 86400).select("symbol", "bucket", F.col("value").alias("stock"))
+    flows = C.bucketed(trades, 86400).groupBy("symbol", "bucket").agg(F.sum(signed()).cast("double").alias("net"))
+    both = stock.join(flows, ["symbol", "bucket"], "left").withColumn("net", F.coalesce("net", F.lit(0.0)))
+    return U.reconciled(both, ["symbol"], F.col("net")).select("symbol", "bucket", "stock", "net", *r6("residual"), "matches")
+
+
 for _mode, _sql in (
     ("geometric", "c * exp(ln(150.0 / greatest(z, 1e-9)) * k / n)"),
     ("additive_progressive", "c + (150.0 - z) * k / n"),
@@ -199,6 +217,23 @@ def supply_reconciliation(supply: DataFrame) -> DataFrame:
     return out.select("bucket", *[F.col(a).cast("double").alias(b) for a, b in (("mint", "mint"), ("burn", "burn"), ("stock", "supply"))], F.coalesce("matches", F.lit(True)).alias("matches"))
 
 
+@query(
+    "supply_misreports",
+    "supply",
+    sql=f"""WITH n AS (SELECT es // 86400 * 86400 AS bucket, sum(mint::{_D}) AS m, sum(burn::{_D}) AS b, arg_max(id, (es, id)) AS report FROM {{supply}} GROUP BY 1),
+    s AS (SELECT *, sum(m - b) OVER (ORDER BY bucket) + CASE WHEN report % 7 = 0 THEN 1 ELSE 0 END AS stock FROM n)
+    SELECT bucket, stock::DOUBLE AS supply, round((stock - lag(stock) OVER (ORDER BY bucket) - (m - b))::DOUBLE, 6) AS residual FROM s QUALIFY abs(residual) > 1e-6""",
+)
+def supply_misreports(supply: DataFrame) -> DataFrame:
+    """Days on which reported supply and the day's mint and burn disagree; reports of ids divisible by 7 are off by one."""
+    days = C.bucketed(supply, 86400).groupBy("bucket").agg(U.cents("mint").alias("mint"), U.cents("burn").alias("burn"), F.max_by("id", F.struct("es", "id")).alias("report"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # days, not rows
+    true = F.sum(F.col("mint") - F.col("burn")).over(upto)
+    reported = days.withColumn("stock", true + F.when(F.col("report") % 7 == 0, 1).otherwise(0)).withColumn("one", F.lit(0))
+    out = U.reconciled(reported, ["one"], F.col("mint") - F.col("burn")).where("NOT matches")
+    return out.select("bucket", F.col("stock").cast("double").alias("supply"), *r6("residual"))
+
+
 @query(
     "liquidation_ratio",
     "market_state",

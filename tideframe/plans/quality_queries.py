@@ -12,6 +12,7 @@ from tideframe.operators import candles as C
 from tideframe.operators import quality as Q
 from tideframe.plans.registry import query, r6
 from tideframe.sources import dims, payload
+from tideframe.sources.storage import shared_folder
 
 _CELL = "es // 3600 * 3600"
 
@@ -204,14 +205,49 @@ for _envelope in ("windowed", "points"):
         return rows.select("name", "es", *r6("value"))
 
 
+@query(
+    "payload_pages",
+    "ticks",
+    sql="""WITH b AS (SELECT symbol, es // 3600 * 3600 AS es, arg_max(price, (ts, seq)) AS c FROM {ticks} GROUP BY symbol, es // 3600)
+    SELECT symbol AS name, ((row_number() OVER (PARTITION BY symbol ORDER BY es) - 1) // 100)::INTEGER AS page, es, round(c, 6) AS value FROM b""",
+)
+def payload_pages(ticks: DataFrame) -> DataFrame:
+    """All hourly closes in pages of 100 records, written as files under the commit protocol and read back."""
+    series = C.candles(ticks, ["symbol"], "price", 3600).select("symbol", F.col("bucket").alias("es"), F.col("close").alias("value"))
+    path = shared_folder(ticks.sparkSession, "payload-pages")
+    payload.write_payload_files(payload.export(series, "symbol", "points", page_rows=100), path)
+    files = payload.read_payload_files(ticks.sparkSession, path)
+    rows, _ = payload.ingest(files.select(F.concat_ws("/", "name", "page").alias("name"), "body"), "points")
+    parts = F.split("name", "/")
+    return rows.select(parts[0].alias("name"), parts[1].cast("int").alias("page"), "es", *r6("value"))
+
+
+_PAYLOADS = """SELECT CASE WHEN seq % 3 = 0 THEN 'no_records' WHEN seq % 3 = 1 THEN 'unreadable_time' ELSE 'read' END AS outcome, count(*) AS n FROM {ticks} GROUP BY 1"""
+
+
+@query("payload_quarantine", "ticks", sql=_PAYLOADS)
+def payload_quarantine(ticks: DataFrame) -> DataFrame:
+    """The payloads of ``payload_rejects`` as a stream: records go to one folder, rejects to another."""
+    spark, path = ticks.sparkSession, shared_folder(ticks.sparkSession, "payload-quarantine")
+    _bodies(ticks).write.parquet(f"{path}/in")
+    arrived = spark.readStream.schema("name string, body string").option("maxFilesPerTrigger", 1 << 10).parquet(f"{path}/in")
+    writer = payload.ingest_stream(arrived, "windowed", f"{path}/records", f"{path}/rejects", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    records = spark.read.parquet(f"{path}/records").select(F.lit("read").alias("outcome"))
+    return records.unionByName(spark.read.parquet(f"{path}/rejects").select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("payload_rejects", "ticks", sql="SELECT CASE WHEN seq % 3 = 0 THEN 'no_records' ELSE 'unreadable_time' END AS reason, count(*) AS n FROM {ticks} WHERE seq % 3 <> 2 GROUP BY 1")
 def payload_rejects(ticks: DataFrame) -> DataFrame:
     """Of a payload for each tick a third is an error and a third has no readable date."""
+    _, rejects = payload.ingest(_bodies(ticks), "windowed")
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bodies(ticks: DataFrame) -> DataFrame:
     error = F.lit('{"status": {"code": 400, "message": "bad"}, "result": null}')
     record = F.concat(F.lit('{"status": {"code": 200, "message": "ok"}, "result": {"window": "day", "data": [{"date": "'), F.when(F.col("seq") % 3 == 2, S.iso(F.col("es"))).otherwise("soon"), F.lit('", "value": 1.5}]}}'))
-    bodies = ticks.select(F.col("seq").cast("string").alias("name"), F.when(F.col("seq") % 3 == 0, error).otherwise(record).alias("body"))
-    _, rejects = payload.ingest(bodies, "windowed")
-    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return ticks.select(F.col("seq").cast("string").alias("name"), F.when(F.col("seq") % 3 == 0, error).otherwise(record).alias("body"))
 
 
 @query(

@@ -38,6 +38,14 @@ def parity_audit(chain: DataFrame) -> DataFrame:
     return priced.agg(F.count(F.lit(1)).alias("options"), (F.max(F.abs(R.parity_residual(priced))) < 1e-6).alias("within"))
 
 
+@query("parity_residual", "option_chain", sql=_GREEKS[: _GREEKS.rindex("SELECT id")] + "SELECT count(*) AS options, round(max(abs((spot * n1 - present * n2) - (present * (1 - n2) - spot * (1 - n1)) - (spot - present))), 6) AS largest, round(sum(spot * n1 - present * n2 - (present * (1 - n2) - spot * (1 - n1))), 3) AS spread FROM p")
+def parity_residual(chain: DataFrame) -> DataFrame:
+    """The largest departure from put-call parity, and the summed difference of calls and puts, which SQL's own prices must meet."""
+    priced = R.option_greeks(chain)
+    spread = F.sum(F.col("call_price") - F.col("put_price"))
+    return priced.agg(F.count(F.lit(1)).alias("options"), F.round(F.max(F.abs(R.parity_residual(priced))), 6).alias("largest"), F.round(spread, 3).alias("spread"))
+
+
 @query("atm_strike", "market_state", sql="SELECT seq, greatest(1000.0, round_even(btc_price * 100 / 1000.0, 0) * 1000.0) AS strike FROM {market_state}")
 def atm_strike(state: DataFrame) -> DataFrame:
     return state.select("seq", R.atm_strike(F.col("btc_price") * 100).alias("strike"))

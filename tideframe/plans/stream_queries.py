@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.plans.registry import query, r6
-from tideframe.streaming import live
+from tideframe.sources.storage import shared_folder
+from tideframe.streaming import live, metrics, stateful
+from tideframe.streaming.replay import TickReplay
 
 _HOUR = """SELECT symbol, es // 3600 * 3600 AS bucket, round(arg_min(price, (es, seq)), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low,
     round(arg_max(price, (es, seq)), 6) AS close, round(sum(price * size), 6) AS volume FROM {ticks} GROUP BY ALL"""
@@ -50,7 +52,7 @@ def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_cvd", sql="SELECT symbol, sum(CASE side WHEN 'BUY' THEN size WHEN 'SELL' THEN -size ELSE 0 END)::DOUBLE AS cvd, max(es) AS last_es FROM {ticks} GROUP BY 1")
 def cvd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.run_upserted(live.live_cvd(_ticks(spark, sf_dir), ["symbol"]), "live-cvd", ["symbol"])
+    return live.run_upserted(stateful.live_cvd(_ticks(spark, sf_dir), ["symbol"]), "live-cvd", ["symbol"])
 
 
 @query(
@@ -65,6 +67,17 @@ def cvd_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.anchored_cvd(live.run_upserted(flow, "live-flow", ["symbol", "bucket"]), ["symbol"])
 
 
+@query(
+    "stream_cvd_closed",
+    sql="""WITH f AS (SELECT symbol, es // 3600 * 3600 AS bucket, sum(CASE side WHEN 'BUY' THEN size ELSE 0 END)::DOUBLE AS buy, sum(CASE side WHEN 'SELL' THEN size ELSE 0 END)::DOUBLE AS sell FROM {ticks} GROUP BY ALL),
+    c AS (SELECT *, sum(buy - sell) OVER (PARTITION BY symbol ORDER BY bucket) AS close FROM f)
+    SELECT symbol, bucket, buy, sell, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY bucket), 0)::DOUBLE AS open, close FROM c WHERE bucket + 3600 <= (SELECT max(es) - 600 FROM {ticks})""",
+)
+def cvd_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed hours only, each once; the running delta is kept by the stream itself."""
+    return live.run_appended(stateful.closed_cvd_candles(_ticks(spark, sf_dir), ["symbol"], "1 hour", "10 minutes", F.col("size")), "cvd-closed")
+
+
 for _name, _value, _places in (("stream_oi_candles", "open_interest", 4), ("stream_funding_candles", "funding_rate", 12)):
 
     @query(
@@ -88,18 +101,18 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the ticks with repeats and late receipts; ids are remembered for all of the table's 31 days."""
     ticks = _ticks(spark, sf_dir).withColumn("received", F.expr("CASE WHEN seq % 31 = 0 THEN seq + 40 ELSE seq END"))
     again = ticks.select("*", F.explode(F.when(F.col("seq") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
-    out = live.live_quality(again, ["symbol", "exchange"], 3600, 3600, "received", horizon=31 * 86400)
+    out = stateful.live_quality(again, ["symbol", "exchange"], 3600, 3600, "received", horizon=31 * 86400)
     return live.run_upserted(out, "live-quality", ["symbol", "exchange"])
 
 
 @query(
     "stream_order_lifetimes",
-    sql="""SELECT seq % 97 AS order_id, min(es) AS first_es, max(es) AS last_es, max(es) - min(es) AS age, count(*) AS seen, max(es) + 3600 < (SELECT max(es) - 600 FROM {ticks}) AS gone FROM {ticks} GROUP BY 1""",
+    sql="""SELECT seq // 7 AS order_id, min(es) AS first_es, max(es) AS last_es, max(es) - min(es) AS age, count(*) AS seen, max(es) + 3600 <= (SELECT max(es) - 600 FROM {ticks}) AS gone FROM {ticks} GROUP BY 1""",
 )
 def order_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids unseen for an hour are gone, and with them their state."""
-    ids = _ticks(spark, sf_dir).withColumn("order_id", F.col("seq") % 97)
-    return live.run_upserted(live.live_orders(ids, ["order_id"], "10 minutes", 3600), "live-orders", ["order_id"])
+    """An order is seen seven times in a row; unseen for an hour it is gone, and with it its state."""
+    ids = _ticks(spark, sf_dir).withColumn("order_id", F.expr("seq div 7"))
+    return live.run_upserted(stateful.live_orders(ids, ["order_id"], "10 minutes", 3600), "live-orders", ["order_id"])
 
 
 @query(
@@ -114,10 +127,36 @@ def order_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volatility and stress after all states, a state counting as an hour."""
-    out = live.run_upserted(live.live_risk(_ticks(spark, sf_dir, "market_state"), ["symbol"], 1 / 8766), "live-risk", ["symbol"])
+    out = live.run_upserted(stateful.live_risk(_ticks(spark, sf_dir, "market_state"), ["symbol"], 1 / 8766), "live-risk", ["symbol"])
     return out.select("symbol", *r6("volatility", "stress"), "last_es")
 
 
+@query(
+    "stream_dropped",
+    sql="""WITH w AS (SELECT max(es) - 864000 AS mark FROM {ticks} WHERE seq % 31 <> 0)
+    SELECT count(*) AS received, count(*) FILTER (seq % 31 = 0 AND es <= mark) AS dropped, count(*) FILTER (seq % 31 <> 0 OR es > mark) AS kept FROM {ticks}, w""",
+)
+def dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks that arrive after all others, with ten days' grace: what the engine counts as dropped by the
+    watermark, beside what the sink holds."""
+    path = shared_folder(spark, "late-ticks")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    arrivals = [lambda n=n, w=w: events.where(w).write.parquet(f"{path}/in/{n}") for n, w in (("first", "event_id % 31 <> 0"), ("late", "event_id % 31 = 0"))]
+    stream = metrics.observed(live.tick_stream(spark, f"{path}/in/*"))
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/in/none")
+    sink, counts = metrics.run_counted(live.deduplicated(stream, "10 days").select("seq"), "late-ticks-sink", arrivals)
+    return sink.agg(F.lit(counts["received"]).cast("long").alias("received"), F.lit(counts["dropped"]).cast("long").alias("dropped"), F.count(F.lit(1)).alias("kept"))
+
+
+@query("stream_replayed", sql=_HOUR)
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live candles over the replay source, five days of ticks at a time."""
+    spark.dataSource.register(TickReplay)
+    rows = spark.readStream.format("tick_replay").option("path", f"{sf_dir}/events.parquet").option("step", 5 * 86_400).option("progress", shared_folder(spark, "replay")).load()
+    bars = live.live_candles(live.market_view(rows, "ticks"), ["symbol"], "price", "1 hour", "10 minutes", F.col("price") * F.col("size"))
+    return live.run_drained(bars, "replayed", ["symbol", "bucket"]).select("symbol", "bucket", *r6(*_OHLC))
+
+
 @query("stream_deduplicated", sql="SELECT seq, symbol, round(price, 6) AS price FROM {ticks}")
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tick is sent twice; each comes out once."""

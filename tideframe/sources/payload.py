@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.functions.scalars import iso, number_text, parse_time, seconds_from_any
+from tideframe.operators.spans import with_running
+from tideframe.sources.payload_files import PayloadFiles
 
 #: The declared records of each envelope.
 RECORDS = {
@@ -54,11 +56,17 @@ def read_files(spark, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("body"))
 
 
-def export(rows: DataFrame, key: str, envelope: str, window: str = "day") -> DataFrame:
-    """One payload (name, body) for each ``key``, its records in time order.
+def pages(rows: DataFrame, key: str, page_rows: int, order: tuple[str, ...] = ("es",)) -> DataFrame:
+    """Adds ``page``, from 0: which ``page_rows`` rows of its series, in time order, a row belongs to."""
+    numbered = with_running(rows, [key], F.lit(1), "_i", order, "es")
+    return numbered.withColumn("page", F.expr(f"cast((_i - 1) div {page_rows} as int)")).drop("_i")
 
-    ``rows``: es and open, high, low, close (coded) or value. A payload is one record list in memory:
-    the key must name a bounded series, such as the last 500 buckets.
+
+def export(rows: DataFrame, key: str, envelope: str, window: str = "day", page_rows: int = 500) -> DataFrame:
+    """Payloads (name, page, body) of each ``key``: ``page_rows`` records at most, in time order.
+
+    ``rows``: es and open, high, low, close (coded) or value. A series of any length is as many payloads
+    as it has pages, so no list outgrows one.
     """
     if envelope == "coded":
         record = F.struct((F.col("es") * 1000).alias("time"), *[number_text(F.col(c)).alias(c) for c in ("open", "high", "low", "close")])
@@ -72,9 +80,39 @@ def export(rows: DataFrame, key: str, envelope: str, window: str = "day") -> Dat
         "windowed": F.struct(F.struct(F.lit(200).alias("code"), F.lit("success").alias("message")).alias("status"), F.struct(F.lit(window).alias("window"), data.alias("data")).alias("result")),
         "points": data,
     }[envelope]
-    return rows.groupBy(F.col(key).alias("name")).agg(F.to_json(shaped).alias("body"))
+    return pages(rows, key, page_rows).groupBy(F.col(key).alias("name"), "page").agg(F.to_json(shaped).alias("body"))
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:
     """One text file part for each task, a payload a line, in a folder by name."""
     payloads.select(F.col("body").alias("value"), "name").write.partitionBy("name").text(path)
+
+
+def write_payload_files(payloads: DataFrame, path: str) -> None:
+    """Each payload a file of its own below ``path``, all or none of them: see ``payload_files``."""
+    payloads.sparkSession.dataSource.register(PayloadFiles)
+    payloads.select("name", "page", "body").write.format("payload_files").mode("append").option("path", path).save()
+
+
+def read_payload_files(spark, path: str) -> DataFrame:
+    """name, page, body of what was committed below ``path``."""
+    spark.dataSource.register(PayloadFiles)
+    return spark.read.format("payload_files").option("path", path).load()
+
+
+def ingest_stream(payloads: DataFrame, envelope: str, records: str, rejects: str, checkpoint: str):
+    """A streaming query that reads payloads (name, body) as they arrive: records to one folder, rejects to another.
+
+    Each micro-batch owns a sub-folder named by its number and writes it whole, so a batch that runs
+    again replaces what it wrote. Start it with the trigger wanted: this returns the stream's writer.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for frame, folder in zip(ingest(batch, envelope), (records, rejects), strict=True):
+                frame.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -6,17 +6,12 @@ A stream has the columns of ``ticks`` (seq, ts, es, symbol, exchange, market, si
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideframe.sources import adapters
 from tideframe.sources.storage import shared_folder
+from tideframe.streaming.sink import MergeTable, upsert
 
 
 def tick_stream(spark: SparkSession, path: str, view: str = "ticks", files_per_trigger: int | None = None) -> DataFrame:
@@ -25,8 +20,12 @@ def tick_stream(spark: SparkSession, path: str, view: str = "ticks", files_per_t
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return market_view(reader.parquet(path), view)
+
+
+def market_view(rows: DataFrame, view: str) -> DataFrame:
+    """A market view of streamed event rows."""
     _, where, columns = adapters.VIEWS[view]
-    rows = reader.parquet(path)
     rows = rows.where(adapters._spark(where)) if where else rows
     rows = rows.selectExpr(*[f"{adapters._spark(e)} AS {c}" for c, e in columns.items()])
     return rows.withColumn("ts", F.timestamp_seconds("es"))
@@ -78,158 +77,6 @@ def concurrent(trades: DataFrame, books: DataFrame, delay: str, within: str) ->
     return t.join(b, near).select("seq", "snap", "symbol")
 
 
-def _stateful(stream: DataFrame, keys: list[str], columns: list[str], out: str, state: str, step: Callable, order: tuple[str, ...] = ("ts", "seq"), ended: Callable | None = None, ttl: int | None = None) -> DataFrame:
-    """``step(rows, state) -> (rows out, state)`` for the new rows of a key, in ``order``, batch by batch.
-
-    Only ``columns`` of the rows travel. With ``ttl`` (seconds; the stream must have a watermark on ts) a
-    key's state goes when the watermark has passed its last row by that much, and ``ended(state)`` gives
-    its last rows; ``last_es`` must then be among the columns that step puts out.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + out
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            found = ended(held.get)
-            held.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values(list(order), kind="stable")
-            found, after = step(rows, held.get if held.exists else None)
-            held.update(after)
-            if ttl is not None:
-                due = (int(found["last_es"].iloc[-1]) + ttl) * 1000
-                held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs() + 1))
-        for k, v in zip(keys, key, strict=True):
-            found[k] = v
-        yield found[names]
-
-    timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
-    rows = stream.select(*dict.fromkeys([*keys, *columns, *order, *(["ts"] if ttl is not None else [])]))
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, state, "update", timeout)
-
-
-def live_cvd(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The running total of BUY - SELL of each key, kept across micro-batches."""
-
-    def step(rows: pd.DataFrame, held: tuple | None):
-        total = (held[0] if held else 0.0) + float((rows["size"] * rows["side"].map({"BUY": 1, "SELL": -1}).fillna(0)).sum())
-        last = max(held[1] if held else -1, int(rows["es"].max()))
-        return pd.DataFrame({"cvd": [total], "last_es": [last]}), (total, last)
-
-    return _stateful(stream, keys, ["es", "side", "size"], "cvd double, last_es long", "total double, last_es long", step)
-
-
-def live_quality(stream: DataFrame, keys: list[str], cadence: int, delay: int, received: str = "seq", horizon: int = 86_400) -> DataFrame:
-    """Counters of each key, rows taken in the order of receipt: those of ``quality.quality_report``, live.
-
-    rows; duplicates (ids met before); out_of_order (earlier than the row before); dropped (earlier by more
-    than ``delay`` seconds than the newest row before, which a watermark of that delay drops); observed
-    cells of the grid, and gaps between the first and the last. State holds the ids and cells of the last
-    ``horizon`` seconds only; what is older than that counts as new.
-    """
-
-    def step(rows: pd.DataFrame, held: tuple | None):
-        n, twice, late, dropped, observed, first, newest, before, ids, seen_at, cells = held or (0, 0, 0, 0, 0, 1 << 62, -1, -1, [], [], [])
-        es = rows["es"].to_numpy(np.int64)
-        previous = np.append(before, es[:-1])
-        top = np.maximum.accumulate(np.append(newest, es))[:-1]
-        late += int((es < previous).sum())
-        dropped += int((es < top - delay).sum())
-        known = pd.Series(seen_at, index=ids, dtype="int64")
-        fresh = ~rows["seq"].duplicated() & ~rows["seq"].isin(known.index)
-        twice += int((~fresh).sum())
-        met = np.unique(es - es % cadence)
-        new = np.setdiff1d(met, np.array(cells, np.int64))
-        observed += len(new)
-        first, newest, n = min(first, int(met[0])), max(newest, int(es.max())), n + len(rows)
-        known = pd.concat([known, pd.Series(es[fresh.to_numpy()], index=rows["seq"][fresh], dtype="int64")])
-        known = known[known >= newest - horizon]
-        cells = [c for c in {*cells, *met.tolist()} if c >= newest - horizon]
-        gaps = (newest - newest % cadence - first) // cadence + 1 - observed
-        found = pd.DataFrame({"rows": [n], "duplicates": [twice], "out_of_order": [late], "dropped": [dropped], "observed": [observed], "gaps": [gaps], "last_es": [newest]})
-        return found, (n, twice, late, dropped, observed, first, newest, int(es[-1]), known.index.astype("int64").tolist(), known.tolist(), cells)
-
-    out = "rows long, duplicates long, out_of_order long, dropped long, observed long, gaps long, last_es long"
-    state = "n long, twice long, late long, dropped long, observed long, first long, newest long, before long, ids array<long>, seen_at array<long>, cells array<long>"
-    return _stateful(stream, keys, ["es"], out, state, step, (received, "seq"))
-
-
-def live_risk(stream: DataFrame, keys: list[str], years: float, start: float = 0.5, calm: float = 0.1, regime_vol: float = 0.6) -> DataFrame:
-    """The clamped variance and stress recursions over each key's states, in order, across micro-batches.
-
-    A state is a step of ``years``; its shock is the move in deviations of the volatility before it. As
-    ``risk.variance_step`` and ``risk.stress_step`` over the same rows.
-    """
-
-    def step(rows: pd.DataFrame, held: tuple | None):
-        v, s, last = held or (start, calm, math.nan)
-        for price, a, b in zip(rows["btc_price"], rows["order_flow_imbalance"], rows["futures_order_flow_imbalance"], strict=True):
-            r = 0.0 if math.isnan(last) else math.log(price / last)
-            shock = abs(r) / max(v * math.sqrt(years), 1e-8)
-            target = min(1.0, max(0.02, 0.10 + 0.16 * abs(a) + 0.12 * abs(b) + 0.10 * min(shock, 5.0)))
-            s = min(1.0, max(0.02, 0.82 * s + 0.18 * target))
-            v = min(1.80, max(0.15, math.sqrt(0.92 * v * v + 0.055 * regime_vol**2 + 0.025 * min(3.24, r * r / years))))
-            last = price
-        return pd.DataFrame({"volatility": [v], "stress": [s], "last_es": [int(rows["es"].max())]}), (v, s, last)
-
-    columns = ["es", "btc_price", "order_flow_imbalance", "futures_order_flow_imbalance"]
-    return _stateful(stream, keys, columns, "volatility double, stress double, last_es long", "v double, s double, last double", step)
-
-
-def live_orders(stream: DataFrame, keys: list[str], delay: str, ttl: int) -> DataFrame:
-    """How long an order id has rested: first seen, age, times seen; gone, and its state with it, once the
-    watermark has passed its last row by ``ttl`` seconds. An id seen again after that begins anew."""
-
-    def row(held: tuple, gone: bool) -> pd.DataFrame:
-        first, last, seen = held
-        return pd.DataFrame({"first_es": [first], "last_es": [last], "age": [last - first], "seen": [seen], "gone": [gone]})
-
-    def step(rows: pd.DataFrame, held: tuple | None):
-        first = min(held[0] if held else 1 << 62, int(rows["es"].min()))
-        last = max(held[1] if held else -1, int(rows["es"].max()))
-        after = (first, last, (held[2] if held else 0) + len(rows))
-        return row(after, False), after
-
-    out = "first_es long, last_es long, age long, seen long, gone boolean"
-    return _stateful(stream.withWatermark("ts", delay), keys, ["es"], out, "a long, b long, n long", step, ended=lambda held: row(held, True), ttl=ttl)
-
-
-def upsert(path: str, keys: list[str], order: str | None = None, keep_last: int | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: new rows replace those of their keys; idempotent when a batch runs again.
-
-    The table is versioned by batch: a batch reads the version before it and writes its own, so a batch
-    that is lost half-way leaves the version before; older ones go. ``keep_last`` keeps the newest buckets of each key.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        names = range(batch_id - 1, -1, -1)
-        old = next((f"{path}/v{i}" for i in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{i}/_SUCCESS"))), None)
-        batch = out = batch.persist()
-        if old is not None:
-            out = spark.read.schema(batch.schema).parquet(old).join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
-        if keep_last:
-            place = [k for k in keys if k != "bucket"]
-            rank = F.dense_rank().over(Window.partitionBy(*place).orderBy(F.desc("bucket")))
-            out = out.withColumn("_k", rank).where(F.col("_k") <= keep_last).drop("_k")
-        out.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        batch.unpersist()
-        for i in range(batch_id - 2, -1, -1):  # the version before stays, for a batch that is run again
-            if not fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{i}"), True):
-                break
-
-    return write
-
-
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    versions = [s.getPath().getName() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
-    newest = max(int(v[1:]) for v in versions if v[1:].isdigit())
-    return spark.read.parquet(f"{path}/v{newest}")
-
-
 def run_appended(stream: DataFrame, name: str) -> DataFrame:
     """Everything that is there now, through an append-mode query into Parquet, read back."""
     spark = stream.sparkSession
@@ -245,4 +92,15 @@ def run_upserted(stream: DataFrame, name: str, keys: list[str], keep_last: int |
     path = shared_folder(spark, name)
     writer = stream.writeStream.foreachBatch(upsert(f"{path}/out", keys, keep_last=keep_last)).option("checkpointLocation", f"{path}/state").outputMode("update")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return latest_version(spark, f"{path}/out")
+    return MergeTable(spark, f"{path}/out", keys).read()
+
+
+def run_drained(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """As ``run_upserted``, batch after batch until the source has no more: for sources that pace their batches."""
+    spark = stream.sparkSession
+    path = shared_folder(spark, name)
+    writer = stream.writeStream.foreachBatch(upsert(f"{path}/out", keys)).option("checkpointLocation", f"{path}/state").outputMode("update")
+    query = writer.trigger(processingTime="0 seconds").start()
+    query.processAllAvailable()
+    query.stop()
+    return MergeTable(spark, f"{path}/out", keys).read()
