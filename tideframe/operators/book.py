@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.operators.candles import bucketed
-from tideframe.operators.spans import Ordered, with_previous, with_running
+from tideframe.operators.spans import Ordered, cuts_of, with_previous
 
 
 def quote_state(bid: str = "bid", ask: str = "ask") -> Column:
@@ -72,10 +72,12 @@ def persistence(depth: DataFrame, keys: list[str], least_size: float, place: lis
 
     Snapshots are numbered by key; a place's island breaks where its numbers skip one.
     """
+    cuts = cuts_of(depth, keys, "es")  # of all its rows: some more than snapshots need
     snaps = depth.select(*keys, "ts", "seq", "es").distinct()
-    snaps = with_running(snaps, keys, F.lit(1), "k").drop("ts", "es")
-    large = depth.where(F.col("size") >= least_size).join(snaps, [*keys, "seq"])
-    seen = Ordered(large, [*keys, *place]).previous(["k"]).islands(F.col("k") != F.col("prev_k") + 1, "island")
+    snaps = Ordered(snaps, keys, cuts=cuts).running(F.lit(1), "k").rows.drop("ts", "es")
+    large = depth.where(F.col("size") >= least_size)
+    cuts = cuts and cuts_of(large, [*keys, *place], "es")  # a place has no more rows than its key
+    seen = Ordered(large.join(snaps, [*keys, "seq"]), [*keys, *place], cuts=cuts).previous(["k"]).islands(F.col("k") != F.col("prev_k") + 1, "island")
     islands = seen.rows.groupBy(*keys, *place, "island")
     return islands.agg(F.min("es").alias("start_es"), F.max("es").alias("end_es"), F.count(F.lit(1)).alias("snapshots")).drop("island")
 

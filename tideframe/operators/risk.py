@@ -73,20 +73,20 @@ def gamma_pressure(futures_imbalance: Column, funding: Column, basis: Column, ga
     return clamp(lean * clamp(65.0 * gamma * spot, 0.0, 1.0), -1.0, 1.0)
 
 
-def ewma_variance(bars: DataFrame, keys: list[str], start: float = 0.5, most: int | None = None) -> DataFrame:
+def ewma_variance(bars: DataFrame, keys: list[str], start: float = 0.5, most: int | None = None, known: int | None = None) -> DataFrame:
     """Annual volatility by the clamped variance recursion over bars (bucket, var, regime_vol).
 
     ``var`` is the bar's annualised squared return, capped. The recursion is one of squares: 0.92 of the
     last, 0.055 of the regime's and 0.025 of the bar's, between 0.15 and 1.80 squared.
     """
     b = 0.055 * F.col("regime_vol") * F.col("regime_vol") + 0.025 * F.col("var")
-    squares = clamped_affine(bars.select(*keys, "bucket", "var", "regime_vol"), keys, 0.92, b, 0.15**2, 1.80**2, start * start, "_v", most=most)
+    squares = clamped_affine(bars.select(*keys, "bucket", "var", "regime_vol"), keys, 0.92, b, 0.15**2, 1.80**2, start * start, "_v", most=most, known=known)
     return squares.select(*keys, "bucket", F.sqrt("_v").alias("volatility"))
 
 
-def stress(bars: DataFrame, keys: list[str], start: float = 0.1, most: int | None = None) -> DataFrame:
+def stress(bars: DataFrame, keys: list[str], start: float = 0.1, most: int | None = None, known: int | None = None) -> DataFrame:
     """Liquidity stress over bars (bucket, target): 0.82 of the last value and 0.18 of the target."""
-    out = clamped_affine(bars.select(*keys, "bucket", "target"), keys, 0.82, 0.18 * F.col("target"), 0.02, 1.0, start, "stress", most=most)
+    out = clamped_affine(bars.select(*keys, "bucket", "target"), keys, 0.82, 0.18 * F.col("target"), 0.02, 1.0, start, "stress", most=most, known=known)
     return out.select(*keys, "bucket", "stress")
 
 
@@ -99,7 +99,7 @@ def stress_target(spot: Column, futures: Column, shock: Column) -> Column:
     return clamp(0.10 + 0.16 * F.abs(spot) + 0.12 * F.abs(futures) + 0.10 * F.least(shock, F.lit(5.0)), 0.02, 1.0)
 
 
-def autocorrelation(series: DataFrame, keys: list[str], value: str, first: int = 8, last: int = 80, block: int = 1 << 16) -> DataFrame:
+def autocorrelation(series: DataFrame, keys: list[str], value: str, first: int = 8, last: int = 80, block: int = 1 << 16, known: int | None = None) -> DataFrame:
     """Autocorrelation of each lag from ``first`` to min(last, n / 3), over the whole series' mean and variance.
 
     Rows are numbered by key (see ``spans``) and dealt in blocks; a block also has the ``last`` rows that
@@ -107,7 +107,7 @@ def autocorrelation(series: DataFrame, keys: list[str], value: str, first: int =
     """
     rows = series.where(F.col(value).isNotNull()).select(*keys, "bucket", F.col(value).cast("double").alias("x"))
     sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    numbered = with_running(rows, keys, F.lit(1), "i", ("bucket",), "bucket").join(sums, keys)
+    numbered = with_running(rows, keys, F.lit(1), "i", ("bucket",), "bucket", known).join(sums, keys)
     numbered = numbered.select(*keys, (F.col("i") - 1).alias("i"), (F.col("x") - F.col("mean")).alias("d"), "n")
     own = F.expr(f"i div {block}")
     halo = F.when((own > 0) & (F.col("i") % block < last), F.array(own - 1, own)).otherwise(F.array(own))

@@ -53,12 +53,12 @@ def composed(maps: Maps, place: np.ndarray) -> Maps:
     return maps
 
 
-def clamped_affine(rows: DataFrame, keys: list[str], a: float, b: Column, low: float, high: float, start: float, name: str, order: tuple[str, ...] = ("bucket",), at: str = "bucket", most: int | None = None) -> DataFrame:
+def clamped_affine(rows: DataFrame, keys: list[str], a: float, b: Column, low: float, high: float, start: float, name: str, order: tuple[str, ...] = ("bucket",), at: str = "bucket", most: int | None = None, known: int | None = None) -> DataFrame:
     """Adds ``name``: the recursion's value after each row of its key, by ``order``, from ``start`` on.
 
     Null ``b`` counts as 0. Columns of ``rows`` pass through Python, so select those that are wanted.
     """
-    ordered = Ordered(rows.withColumn("_b", F.coalesce(b.cast("double"), F.lit(0.0))), keys, order, at, most)
+    ordered = Ordered(rows.withColumn("_b", F.coalesce(b.cast("double"), F.lit(0.0))), keys, order, at, most, known=known)
     numbered = ordered.spanned.withColumn("_i", F.row_number().over(ordered.window()))
     names = ("_a", "_b", "_low", "_high")
 

@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DAY = 86_400
 MOST_ROWS = 1 << 21
 MOST_CUTS = 1 << 16
 #: Quantiles known of a heavy key: it is cut into so many spans at most.
@@ -72,11 +73,15 @@ class Ordered:
     """Rows of each key by ``order``; ``at``, a number or time, must not fall along it. Operations add columns.
 
     Several operations on one ``Ordered`` use the same spans, so that rows are sorted once for all of them.
+    Finding the cuts evaluates ``rows`` once more, for keys and times only. Where that is dear, give ``cuts``
+    found on a cheaper table with the same keys and times, or ``known``, a bound of the rows of a key (such
+    as the buckets of the years that a series can span): below ``most`` nothing is counted.
     """
 
-    def __init__(self, rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts", "seq"), at: str = "es", most: int | None = None):
+    def __init__(self, rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts", "seq"), at: str = "es", most: int | None = None, cuts: list[tuple] | None = None, known: int | None = None):
         self.keys, self.order = keys, order
-        cuts = cuts_of(rows, keys, at, most)
+        if cuts is None:
+            cuts = [] if known is not None and known <= (most or MOST_ROWS) else cuts_of(rows, keys, at, most)
         self.cut = bool(cuts)
         self.spanned = with_span(rows, keys, at, cuts) if cuts else rows
         self.inside = [*keys, "_span"] if cuts else keys
@@ -130,5 +135,10 @@ def with_previous(rows: DataFrame, keys: list[str], values: list[str], order: tu
     return Ordered(rows, keys, order, at).previous(values, prefix).rows
 
 
-def with_running(rows: DataFrame, keys: list[str], value: Column, name: str, order: tuple[str, ...] = ("ts", "seq"), at: str = "es") -> DataFrame:
-    return Ordered(rows, keys, order, at).running(value, name).rows
+def with_running(rows: DataFrame, keys: list[str], value: Column, name: str, order: tuple[str, ...] = ("ts", "seq"), at: str = "es", known: int | None = None) -> DataFrame:
+    return Ordered(rows, keys, order, at, known=known).running(value, name).rows
+
+
+def most_buckets(seconds: int, years: int = 200) -> int:
+    """How many buckets of a width a series of so many years has at most."""
+    return years * 366 * DAY // seconds

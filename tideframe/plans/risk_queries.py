@@ -9,7 +9,7 @@ from tideframe.operators import candles as C
 from tideframe.operators import funds as U
 from tideframe.operators import risk as R
 from tideframe.operators.quantiles import quantile
-from tideframe.operators.spans import with_previous
+from tideframe.operators.spans import most_buckets, with_previous
 from tideframe.plans.registry import query, r6
 from tideframe.sources import dims
 
@@ -97,7 +97,7 @@ _EWMA = _FOLD.replace("WITH r(", "WITH RECURSIVE r(") + """,
 
 @query("ewma_variance", "market_state", sql=_EWMA)
 def ewma_variance(state: DataFrame) -> DataFrame:
-    return R.ewma_variance(daily_variance(state), ["symbol"]).select("symbol", "bucket", F.round("volatility", 9).alias("volatility"))
+    return R.ewma_variance(daily_variance(state), ["symbol"], known=most_buckets(86400)).select("symbol", "bucket", F.round("volatility", 9).alias("volatility"))
 
 
 @query("ewma_variance_blocks", "market_state", sql=_EWMA)
@@ -122,12 +122,12 @@ def stress(state: DataFrame) -> DataFrame:
     """Daily; the shock is the day's move in deviations of the volatility up to the day before."""
     days = daily_variance(state)
     before = F.lag("volatility", 1, 0.5).over(Window.partitionBy("symbol").orderBy("bucket"))
-    known = R.ewma_variance(days, ["symbol"]).select("symbol", "bucket", before.alias("known"))
+    known = R.ewma_variance(days, ["symbol"], known=most_buckets(86400)).select("symbol", "bucket", before.alias("known"))
     last = U.metric(state, ["symbol"], F.struct("order_flow_imbalance", "futures_order_flow_imbalance"), 86400)
     joined = days.join(known, ["symbol", "bucket"]).join(last.select("symbol", "bucket", "value"), ["symbol", "bucket"])
     shock = R.standardised_move(F.coalesce("log_return", F.lit(0.0)), F.col("known"), 1 / 365)
     target = R.stress_target(F.col("value.order_flow_imbalance"), F.col("value.futures_order_flow_imbalance"), shock)
-    return R.stress(joined.select("symbol", "bucket", target.alias("target")), ["symbol"]).select("symbol", "bucket", F.round("stress", 9).alias("stress"))
+    return R.stress(joined.select("symbol", "bucket", target.alias("target")), ["symbol"], known=most_buckets(86400)).select("symbol", "bucket", F.round("stress", 9).alias("stress"))
 
 
 _BAR = "b AS (SELECT symbol, es // 3600 * 3600 AS bucket, arg_min(price, (ts, seq)) AS o, max(price) AS h, min(price) AS l, arg_max(price, (ts, seq)) AS c, sum(size) AS v FROM {ticks} GROUP BY ALL)"
@@ -168,7 +168,7 @@ def series_profile(ticks: DataFrame) -> DataFrame:
 )
 def autocorrelation(ticks: DataFrame) -> DataFrame:
     r = U.log_returns(C.candles(ticks, ["symbol"], "price", 3600), ["symbol"])
-    return R.autocorrelation(r, ["symbol"], "log_return").select("symbol", "lag", *r6("autocorrelation"))
+    return R.autocorrelation(r, ["symbol"], "log_return", known=most_buckets(3600)).select("symbol", "lag", *r6("autocorrelation"))
 
 
 _RUNS = """n AS (SELECT *, CASE WHEN lag(regime) OVER w = regime THEN 0 ELSE 1 END AS new FROM {market_state} WINDOW w AS (PARTITION BY symbol, exchange ORDER BY ts, seq)),
