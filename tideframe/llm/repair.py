@@ -4,7 +4,7 @@ Texts are encoded and cut into shards in ascending id order. In each shard, roun
 pairs of adjacent symbols by new nonterminals, until no pair is frequent; no pair spans two documents.
 A shard stores
 its rules, the expansion length of each rule, where each document's symbols begin, and the symbols,
-so one document, or a range of its ids, is decoded without the rest of the shard.
+so one document, or a range of its ids, is decoded by the rules below its symbols alone.
 
 Shards are rows of a Parquet table (binary payloads), so Spark's commit protocol covers them: a task
 that is lost and run again leaves no half-written file.
@@ -34,7 +34,10 @@ SHARD_TOKENS = 2_000_000
 #: A pair seen so often in a shard gets a rule, if overlaps with more frequent pairs leave it so many uses.
 LEAST_COUNT = 16
 LEAST_USES = 8
-ROWS_A_BLOCK = 2_000
+#: Text of a task: finer while a corpus has few tasks, coarser beyond; shards are cut inside.
+FINE_BYTES, COARSE_BYTES, FINE_BLOCKS = 8 << 20, 256 << 20, 4096
+#: Blocks whose sizes are summed together.
+_STRIDE = 1024
 SHARD_SCHEMA = "block int, seq int, doc_ids array<long>, n_tokens long, payload binary"
 
 
@@ -193,9 +196,19 @@ class Shard:
         out[np.repeat(start[inner], length) + within] = ids[np.repeat(begin[rule], length) + within]
         return out
 
+    def _descend(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of some symbols by the rules below them alone, a level of the grammar at a time."""
+        while (inner := symbols >= self.first).any():
+            size = np.where(inner, 2, 1)
+            start = (np.cumsum(size) - size)[inner]
+            pairs = self.rules[symbols[inner] - self.first]
+            symbols = np.repeat(symbols, size)
+            symbols[start], symbols[start + 1] = pairs[:, 0], pairs[:, 1]
+        return symbols
+
     def document(self, doc: int) -> np.ndarray:
         """All ids of one document."""
-        return self._expand(self._symbols(doc))
+        return self._descend(self._symbols(doc))
 
     def token_range(self, doc: int, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of one document; only the symbols that cover them are expanded."""
@@ -206,7 +219,7 @@ class Shard:
         reach = np.cumsum(size)
         a, b = np.searchsorted(reach, start, "right"), np.searchsorted(reach, stop, "left") + 1
         skipped = int(reach[a - 1]) if a else 0
-        return self._expand(symbols[a:b])[start - skipped : stop - skipped]
+        return self._descend(symbols[a:b])[start - skipped : stop - skipped]
 
     def documents(self) -> Iterator[np.ndarray]:
         """All documents in turn; the shard is expanded once."""
@@ -228,7 +241,8 @@ def write_shards(docs: DataFrame, path: str | None = None, name: str = "token-fi
     """
     prepare(docs.sparkSession)
     path = path or tokenizer_path()
-    blocks = max(1, docs.count() // ROWS_A_BLOCK)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, min(size // FINE_BYTES, FINE_BLOCKS), size // COARSE_BYTES)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -278,9 +292,14 @@ def read_documents(files: DataFrame) -> DataFrame:
                 )
 
     sizes = files.groupBy("block", "seq").agg(F.sum("n_tokens").alias("n"))
-    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n"))  # a row for each few MB of text
-    above = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("block", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("base"))
+    # what lies before a block: whole strides of blocks, then blocks of its own stride
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n")).withColumn("stride", F.expr(f"block div {_STRIDE}"))
+    strides = blocks.groupBy("stride").agg(F.sum("n").alias("whole"))
+    above = Window.orderBy("stride").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 8 to 256 GB of text
+    strides = strides.select("stride", F.coalesce(F.sum("whole").over(above), F.lit(0)).alias("whole"))
+    before = Window.partitionBy("stride").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0))).join(strides, "stride")
+    blocks = blocks.select("block", (F.col("whole") + F.col("own")).alias("base"))
     inside = Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     starts = sizes.join(blocks, "block").select("block", "seq", (F.col("base") + F.col("inner")).alias("start"))

@@ -7,7 +7,7 @@ Candidates are reranked by the cosine of the original vectors in double precisio
 log2 of the number of vectors bits, so that cells don't fill up as the corpus grows, and there are as
 many tables as the wanted recall needs at the threshold; short vectors get several rotations.
 
-The rotations are fitted on at most ``SAMPLE`` vectors (those of least hash of their id) of each length;
+The rotations are fitted, in a task for each length, on about ``SAMPLE`` vectors or ``SAMPLE_BYTES`` (by hash of their id);
 every vector is coded, indexed and searched for. Vectors equal in every component are one class, expanded
 by counts only. In full cells, vectors within half the threshold's angle of one leader are a clique: all
 of them link (angles add up), so their links are counted without a pair being made; pairs are made of
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tideframe.llm.common import components, keep, prepare
 
 THRESHOLD = 0.95
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 20_000, 128 << 20
 FITTED = 8
 LEAST_TABLE_BITS = 16
 MOST_TABLE_BITS = 30
@@ -95,12 +95,21 @@ def _coded(good: DataFrame, threshold: float) -> tuple[DataFrame, int] | None:
     width, count = tables(lengths.agg(F.sum("n")).first()[0], threshold)
     bits = max(64, width * count)
     key = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
-    models = {}
+    wanted = F.lit(False)
     for row in top:
-        share = min(1 << 20, -(-(SAMPLE << 20) // row["n"]))  # how many vectors the rotation sees; no vector is left out later
-        some = good.where((F.size("embedding") == row["d"]) & (key < share)).select("embedding").limit(2 * SAMPLE)
-        rows = some.toArrow().column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, row["d"])
-        models[row["d"]] = fit(_unit(rows), bits) if len(rows) else _random(row["d"], bits)
+        most = max(1024, min(SAMPLE, SAMPLE_BYTES // (8 * row["d"])))
+        share = min(1 << 20, -(-(most << 20) // row["n"]))  # how many vectors the rotation sees; no vector is left out later
+        wanted = wanted | ((F.size("embedding") == row["d"]) & (key < share))
+
+    def fitted(held: pa.Table) -> pa.Table:
+        d = held.column("d")[0].as_py()
+        mean, project = fit(_unit(held.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, d)), bits)
+        return pa.table({"d": pa.array([d], pa.int32()), "mean": [mean.tobytes()], "project": [project.tobytes()]})
+
+    # a task for each length: its sample is bounded, and linear algebra has one thread there
+    some = good.where(wanted).select(F.size("embedding").alias("d"), "embedding")
+    found = some.groupBy("d").applyInArrow(fitted, "d int, mean binary, project binary").collect()
+    models = {r["d"]: (np.frombuffer(r["mean"]), np.frombuffer(r["project"]).reshape(r["d"], -1)) for r in found}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dict(models)
