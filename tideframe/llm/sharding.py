@@ -22,6 +22,8 @@ from tideframe.llm.common import keep
 
 LIMIT = 8 << 20
 BITS = 32
+#: Depths that are summed from one set of prefixes.
+STEP = 8
 
 
 def hash_bits(key: Column) -> Column:
@@ -35,7 +37,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     sized = keep(docs.select("doc_id", hash_bits(F.col("doc_id")).alias("h"), size.alias("n_bytes")), "shards")
     total = sized.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     fine = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + 8)
-    cells = sized.groupBy(F.shiftright("h", BITS - fine).alias("cell")).agg(F.sum("n_bytes").alias("bytes"))
+    cells = keep(sized.groupBy(F.shiftright("h", BITS - fine).alias("cell")).agg(F.sum("n_bytes").alias("bytes")), "prefixes")
     leaves = _leaves(cells, 0, fine, limit, final=fine == BITS)
     done = [_assign(sized, leaves, fine)]
     while fine < BITS:
@@ -43,7 +45,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         if rest.isEmpty():
             break
         sized, start, fine = rest, fine + 1, min(BITS, fine + 8)
-        cells = sized.groupBy(F.shiftright("h", BITS - fine).alias("cell")).agg(F.sum("n_bytes").alias("bytes"))
+        cells = keep(sized.groupBy(F.shiftright("h", BITS - fine).alias("cell")).agg(F.sum("n_bytes").alias("bytes")), "prefixes")
         leaves = _leaves(cells, start, fine, limit, final=fine == BITS)
         done.append(_assign(sized, leaves, fine))
     out = done[0]
@@ -53,13 +55,25 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def _leaves(cells: DataFrame, start: int, fine: int, limit: int, final: bool) -> DataFrame:
-    """For each fine prefix the bucket it ends in: the least depth at which its bucket fits."""
-    at = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(start), F.lit(fine))).alias("depth"))
+    """For each fine prefix the bucket it ends in: the least depth, from ``start`` on, at which its bucket fits.
+
+    Folded by ``STEP`` bits at a time: sums of the last depths are made from the fine prefixes, those of
+    the depths before from the prefixes that are left when these bits are gone, and so on.
+    """
+    middle = max(start, fine - STEP)
+    at = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(middle), F.lit(fine))).alias("depth"))
     at = at.withColumn("shard", F.expr(f"shiftright(cell, {fine} - depth)"))
     sums = at.groupBy("depth", "shard").agg(F.sum("bytes").alias("shard_bytes"))
     fits = sums.where((F.col("shard_bytes") <= limit) | (F.lit(final) & (F.col("depth") == fine)))
     found = at.join(fits, ["depth", "shard"]).groupBy("cell").agg(F.min(F.struct("depth", "shard", "shard_bytes")).alias("leaf"))
-    return cells.select("cell").join(found, "cell", "left").select("cell", "leaf.*")
+    near = cells.select("cell").join(found, "cell", "left")
+    if middle > start:
+        prefix = F.shiftright("cell", fine - middle)
+        coarse = keep(cells.groupBy(prefix.alias("cell")).agg(F.sum("bytes").alias("bytes")), "prefixes")
+        above = _leaves(coarse, start, middle, limit, final=False).where("depth is not null")
+        above = above.select(F.col("cell").alias("_prefix"), F.struct("depth", "shard", "shard_bytes").alias("_leaf"))
+        near = near.join(above, prefix == F.col("_prefix"), "left").withColumn("leaf", F.coalesce("_leaf", "leaf"))
+    return keep(near.select("cell", "leaf.*"), "leaves")
 
 
 def _assign(sized: DataFrame, leaves: DataFrame, fine: int) -> DataFrame:
