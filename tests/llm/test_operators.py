@@ -684,3 +684,21 @@ def test_recall_at_the_threshold(rng, d):
     shared = (differ[:, : width * count].reshape(-1, count, width).sum(2) <= 1).any(1)
     assert (shared & (differ[:, :64].sum(1) <= vectors.MOST_BITS)).mean() >= 0.93
     assert vectors.tables(10**9)[0] > width
+
+
+def test_packing_programme_of_256_lengths_beside_a_jvm(spark):
+    """The programme ends in a Spark driver with default threads: nothing in it calls threaded linear algebra."""
+    rng = np.random.default_rng(5)
+    sizes = np.sort(rng.choice(np.arange(1, 4096), 256, replace=False))
+    demand = {int(s): int(n) for s, n in zip(sizes, rng.integers(1, 400, 256), strict=True)}
+    plan = packing.cutting_stock(demand, 4096)
+    made = Counter()
+    for pattern, times in plan:
+        assert sum(s * n for s, n in pattern.items()) <= 4096
+        for s, n in pattern.items():
+            made[s] += n * times
+    assert made == demand
+    fewest = sum(s * n for s, n in demand.items()) / 4096
+    assert sum(times for _, times in plan) <= 1.03 * fewest + 20
+    m = rng.normal(size=(60, 60))
+    assert np.allclose(packing._inverse(m) @ m, np.eye(60)) and packing._inverse(np.ones((3, 3))) is None
