@@ -15,6 +15,11 @@ pass takes, in buckets that still hold several components, every pair across com
 sketch leaves, so no link between components is lost. Buckets are dealt out in chunks: no task gets a
 bucket whole, and a class or component is never expanded into all its pairs.
 
+Large buckets of the second pass are split by length first. Two sets that meet by a combination and
+share no rare shingle (others meet by that one) share at most their frequent ones, so the longer needs
+a shorter partner within bounds that its own counts give, and a set with more than (1 - t) / (1 + t)
+rare ones is no such partner. Documents of one template that differ by too much to link meet nowhere.
+
 Cases: documents without words (null, empty, blank) have the empty set and link with nothing; with
 fewer than five words the whole sequence is the one shingle; rows are told apart even where they share
 a doc_id; rows with a null doc_id link with nothing and have a null component; an empty table gives no
@@ -24,11 +29,12 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import components, keep, partitions, prepare
@@ -43,6 +49,8 @@ FREQUENT_MOST = 500_000
 BUCKET_ROWS = 1024
 #: Shingles that a counting task holds at once.
 COUNTED = 1 << 20
+#: Lengths of one cell are within this factor, so that the lengths that link with one lie in few cells.
+CELL_FACTOR = 1.12
 _SKETCH_WORDS = 8
 _LOW = (1 << 64) - 1
 _SMALL = 32
@@ -81,6 +89,11 @@ def frequent_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
 
 def index_keys(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """The index keys of one set. ``frequent``: ascending hashes; ``rank``: their places in the order."""
+    return np.concatenate(prefix_keys(hashes, frequent, rank, threshold))
+
+
+def prefix_keys(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that are rare shingles, and those that are combinations: if any, the first are all rare ones of the set."""
     n = len(hashes)
     prefix = n - -(-threshold * n // 100) + 1
     if len(frequent):
@@ -90,12 +103,12 @@ def index_keys(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, thres
         often = np.zeros(n, bool)
     rare = hashes[~often]
     if len(rare) >= prefix:
-        return rare[:prefix]
+        return rare[:prefix], rare[:0]
     common = hashes[often][np.argsort(rank[slot[often]])]
     mine, other = prefix - 1 - len(rare), n * (100 - threshold) // threshold
     reach = common[: 2 * mine + other + 2]
     pairs = mix(reach[:-1] * np.uint64(0x9E3779B97F4A7C15) + reach[1:] + np.uint64(0x7F4A7C15))
-    return np.concatenate([rare, pairs])
+    return rare, pairs
 
 
 def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
@@ -111,7 +124,9 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def signed(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
-    """row, doc_id, tie (hash of the text), n, set_hi, set_lo (the set's hash), keys, sketch, wide of each row; kept."""
+    """row, doc_id, tie (hash of the text), n, set_hi, set_lo (the set's hash), keys, singles (how many of these,
+    the first, are rare shingles), sketch, wide of each row; kept.
+    """
     often = frequent_shingles(docs, size)
     order = np.argsort(often)
     frequent, rank = often[order], np.arange(len(often))[order]
@@ -120,25 +135,27 @@ def signed(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) -> Dat
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
         for batch in batches:
-            ns, his, los, keys, sketches = [], [], [], [], []
+            ns, his, los, keys, singles, sketches = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text, size)
                 hi, lo = _set_hash(hashes)
                 ns.append(len(hashes))
                 his.append(hi)
                 los.append(lo)
-                keys.append(index_keys(hashes, frequent, rank, threshold).view(np.int64) if len(hashes) else np.empty(0, np.int64))
+                rare, pairs = prefix_keys(hashes, frequent, rank, threshold) if len(hashes) else (hashes, hashes)
+                keys.append(np.concatenate([rare, pairs]).view(np.int64))
+                singles.append(len(rare))
                 sketches.append(sketch(hashes) if len(hashes) else (b"", b""))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), lists, *(pa.array([x[i] for x in sketches], pa.binary()) for i in range(2))],
-                names=["doc_id", "tie", "n", "set_hi", "set_lo", "keys", "sketch", "wide"],
+                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), lists, pa.array(singles, pa.int64()), *(pa.array([x[i] for x in sketches], pa.binary()) for i in range(2))],
+                names=["doc_id", "tie", "n", "set_hi", "set_lo", "keys", "singles", "sketch", "wide"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
-    rows = rows.mapInArrow(sign, "doc_id long, tie long, n long, set_hi long, set_lo long, keys array<long>, sketch binary, wide binary")
+    rows = rows.mapInArrow(sign, "doc_id long, tie long, n long, set_hi long, set_lo long, keys array<long>, singles long, sketch binary, wide binary")
     return keep(rows.withColumn("row", F.monotonically_increasing_id()), "signed")  # stored, so the number stays
 
 
@@ -235,6 +252,47 @@ def _pairs(placed: DataFrame, labelled: bool, threshold: int) -> DataFrame:
     return parts.mapInArrow(pair, "a long, b long").where("a < b").distinct()
 
 
+def _dealt(labelled: DataFrame, threshold: int) -> DataFrame:
+    """Rows (key, chunk, rep, n, component) in which all pairs across components that may link meet.
+
+    ``labelled``: key, size (of the bucket), rep, n, component, and shared: how many shingles at most two
+    sets have in common that meet in this bucket and in no earlier one. Large buckets are split by cells
+    of length: a row is in its own cell if a longer one may link with it, and in those of all shorter
+    ones that may link with it. In each, the fewer of the rows outside the largest component and of
+    those in their own cell meet all rows; both sides go in chunks.
+    """
+
+    def cell(length: Column) -> Column:
+        return F.floor(F.log(length.cast("double")) / math.log(CELL_FACTOR))
+
+    n, shared = F.col("n"), F.col("shared")
+    shorter = shared * (100 + threshold) >= 2 * threshold * n
+    least = F.floor((n * threshold + 99) / 100)
+    most = F.least(n, F.floor(shared * (100 + threshold) / threshold) - n)
+    of_shorter = F.when(most >= least, F.sequence(cell(least), cell(most))).otherwise(F.array().cast("array<bigint>"))
+    cells = F.array_union(of_shorter, F.when(shorter, F.array(cell(n))).otherwise(F.array().cast("array<bigint>")))
+    cells = F.when(F.col("size") > BUCKET_ROWS, cells).otherwise(F.array(F.lit(-1).cast("bigint")))
+    rows = labelled.select("key", "rep", "n", "component", shorter.alias("shorter"), F.explode(cells).alias("cell"))
+    rows = rows.withColumn("home", (F.col("cell") < 0) | (F.col("shorter") & (F.col("cell") == cell(n)))).drop("shorter")
+
+    parts = rows.groupBy("key", "cell", "component").agg(F.count(F.lit(1)).alias("k"), F.count_if("home").alias("h"))
+    mixed = parts.groupBy("key", "cell").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"), F.sum("h").alias("homes"))
+    mixed = mixed.where((F.col("most") < F.col("all")) & (F.col("homes") > 0))
+    by_home = F.col("homes") < F.col("all") - F.col("most")
+    n_all, n_few = F.ceil(F.col("all") / BUCKET_ROWS).cast("int"), F.ceil(F.least("homes", F.col("all") - F.col("most")) / BUCKET_ROWS).cast("int")
+    mixed = mixed.select("key", "cell", "main", by_home.alias("by_home"), n_all.alias("n_all"), n_few.alias("n_few"))
+    open_ = rows.join(mixed, ["key", "cell"])
+    column = F.pmod(F.xxhash64("rep"), F.col("n_all")).cast("int")
+    row = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_few")).cast("int")
+    as_any = F.transform(F.sequence(F.lit(0), F.col("n_few") - 1), lambda i: i * F.col("n_all") + column)
+    as_few = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda j: row * F.col("n_all") + j)
+    few = F.when(F.col("by_home"), F.col("home")).otherwise(F.col("component") != F.col("main"))
+    to = F.when(few, F.array_distinct(F.concat(as_any, as_few))).otherwise(as_any)
+    spread = open_.select("key", "cell", "rep", "n", "component", F.explode(to).alias("at"))
+    chunk = F.shiftleft(F.col("cell") + 1, 40) + F.col("at")
+    return spread.select("key", chunk.alias("chunk"), "rep", "n", "component")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose sets have the similarity."""
 
@@ -282,7 +340,9 @@ def _joined(docs: DataFrame, threshold: int, size: int) -> DataFrame:
     classes = filled.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     classes = keep(classes.select("set_hi", "set_lo", F.col("least.doc_id").alias("first"), F.col("least.row").alias("rep")), "classes")
     reps = filled.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    index = reps.select(F.explode("keys").alias("key"), F.col("row").alias("rep"))
+    index = reps.select(F.posexplode("keys").alias("place", "key"), F.col("row").alias("rep"), "n", "singles")
+    shared = F.when(F.col("place") < F.col("singles"), F.col("n")).otherwise(F.col("n") - F.col("singles"))
+    index = index.select("key", "rep", "n", shared.alias("shared"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     sizes = keep(sizes.where("lo < hi"), "bucket-sizes")
     known = filled.select(F.col("row").alias("rep"), "n", "sketch")
@@ -304,21 +364,10 @@ def _joined(docs: DataFrame, threshold: int, size: int) -> DataFrame:
     first = keep(_verified(pairs, sets, threshold), "links")
     merged = keep(components(first), "components")
 
-    # Second pass: buckets that hold several components. Rows outside the bucket's largest component
-    # meet all rows of the bucket; both sides go in chunks.
+    # Second pass: buckets that hold several components.
     labelled = buckets.join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
-    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"))
-    mixed = mixed.where(F.col("most") < F.col("all"))
-    n_all, n_minor = F.ceil(F.col("all") / BUCKET_ROWS).cast("int"), F.ceil((F.col("all") - F.col("most")) / BUCKET_ROWS).cast("int")
-    open_ = labelled.select("key", "rep", "component").join(mixed, "key").withColumn("n_all", n_all).withColumn("n_minor", n_minor)
-    column = F.pmod(F.xxhash64("rep"), F.col("n_all")).cast("int")
-    row = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_minor")).cast("int")
-    as_any = F.transform(F.sequence(F.lit(0), F.col("n_minor") - 1), lambda i: i * F.col("n_all") + column)
-    as_minor = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda j: row * F.col("n_all") + j)
-    to = F.when(F.col("component") == F.col("main"), as_any).otherwise(F.array_distinct(F.concat(as_any, as_minor)))
-    spread = open_.select("key", "rep", "component", F.explode(to).alias("chunk")).join(known, "rep")
+    spread = _dealt(labelled, threshold).join(known.select("rep", "sketch"), "rep")
     spread = spread.select("key", "chunk", "rep", "n", "sketch", "component")
     pairs = keep(_possible(_pairs(spread, True, threshold).join(found, ["a", "b"], "left_anti"), wide, threshold), "pairs")
     more = keep(_nodes(pairs).join(sets.select("rep"), "rep", "left_anti"), "members")
