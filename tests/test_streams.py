@@ -102,6 +102,36 @@ def test_orders_go_when_unseen(spark, parts):
     assert rows[1]["gone"] and not rows[2]["gone"]
 
 
+def test_orders_go_one_by_one_and_come_again(spark, tmp_path):
+    """Ids of two columns, one of them null at times and large, by a timer of a block that they share."""
+    base, big = 1_700_006_400, 2**53 + 1
+    kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    batches = ([(big, 0), (0, 5), (big + 1, 100), (big, 200)], [(big + 1, 4000)], [(big + 1, 4001)], [(big, 9000)], [(0, 9100)])
+    for i, rows in enumerate(batches):
+        values = [(s, datetime.datetime.fromtimestamp(base + t, datetime.UTC).replace(tzinfo=None), 0, "click", 1.0, '{"k": 1}') for s, t in rows]
+        spark.createDataFrame(values, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{i}")
+    stateful.ORDER_BLOCKS, blocks = 1, stateful.ORDER_BLOCKS
+    try:
+        ids = live.tick_stream(spark, f"{tmp_path}/*", files_per_trigger=1).withColumn("order_id", F.when(F.col("seq") > 0, F.col("seq")))
+        out = live.run_upserted(stateful.live_orders(ids, ["symbol", "order_id"], "0 seconds", 3600), "t", ["symbol", "order_id"])
+    finally:
+        stateful.ORDER_BLOCKS = blocks
+    assert out.schema["order_id"].dataType.simpleString() == "bigint"
+    got = {(r["order_id"], r["first_es"] - base, r["last_es"] - base, r["age"], r["seen"], r["gone"]) for r in out.collect()}
+    assert {(big, 9000, 9000, 0, 1, False), (big + 1, 100, 4001, 3901, 3, True), (None, 5, 5, 0, 1, True), (None, 9100, 9100, 0, 1, False)} <= got
+
+
+def test_orders_share_state_by_blocks(spark, tmp_path):
+    """Many ids in one batch cost at most as many groups as there are blocks, not one each."""
+    rows = spark.range(20_000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "0L AS user_id", "'click' AS event_type", "1e0 AS value", "'{\"k\": 1}' AS props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    ids = stateful.live_orders(live.tick_stream(spark, f"{tmp_path}/in"), ["seq"], "0 seconds", 3600)
+    writer = ids.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").outputMode("update")
+    run = writer.trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert max(op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]) <= 4 * stateful.ORDER_BLOCKS
+
+
 def test_risk_over_batches(spark, parts):
     make = lambda s: live.run_upserted(stateful.live_risk(s, ["symbol"], 1 / 8766), "t", ["symbol"]).collect()
     four = sorted(make(stream(spark, parts, "market_state")))
