@@ -2,7 +2,11 @@
 
 import datetime
 import math
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +206,36 @@ def test_nearby_makes_no_pairs(spark, tmp_path):
     assert "Join" not in plan and {r["nearby"] for r in got.collect()} == {3000} and got.count() == 3000
 
 
+def test_quality_holds_numbers_only():
+    """A key's rows of one batch, in many slices: counters as by pandas, and memory of some numbers a row."""
+    rng = np.random.default_rng(3)
+    n = 400_000
+    frame = pd.DataFrame({"es": np.sort(rng.integers(0, 10**6, n)), "seq": rng.integers(0, 20_000, n), "received": np.arange(n) + rng.integers(0, 5, n)})
+    frame = frame.sample(frac=1, random_state=1)
+
+    class Kept(dict):
+        getValue, containsKey, updateValue = dict.__getitem__, dict.__contains__, dict.__setitem__  # noqa: N815
+
+    class Handle:
+        registerTimer = staticmethod(lambda *_: None)  # noqa: N815
+
+    made = stateful._Quality(["symbol"], ["symbol", "rows", "duplicates", "out_of_order", "dropped", "observed", "gaps", "last_es"], ("received", "seq"))
+    made.sums, made.blocks, made.cells, made.handle, kept = SimpleNamespace(get=lambda: None, update=lambda v: kept.append(v)), Kept(), Kept(), Handle, []
+
+    def frames():
+        for lo in range(0, n, 10_000):
+            yield frame.iloc[lo : lo + 10_000].assign(symbol=[f"BTC-{i}" for i in range(10_000)], ts=pd.Timestamp(0))
+
+    tracemalloc.start()
+    out = next(iter(made.handleInputRows(("BTC",), frames(), None))).iloc[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    es = frame.sort_values(["received", "seq"], kind="stable")["es"]
+    want = (n, n - frame["seq"].nunique(), int((es < es.shift()).sum()), int((es < es.cummax().shift() - 3600).sum()), (es // 3600).nunique())
+    assert tuple(out[["rows", "duplicates", "out_of_order", "dropped", "observed"]]) == want
+    assert most < 80 * n  # pandas' frames, their texts and their sorted copy took some 200 bytes a row
+
+
 def _rows(table):
     return sorted(tuple(r) for r in table.collect())
 
