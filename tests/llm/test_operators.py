@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -383,6 +384,19 @@ def test_substrings(spark, rng, monkeypatch, keep, block):
         assert got[i]["n_spans"] == int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
 
 
+def test_substrings_leave_no_files_of_done_steps(spark, corpus):
+    """Before the last step runs, the shuffle files of all before it and the tables that nothing reads any more are gone."""
+    local, shared = spark.conf.get("spark.local.dir"), spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    shuffles = lambda: {f for _, _, files in os.walk(local) for f in files if f.startswith("shuffle_")}
+    tables = lambda: set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    texts = spark.createDataFrame([(i, t) for i, t, *_ in corpus], "doc_id long, text string")
+    old, had = shuffles(), tables()
+    spans = substrings.repeats(texts, length=40, gram=12)
+    assert not shuffles() - old
+    assert not [t for t in tables() - had if t.startswith(("runs-", "contents-"))]
+    assert spans.count() > 0 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_runs_cut_long_texts_alike(monkeypatch, rng):
     raw = rng.integers(97, 101, 5000).astype(np.uint8)
     whole = substrings.runs(raw, 60, 20)
